@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,43 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_00
             size += n or 0
         if at < batch.num_rows:
             yield batch.slice(at)
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, remembered; emptied before it grows past what a worker can hold."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_HASHES = _Hashes()
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    if len(_HASHES) > 500_000:
+        _HASHES.clear()
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and component (its smallest reachable node) for each node in ``links`` (a, b: long).
+
+    Large-star and small-star steps until nothing changes; each round is a stored table, so a lost executor costs
+    one round. Minima are aggregated before they are joined, so a node with very many links is no single task.
+    """
+    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = None
+    while True:
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = stage(small.where("u <> v").distinct(), "edges")
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.union(edges.select("v", "v").distinct())
