@@ -96,3 +96,15 @@ def components(links: DataFrame) -> DataFrame:
         state = now
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(edges.select("v", "v").distinct())
+
+
+#: Rows of (id, key) pairs up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, hash of text) is not among those of ``gone`` (doc_id, key)."""
+    gone = stage(gone.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == F.col("_k"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

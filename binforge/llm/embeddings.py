@@ -28,7 +28,7 @@ from binforge.llm.common import components, stage
 
 COSINE = 0.98
 AXES = 8  # axes of a block
-GRID = 2  # of them spanned by the grid
+GRID = 3  # of them spanned by the grid
 TOGETHER = 4096
 SLACK = 1e-9
 SEED = 7
@@ -57,45 +57,46 @@ def _points(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.coalesce(fine, F.lit(False)))
 
 
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each row of columns of whole numbers."""
+    h = np.full(len(parts[-1]), 0x9E3779B97F4A7C15, np.uint64)
+    for x in parts:
+        h = (h ^ np.asarray(x).astype(np.int64).view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def _visits(points: DataFrame, cosine: float) -> DataFrame:
     """A row for each point, block and cell: cell (hash of label, size, block and place), point, home, weight, vector."""
     schema = "block int, cell long, point long, home boolean, weight long, vector binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            point, label, weight = (np.array(batch.column(c).to_pylist()) for c in ("point", "label", "weight"))
-            rows = batch.column("embedding").to_pylist()
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                m = np.array([rows[i] for i in at], np.float64)
-                turned = _turned(m)
-                for number, (own, radius) in enumerate(blocks(int(size), cosine)):
-                    x = turned[:, own][:, :GRID] / (2 * radius)
-                    cell = np.floor(x).astype(np.int64)
-                    for step in itertools.product((-1, 0, 1), repeat=x.shape[1]):
-                        if step < (0,) * len(step):
-                            continue
-                        gap = np.where(np.array(step) > 0, cell + 1 - x, np.where(np.array(step) < 0, x - cell, 0))
-                        near = np.flatnonzero((gap * gap).sum(axis=1) <= 0.25 * (1 + SLACK))
-                        home = not any(step)
-                        for i in near:
-                            place = (str(label[at[i]]), int(size), number, *(cell[i] + np.array(step)).tolist())
-                            yield number, place, int(point[at[i]]), home, int(weight[at[i]]), m[i]
-
-    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for part in itertools.batched(run(batches), 4096):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in part], pa.int32()), pa.array([xxhash.xxh3_64_intdigest(repr(x[1])) - (1 << 63) for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64()),
-                    pa.array([x[3] for x in part], pa.bool_()), pa.array([x[4] for x in part], pa.int64()), pa.array([x[5].tobytes() for x in part], pa.binary()),
-                ],
-                names=["block", "cell", "point", "home", "weight", "vector"],
-            )
-
-    return points.select("point", "label", "weight", "embedding").mapInArrow(batched, schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                point, label, weight = (batch.column(c).to_numpy() for c in ("point", "label", "weight"))
+                rows = [np.array(x, np.float64) for x in batch.column("embedding").to_pylist()]
+                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+                for size in np.unique(sizes):
+                    at = np.flatnonzero(sizes == size)
+                    turned = _turned(np.stack([rows[i] for i in at]))
+                    for number, (own, radius) in enumerate(blocks(int(size), cosine)):
+                        x = turned[:, own][:, :GRID] / (2 * radius)
+                        cell = np.floor(x)
+                        for step in itertools.product((-1, 0, 1), repeat=x.shape[1]):
+                            if step < (0,) * len(step):
+                                continue
+                            way = np.array(step)
+                            gap = np.where(way > 0, cell + 1 - x, np.where(way < 0, x - cell, 0))
+                            near = np.flatnonzero((gap * gap).sum(axis=1) <= 0.25 * (1 + SLACK))
+                            of, n = at[near], len(near)
+                            place = _mixed(label[of], np.full(n, size), np.full(n, number), *(cell[near] + way).T)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(n, number, np.int32)), pa.array(place), pa.array(point[of]), pa.array(np.full(n, not any(step))), pa.array(weight[of]), pa.array([rows[i].tobytes() for i in of], pa.binary())],
+                                names=["block", "cell", "point", "home", "weight", "vector"],
+                            )
+
+    return points.select("point", F.xxhash64("label").alias("label"), "weight", "embedding").mapInArrow(run, schema)
 
 
 def compare(a: np.ndarray, b: np.ndarray, block: int, cosine: float) -> np.ndarray:
@@ -143,13 +144,9 @@ def _joined(visits: DataFrame, cosine: float) -> DataFrame:
         for at in np.array_split(left, max(1, -(-len(left) // 512))):
             other = np.flatnonzero(part == hi)
             link = compare(m[at], m[other], block, cosine)
-            # Two visitors meet in another cell; a pair of homes counts once.
-            both = home[at][:, None] & home[other][None, :]
-            link &= home[at][:, None] | home[other][None, :]
+            link &= home[at][:, None] | home[other][None, :]  # two visitors meet in another cell
             if lo == hi:
                 link &= point[at][:, None] < point[other][None, :]
-            else:
-                link &= both | ~both
             i, j = np.nonzero(link)
             i, j = at[i], other[j]
             np.add.at(n, i, weight[j])
@@ -182,15 +179,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     own = own.select("point", "first", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "point").alias("component"))
     least = own.groupBy("component").agg(F.min("first").alias("component_id"))
     own = own.join(least, "component").select(F.col("point").alias("_point"), "n_links", "component_id")
-    plain = vectors.withColumn("_shape", F.when(F.coalesce(_fine_label(), F.lit(False)), shape)).select("vec_id", "_shape")
+    plain = vectors.withColumn("_shape", F.when(F.col("label").isNotNull() & F.col("embedding").isNotNull(), shape)).select("vec_id", "_shape")
     out = plain.join(own, F.col("_shape") == F.col("_point"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _fine_label():
-    return F.col("label").isNotNull() & F.col("embedding").isNotNull()
-
-
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import pieces_of, stage
+from binforge.llm.common import pieces_of, stage, text_key
 
 #: A line in more different documents of one host is boilerplate.
 LINE_LIMIT = 20
@@ -79,7 +79,7 @@ def statistics(text: str) -> tuple[int, int, int, int, int, dict[bytes, int]]:
 def measure(docs: DataFrame) -> DataFrame:
     """A row for each document: key, host, its statistics, and its lines' hashes (two longs each) and words."""
     schema = (
-        "doc_id long, text_hash binary, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
+        "doc_id long, key long, text_hash binary, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
         " lines array<struct<hi: long, lo: long, words: int>>"
     )
     line = pa.list_(pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("words", pa.int32())]))
@@ -91,17 +91,17 @@ def measure(docs: DataFrame) -> DataFrame:
             flat = np.frombuffer(b"".join(k for x in found for k in x[5]), "<i8").reshape(-1, 2)
             sizes = np.cumsum([0] + [len(x[5]) for x in found])
             structs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array([v for x in found for v in x[5].values()], pa.int32())], fields=list(line.value_type))
-            columns = [batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t.encode()) for t in texts], pa.binary()), batch.column("host")]
+            columns = [batch.column("doc_id"), batch.column("key"), pa.array([xxhash.xxh3_128_digest(t.encode()) for t in texts], pa.binary()), batch.column("host")]
             columns += [pa.array([x[i] for x in found], pa.int64()) for i in range(5)]
             columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), structs))
-            names = ["doc_id", "text_hash", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+            names = ["doc_id", "key", "text_hash", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_key(), F.lit(0)).alias("key"), F.col("source").cast("string").alias("host"), F.col("text")).mapInArrow(run, schema)
 
 
 def judge(docs: DataFrame, *, line_limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_part: float = LEAST_PART) -> DataFrame:
-    """doc_id, text_hash, host, the statistics, base_failed, boilerplate_words and kept for each row of ``docs``."""
+    """doc_id, key, text_hash, host, the statistics, base_failed, boilerplate_words and kept for each row of ``docs``."""
     docs = stage(measure(docs), "quality")
     lines = docs.select("doc_id", "text_hash", "host", F.explode("lines").alias("l")).select("doc_id", "text_hash", "host", "l.*")
     apart = lines.groupBy("host", "hi", "lo", "text_hash").agg(F.min("doc_id").alias("doc_id"))
@@ -121,4 +121,4 @@ def judge(docs: DataFrame, *, line_limit: int = LINE_LIMIT, least_words: int = L
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "host")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key", "text_hash", "host")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from binforge.llm import bpe, chat, langid, licenses, packing, quality
+from binforge.llm import bpe, chat, embeddings, jaccard, langid, licenses, packing, quality, substrings, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,7 +10,11 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": langid.op5_language_id,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_warc": warc.op7_warc,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_embedding_near_dedup": embeddings.op9_embedding_near_dedup,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 
 

@@ -168,16 +168,17 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """All columns of ``docs``, n_words, spans (array of start and end in words) and kept (the words left, spaced).
+    """row (a struct of all columns of ``docs``), n_words, spans (array of start and end in words) and kept.
 
-    Spans are the maximal runs of words covered by windows that also start in a document of smaller id.
+    Spans are the maximal runs of words covered by windows that also start in a document of smaller id; ``kept`` is
+    the words left, joined by one space.
     """
     found, spec = repeats(docs, width)
     hot, count = spec["hot"], spec["count"]
     found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_own"), F.col("found").alias("_found"))
-    joined = docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(int(LAST))) == F.col("_id")) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == F.col("_own")), "left").drop("_id", "_own")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    columns = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(int(LAST))).alias("_d"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("_k"))
+    joined = rows.join(found, (F.col("_d") == F.col("_id")) & (F.col("_k") == F.col("_own")), "left").select("row", F.col("row.text").alias("text"), "_found")
+    kinds = f"row {joined.schema['row'].dataType.simpleString()}"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     own = [{"start": int(a), "end": int(b)} for a, b in turns.reshape(-1, 2)]
                     words = [w for w, c in zip(words, covered.tolist()) if not c]
                 spans.append(own), kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], names=[*columns, "n_words", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], names=["row", "n_words", "spans", "kept"])
 
     return joined.mapInArrow(run, f"{kinds}, n_words long, spans array<struct<start: int, end: int>>, kept string")
 
@@ -208,4 +209,4 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
-    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
