@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,18 +30,53 @@ from binforge.llm.common import pieces_of, stage
 SEQUENCE = 2048
 END_ID = 1
 SALTS = 64
-_CHUNKS = 400_000  # remembered by each worker; beyond it the memory starts anew
+_KNOWN = 400_000  # chunks and words that a worker remembers; beyond it the memory starts anew
 _WHITE = str.maketrans("\n\t\r", "   ")
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?])?")
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
+class _Ids(dict):
+    """The ids of a word as the vocabulary's model splits it, or of a chunk between spaces, as bytes.
+
+    Most chunks are Latin letters and one mark, or ASCII: their words are cut here as the tokenizer's own pattern cuts
+    them, and remembered. The tokenizer itself encodes all others.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > 2 * _KNOWN:
+                self.words.clear()
+            own = word if word.isascii() else self.level.pre_tokenize_str(word)[0][0]
+            found = self.words[word] = struct.pack(f"<{len(ids := [x.id for x in self.model.tokenize(own)])}I", *ids)
+        return found
+
+    def __missing__(self, chunk: str) -> bytes:
+        low = chunk.lower()
+        if m := _PLAIN.fullmatch(low):
+            found = self.word(m[1]) + (self.word(m[2]) if m[2] else b"")
+        elif low.isascii() and low.isprintable():
+            found = b"".join(map(self.word, _ASCII.findall(low)))
+        else:
+            found = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = found
+        return found
 
 
 @functools.lru_cache(2)
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> _Ids:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, {"": b""}
+    return _Ids(path)
 
 
 def _ids(texts: list[str], path: str) -> list[bytes]:
@@ -47,16 +84,11 @@ def _ids(texts: list[str], path: str) -> list[bytes]:
 
     The vocabulary drops white space and never merges across it, so each chunk between spaces is encoded once.
     """
-    tokenizer, known = _tokenizer(path)
-    chunks = [t.translate(_WHITE).split(" ") for t in texts]
-    if len(known) > _CHUNKS:
+    known = _tokenizer(path)
+    if len(known) > _KNOWN:
         known.clear()
-        known[""] = b""
-    new = list({c for x in chunks for c in x if c not in known})
-    for i in range(0, len(new), 4096):
-        for c, e in zip(new[i : i + 4096], tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False)):
-            known[c] = np.asarray(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, x)) for x in chunks]
+    known[""] = b""
+    return [b"".join(map(known.__getitem__, t.translate(_WHITE).split(" "))) for t in texts]
 
 
 def tokenize(docs: DataFrame, path: str, *, most: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
