@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +45,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches with at most about ``most`` bytes of text (one row at least), in order."""
+def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with at most about ``most`` bytes of text (one row at least), in order.
+
+    ``text`` is a column, or row.text for a field of a struct.
+    """
+    column, _, inner = text.partition(".")
     for batch in batches:
         at, size = 0, 0
-        for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        texts = batch.column(column)
+        for i, n in enumerate(pc.binary_length(pc.struct_field(texts, inner) if inner else texts).to_pylist()):
             if size and size + (n or 0) > most:
                 yield batch.slice(at, i - at)
                 at, size = i, 0
@@ -58,21 +63,59 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_00
             yield batch.slice(at)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered; emptied before it grows past what a worker can hold."""
+_BLOCK = 1 << 16  # bytes hashed at once, so that the arrays stay in the cache
+_CODES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_SPACES = np.zeros(256, bool)
+_SPACES[list(ASCII_SPACE.encode())] = True
+
+
+@functools.lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up = np.full(n, _BASE, np.uint64)
+    down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text, and where they begin: sums of random codes of their bytes times powers of an odd base."""
+    space = _SPACES[data]
+    start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    end = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1
+    if not len(start):
+        return np.zeros(0, np.uint64), start
+    up, down = _powers(max(_BLOCK, 1 << (len(data) - 1).bit_length()))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODES[data] * up[: len(data)])))
+    h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29)), start
+
 
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+def _hash(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and beginnings of all words, by blocks that end between words."""
+    out, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    while at < len(data):
+        end = at + _BLOCK
+        if end < len(data) and (end := max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))) <= at:
+            found = [x for x in (data.find(b" ", at + _BLOCK), data.find(b"\n", at + _BLOCK)) if x > 0]
+            end = min(found, default=len(data))
+        h, start = _hashed(np.frombuffer(data[at:end], np.uint8))
+        out.append((h, start + at))
+        at = end
+    return tuple(map(np.concatenate, zip(*out)))
 
 
-_HASHES = _Hashes()
+def hash_text(data: bytes) -> np.ndarray:
+    """64-bit hashes of all words of a text in order."""
+    return _hash(data)[0]
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    if len(_HASHES) > 500_000:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and how many each text has."""
+    h, begins = _hash(b" ".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, int)
+    return h, np.diff(np.concatenate(([0], np.searchsorted(begins, ends)))).astype(np.int64)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -106,5 +149,5 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, hash of text) is not among those of ``gone`` (doc_id, key)."""
     gone = stage(gone.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == F.col("_k"))
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_d"]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == gone["_k"])
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

@@ -17,19 +17,23 @@ each other; a null id comes after all others. Repeated rows get equal results. O
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import hash_words, parts, pieces_of, stage, text_key
+from binforge.llm.common import hash_text, hash_texts, parts, pieces_of, stage, text_key
 
 WIDTH = 13
 LEVELS = 4
 #: Suffixes that one group should hold.
 GROUP = 1_500_000
+TABLE = -1  # in place of a group: the ids and keys of a batch
 LAST = np.iinfo(np.int64).max
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +77,7 @@ def _census(docs: DataFrame, width: int) -> tuple[int, list[np.ndarray]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
             # One array for the batch: suffixes may run on into the next text here, which only shifts the balance.
-            h = hash_words(b" ".join((t or "").encode() for t in batch.column("text").to_pylist()).split())
+            h = hash_text(b" ".join((t or "").encode() for t in batch.column("text").to_pylist()))
             n = max(0, len(h) - levels + 1)
             rows = [(-1, 0, n)]
             within = np.arange(n)
@@ -95,7 +99,7 @@ def _census(docs: DataFrame, width: int) -> tuple[int, list[np.ndarray]]:
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
-    """doc_id (null ids as the largest), key, and for each group the repeated ones of the row's suffixes there, as bits."""
+    """doc_id (null ids as the largest), key and found: by group, which of the row's suffixes there are repeats."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.coalesce(text_key(), F.lit(0)).alias("key"), "text")
     count, hot = _census(rows.select("text"), width)
     spec = {"count": count, "hot": hot, "width": width}
@@ -105,9 +109,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
             ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
             texts = batch.column("text").to_pylist()
             order = np.argsort(ids, kind="stable")
-            words = [(texts[i] or "").encode().split() for i in order]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            h = hash_words([w for x in words for w in x])
+            h, sizes = hash_texts([(texts[i] or "").encode() for i in order])
             n = len(h) - width + 1
             if n <= 0:
                 continue
@@ -125,24 +127,29 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
             order = np.argsort(group.astype(np.uint16) if count < 1 << 16 else group, kind="stable")
             of, group, code, known = of[order], group[order], code[order], known[order]
             ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
-            out, start = [], 0
+            number = xxhash.xxh3_64_intdigest(ids.tobytes() + keys.tobytes()) - (1 << 63)
+            out, start = [(number, TABLE, ids.tobytes(), keys.tobytes(), b"", b"", b"")], 0
             for end in ends:
                 own = of[start:end]
                 at = np.append(0, np.flatnonzero(np.diff(own)) + 1)
                 k = known[start:end]
                 docs_ = own[at]
-                out.append((int(group[start]), ids[docs_].tobytes(), keys[docs_].tobytes(), np.diff(np.append(at, end - start)).astype(np.int32).tobytes(), np.packbits(k).tobytes(), code[start:end][~k].tobytes()))
+                out.append((number, int(group[start]), ids[docs_].tobytes(), docs_.astype(np.int32).tobytes(), np.diff(np.append(at, end - start)).astype(np.int32).tobytes(), np.packbits(k).tobytes(), code[start:end][~k].tobytes()))
                 start = end
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out))], names=["group", "ids", "keys", "counts", "known", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, (pa.int64(), pa.int32(), pa.binary())[min(i, 2)]) for i, x in enumerate(zip(*out))], names=["batch", "group", "ids", "rows", "counts", "known", "codes"])
 
     def subtree(table: pa.Table) -> pa.Table:
-        names, code, label = ("ids", "keys", "counts", "known", "codes"), [], []
-        blobs = []
-        for ids, keys, counts, known, codes in zip(*(table.column(c).to_pylist() for c in names)):
-            ids, keys, counts = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int32)
+        """Of each batch, the rows with repeats in this group: rows (places in the batch), counts and bits."""
+        columns = [table.column(c).to_pylist() for c in ("batch", "ids", "rows", "counts", "known", "codes")]
+        group = table.column("group")[0].as_py()
+        if group == TABLE:
+            return pa.table({"batch": columns[0], "group": pa.array([group] * table.num_rows, pa.int32()), "rows": pa.array(columns[1], pa.binary()), "counts": pa.array(columns[2], pa.binary()), "bits": pa.array([b""] * table.num_rows, pa.binary())})
+        code, label, blobs = [], [], []
+        for batch, ids, own, counts, known, codes in zip(*columns):
+            counts = np.frombuffer(counts, np.int32)
             known = np.unpackbits(np.frombuffer(known, np.uint8), count=int(counts.sum())).astype(bool)
-            blobs.append((ids, keys, counts, known))
-            code.append(np.frombuffer(codes, np.uint64)), label.append(np.repeat(ids, counts)[~known])
+            blobs.append((batch, np.frombuffer(own, np.int32), counts, known))
+            code.append(np.frombuffer(codes, np.uint64)), label.append(np.repeat(np.frombuffer(ids, np.int64), counts)[~known])
         code, label = np.concatenate(code), np.concatenate(label)
         order = np.argsort(code, kind="stable")
         nodes = np.flatnonzero(np.concatenate(([True], code[order[1:]] != code[order[:-1]]))) if len(code) else np.zeros(0, int)
@@ -150,21 +157,49 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
         repeated = np.empty(len(code), bool)
         repeated[order] = label[order] > np.repeat(smallest, np.diff(np.append(nodes, len(code))))
         out, at = [], 0
-        for ids, keys, counts, known in blobs:
+        for batch, own, counts, known in blobs:
             bits = known.copy()
             n = int((~known).sum())
             bits[~known] = repeated[at : at + n]
             at += n
-            starts = np.append(0, np.cumsum(counts))
-            for j in np.flatnonzero(np.add.reduceat(bits, starts[:-1], dtype=np.int64)):
-                out.append((int(ids[j]), int(keys[j]), np.packbits(bits[starts[j] : starts[j + 1]]).tobytes()))
-        group = table.column("group")[0].as_py()
-        x = list(zip(*out)) or [(), (), ()]
-        return pa.table({"doc_id": pa.array(x[0], pa.int64()), "key": pa.array(x[1], pa.int64()), "group": pa.array([group] * len(out), pa.int32()), "bits": pa.array(x[2], pa.binary())})
-
-    sent = rows.mapInArrow(leaves, "group int, ids binary, keys binary, counts binary, known binary, codes binary")
-    found = sent.groupBy("group").applyInArrow(subtree, "doc_id long, key long, group int, bits binary")
-    return found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("group", "bits")).alias("found")), spec
+            any_ = np.add.reduceat(bits, np.append(0, np.cumsum(counts))[:-1], dtype=np.int64) > 0
+            if any_.any():
+                out.append((batch, group, own[any_].tobytes(), counts[any_].tobytes(), np.packbits(bits[np.repeat(any_, counts)]).tobytes()))
+        x = list(zip(*out)) or [()] * 5
+        return pa.table({"batch": pa.array(x[0], pa.int64()), "group": pa.array(x[1], pa.int32()), "rows": pa.array(x[2], pa.binary()), "counts": pa.array(x[3], pa.binary()), "bits": pa.array(x[4], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        """What all groups found for the rows of one batch: for each row, group after group, its repeated suffixes as bits."""
+        found: dict[int, list[bytes]] = {}
+        ids = keys = np.zeros(0, np.int64)
+        for group, own, counts, bits in zip(*(table.column(c).to_pylist() for c in ("group", "rows", "counts", "bits"))):
+            if group == TABLE:
+                ids, keys = np.frombuffer(own, np.int64), np.frombuffer(counts, np.int64)
+                continue
+            counts = np.frombuffer(counts, np.int32)
+            bits = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(counts.sum()))
+            at = 0
+            for row, n in zip(np.frombuffer(own, np.int32).tolist(), counts.tolist()):
+                found.setdefault(row, []).append(struct.pack("<ii", group, n) + np.packbits(bits[at : at + n]).tobytes())
+                at += n
+        rows = np.fromiter(found, np.int64, len(found))
+        return pa.table({"doc_id": pa.array(ids[rows], pa.int64()), "key": pa.array(keys[rows], pa.int64()), "found": pa.array([b"".join(x) for x in found.values()], pa.binary())})
+
+    sent = rows.mapInArrow(leaves, "batch long, group int, ids binary, rows binary, counts binary, known binary, codes binary")
+    trees = sent.groupBy("group").applyInArrow(subtree, "batch long, group int, rows binary, counts binary, bits binary")
+    found = trees.groupBy("batch").applyInArrow(gather, "doc_id long, key long, found binary")
+    # Rows that are equal found the same, in one batch or several.
+    return found.groupBy("doc_id", "key").agg(F.first("found").alias("found")), spec
+
+
+def unpacked(found: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    at = 0
+    while at < len(found):
+        group, n = struct.unpack_from("<ii", found, at)
+        at += 8
+        end = at + (n + 7) // 8
+        yield group, np.unpackbits(np.frombuffer(found[at:end], np.uint8), count=n).astype(bool)
+        at = end
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -177,23 +212,22 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     hot, count = spec["hot"], spec["count"]
     found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_own"), F.col("found").alias("_found"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(int(LAST))).alias("_d"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("_k"))
-    joined = rows.join(found, (F.col("_d") == F.col("_id")) & (F.col("_k") == F.col("_own")), "left").select("row", F.col("row.text").alias("text"), "_found")
+    joined = rows.join(found, (F.col("_d") == F.col("_id")) & (F.col("_k") == F.col("_own")), "left").select("row", "_found")
     kinds = f"row {joined.schema['row'].dataType.simpleString()}"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "row.text"):
             sizes, spans, kept = [], [], []
-            for text, pieces in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist()):
+            for text, pieces in zip(pc.struct_field(batch.column("row"), "text").to_pylist(), batch.column("_found").to_pylist()):
                 words, own = (text or "").encode().split(), []
                 sizes.append(len(words))
                 if pieces:
-                    h = hash_words(words)
+                    h = hash_text((text or "").encode())
                     group, _ = groups(h, len(h) - width + 1, hot, count, width)
                     edge = np.zeros(len(words) + 1, np.int32)
-                    for piece in pieces:
-                        at = np.flatnonzero(group == piece["group"])
-                        at = at[np.unpackbits(np.frombuffer(piece["bits"], np.uint8), count=len(at)).astype(bool)]
+                    for number, bits in unpacked(pieces):
+                        at = np.flatnonzero(group == number)[bits]
                         edge[at] += 1
                         edge[at + width] -= 1
                     covered = np.cumsum(edge[:-1]) > 0
