@@ -8,12 +8,12 @@ n - ceil(threshold * n) + l n-grams, which are the keys two sets can meet by:
 * large sets use its n-grams one by one (l = 1) and meet in inverted lists. Sets just below the boundary do both.
 
 The boundary is where enumerating subsets costs as much as the list entries a key would meet, from a census of all sets.
-A list is light if it has at most ``LIGHT`` nodes: all its pairs are counted. A heavy list pairs its nodes with one
-pivot, the one with most of its n-grams in many sets. Pairs whose shared keys cannot add up to the threshold are
-dropped by that bound; all others are verified on whole sets. A pair that met only in heavy lists, and lies in
-different components after that, is verified in a second round; so no link is lost and copies aren't paired with each
-other. Lists, sets and pairs are dealt by hash; the frequent n-grams told to all tasks are ``MOST_FREQUENT`` at most,
-and only the order depends on them, not the result.
+A list is light if it has at most ``LIGHT`` nodes: all its pairs are counted, and those whose shared keys cannot add up
+to the threshold are dropped by that bound. A heavy list only ties its nodes together. Nodes that hang together by
+pairs or heavy lists form a cluster; its whole sets are shipped once to one task, which scans their inverted lists and
+verifies exactly. A cluster of more than ``TOGETHER`` n-grams is cut into blocks, and each pair of blocks is a task.
+The frequent n-grams told to all tasks are ``MOST_FREQUENT`` at most, and only the order depends on them, not the
+result.
 
 n-grams and sets are compared by 64-bit hashes. Null texts and texts without a word are empty sets and link with
 nothing. Rows that share an id are sets of their own; rows without an id take part, and a component's id is the
@@ -22,6 +22,7 @@ smallest id in it. Repeated rows get equal results. Other columns are dropped.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,17 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import components, hash_words, parts, pieces_of, stage, text_key
+from binforge.llm.common import BROADCAST_ROWS, components, hash_texts, parts, pieces_of, stage, text_key
 
 WIDTH = 5
 PERCENT = 75
 LIGHT = 48
 MOST_FREQUENT = 1 << 20
-#: Entries that one list group, and nodes that one verification, should hold.
+#: Entries that one list group, and n-grams that one block of a cluster, should hold.
 GROUP = 1_000_000
-TOGETHER = 512
-#: Rows up to which verification tasks are looked up by broadcast instead of a shuffle.
-BROADCAST_ROWS = 1_000_000
+TOGETHER = 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SUBSET = np.uint64(0xD6E8FEB86659FD93)
 
@@ -52,16 +51,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted set of a text's hashed n-grams."""
-    h = hash_words((text or "").encode().lower().split())
-    if not len(h):
-        return h
-    n = max(1, len(h) - width + 1)
-    code = np.full(n, min(len(h), width), np.uint64)
-    for j in range(min(len(h), width)):
-        code = (code + h[j : j + n]) * _M
-    return np.unique(_mix(code))
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
+    """The sorted set of hashed n-grams of each text."""
+    h, sizes = hash_texts([(t or "").encode().lower() for t in texts])
+    code = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    for j in range(width):
+        code = (code + h[j : j + len(code)]) * _M
+    code = _mix(code + np.uint64(width))
+    out, at = [], 0
+    for n in sizes.tolist():
+        if n >= width:
+            out.append(np.unique(code[at : at + n - width + 1]))
+        elif n:
+            one = np.zeros(1, np.uint64)
+            for x in h[at : at + n]:
+                one = (one + x) * _M
+            out.append(_mix(one + np.uint64(n)))
+        else:
+            out.append(h[:0])
+        at += n
+    return out
 
 
 def node_of(codes: np.ndarray) -> int:
@@ -94,7 +103,7 @@ def _census(rows: DataFrame, width: int) -> tuple[np.ndarray, float, int]:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
-            sets = {node_of(c): c for c in (shingles(t, width) for t in batch.column("text").to_pylist())}
+            sets = {node_of(c): c for c in shingle_sets(batch.column("text").to_pylist(), width)}
             if codes := [c[: np.searchsorted(c, np.uint64(1 << 63))] for c in sets.values()]:
                 codes, n = np.unique((np.concatenate(codes) >> np.uint64(32)).astype(np.uint32), return_counts=True)
                 order, at = _dealt(codes.astype(np.uint64), count)
@@ -134,22 +143,25 @@ def boundary(light_length: float, percent: int = PERCENT) -> int:
     return n
 
 
-def keys_of(codes: np.ndarray, frequent: np.ndarray, small: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """Keys of one set, and which part of its n-grams is frequent, 0 to 255."""
+def keys_of(codes: np.ndarray, frequent: np.ndarray, small: int, percent: int = PERCENT) -> np.ndarray:
+    """Keys of one set that isn't empty."""
     n = len(codes)
-    late = (codes < np.uint64(1 << 63)) & _within((codes >> np.uint64(32)).astype(np.uint32), frequent)
-    share = 255 * int(late.sum()) // max(1, n)
     p = n - least_shared(n, percent) + 1
-    first = codes[~late][: p + 1]
+    half = int(np.searchsorted(codes, np.uint64(1 << 63)))
+    for look in (min(half, 2 * p + 8), half):  # most sets have their prefix within the first codes
+        late = _within((codes[:look] >> np.uint64(32)).astype(np.uint32), frequent)
+        if look - int(late.sum()) > p:
+            break
+    first = codes[:look][~late][: p + 1]
     if len(first) <= p:
-        first = np.concatenate((first, codes[late][: p + 1 - len(first)]))
+        first = np.concatenate((first, codes[half:], codes[:half][late]))[: p + 1]
     keys = []
     if n <= small and n > 1:
         i, j = np.triu_indices(len(first), 1)
         keys.append(_mix((first[i] * _M + first[j]) ^ _SUBSET))
     if 100 * n > percent * small or n > small:
         keys.append(first[:p])
-    return (np.concatenate(keys) if keys else first[:0]), share
+    return np.concatenate(keys) if keys else first[:0]
 
 
 def _compatible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -165,17 +177,17 @@ def _lists(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
-            sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(batch.column("text").to_pylist(), width)
             nodes = [node_of(c) for c in sets]
             one = {node: c for node, c in zip(nodes, sets) if len(c)}
             made = [keys_of(c, told.value, small, percent) for c in one.values()]
             if one:
-                size = np.fromiter((len(k) for k, _ in made), np.int64, len(made))
-                keys = np.concatenate([k for k, _ in made])
+                size = np.fromiter(map(len, made), np.int64, len(made))
+                keys = np.concatenate(made)
                 of = np.repeat(np.arange(len(made)), size)
                 order, at = _dealt(keys, count)
                 keys, of = keys[order], of[order]
-                about = [np.fromiter(x, t, len(one)) for x, t in ((one, np.int64), (map(len, one.values()), np.int32), ((s for _, s in made), np.uint8))]
+                about = [np.fromiter(x, t, len(one)) for x, t in ((one, np.int64), (map(len, one.values()), np.int32))]
                 blobs = []
                 for i in range(count):
                     if at[i] < at[i + 1]:
@@ -185,21 +197,21 @@ def _lists(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
             else:
                 blobs = []
             k, m = len(nodes), len(blobs)
-            b = list(zip(*blobs)) or [()] * 6
+            b = list(zip(*blobs)) or [()] * 5
             none = [None] * k
             arrays = [pa.array([*batch.column("doc_id").to_pylist(), *[None] * m], pa.int64()), pa.array([*batch.column("key").to_pylist(), *[None] * m], pa.int64()), pa.array([*nodes, *[None] * m], pa.int64()), pa.array([*map(len, sets), *[None] * m], pa.int64()), pa.array([*none, *b[0]], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([*none, *x], pa.binary()) for x in b[1:])], names=["doc_id", "key", "node", "n", "bucket", "keys", "nodes", "sizes", "shares", "counts"])
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([*none, *x], pa.binary()) for x in b[1:])], names=["doc_id", "key", "node", "n", "bucket", "keys", "nodes", "sizes", "counts"])
 
     def meet(table: pa.Table) -> pa.Table:
-        """Rows a, b, k: for light lists pairs with k shared keys; for heavy lists pairs with the pivot (k = 0), (a, list) as k = -1, and a alone with its number of heavy keys as k <= -2."""
-        blob = [table.column(c).to_pylist() for c in ("keys", "nodes", "sizes", "shares", "counts")]
+        """Rows a, b, k: pairs of light lists with k shared keys, ties of heavy lists as k = 0, and a's number of heavy keys as -k."""
+        blob = [table.column(c).to_pylist() for c in ("keys", "nodes", "sizes", "counts")]
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in blob[0]])
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in blob[4]])
-        node, size, share = (np.repeat(np.concatenate([np.frombuffer(x, t) for x in blob[i]]), counts) for i, t in ((1, np.int64), (2, np.int32), (3, np.uint8)))
+        counts = np.concatenate([np.frombuffer(x, np.int32) for x in blob[3]])
+        node, size = (np.repeat(np.concatenate([np.frombuffer(x, t) for x in blob[i]]), counts) for i, t in ((1, np.int64), (2, np.int32)))
         order = np.lexsort((node, keys))
-        keys, node, size, share = keys[order], node[order], size[order].astype(np.int64), share[order]
+        keys, node, size = keys[order], node[order], size[order].astype(np.int64)
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])))
-        keys, node, size, share = keys[new], node[new], size[new], share[new]
+        keys, node, size = keys[new], node[new], size[new]
         start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         length = np.diff(np.append(start, len(keys)))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -216,76 +228,95 @@ def _lists(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
         out = [(a[first], b[first], np.diff(np.append(first, len(a))))]
         heavy = defaultdict(int)
         for s, m in zip(start[length > LIGHT], length[length > LIGHT]):
-            own, n = node[s : s + m], size[s : s + m]
-            pivot = int(np.lexsort((own, -share[s : s + m].astype(np.int64)))[0])
-            fine = _compatible(n, n[pivot], percent)
-            fine[pivot] = False
-            out.append((np.minimum(own[fine], own[pivot]), np.maximum(own[fine], own[pivot]), np.zeros(fine.sum(), np.int64)))
-            out.append((own, np.full(m, keys[s]).view(np.int64), np.full(m, -1)))
+            own = node[s : s + m]
+            out.append((np.repeat(own[:1], m - 1), own[1:], np.zeros(m - 1, np.int64)))
             for x in own.tolist():
                 heavy[x] += 1
         if heavy:
             x = np.fromiter(heavy, np.int64, len(heavy))
-            out.append((x, x, -1 - np.fromiter(heavy.values(), np.int64, len(heavy))))
+            out.append((x, x, -np.fromiter(heavy.values(), np.int64, len(heavy))))
         return pa.table({c: np.concatenate(x).astype(np.int64) for c, x in zip("abk", zip(*out))})
 
-    sent = stage(rows.mapInArrow(send, "doc_id long, key long, node long, n long, bucket int, keys binary, nodes binary, sizes binary, shares binary, counts binary"), "shingles")
+    sent = stage(rows.mapInArrow(send, "doc_id long, key long, node long, n long, bucket int, keys binary, nodes binary, sizes binary, counts binary"), "shingles")
     met = sent.where("bucket is not null").drop("doc_id", "key", "node", "n").groupBy("bucket").applyInArrow(meet, "a long, b long, k long")
     return sent.where("bucket is null").select("doc_id", "key", "node", "n"), stage(met, "lists"), small
 
 
-def _verify(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the same components as those of ``pairs`` that reach the threshold.
-
-    Pairs that hang together are verified in one task and their sets shipped once; in components of more than
-    ``TOGETHER`` nodes a task has some of one node's pairs.
-    """
-    spark = rows.sparkSession
-    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
-    group = components(pairs)
-    large = group.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > TOGETHER).select(F.col("component").alias("_big"))
-    degree = pairs.groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("_d"))
-    task = F.when(F.col("_big").isNull(), F.xxhash64(F.lit("together"), "component")).otherwise(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("_d") / TOGETHER))))
-    dealt = pairs.join(group, F.col("a") == F.col("node")).join(large, F.col("component") == F.col("_big"), "left").join(degree, F.col("a") == F.col("_a"))
-    dealt = stage(dealt.select(task.alias("task"), "a", "b"), "dealt")
-    wanted = dealt.select("task", F.col("a").alias("node")).union(dealt.select("task", "b")).distinct()
-    # One row of the documents stands for each node.
-    one = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("_r"))
-    wanted = stage(wanted.join(one, "node").select(F.col("_r.doc_id").alias("_d"), F.col("_r.key").alias("_k"), "task", "node").groupBy("_d", "_k", "node").agg(F.collect_list("task").alias("tasks")), "wanted")
+def _verify(rows: DataFrame, nodes: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of all pairs, within the clusters of ``edges``, that reach the threshold."""
+    cluster = components(edges)
+    size = nodes.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("_r"))  # one row stands for each node
+    own = stage(cluster.join(size, "node"), "clusters")
+    whole = own.groupBy("component").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("blocks")).withColumnRenamed("component", "_c")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = own.join(whole, F.col("component") == F.col("_c")).withColumn("block", block)
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.xxhash64("component", F.least(i, F.col("block")), F.greatest(i, F.col("block"))).alias("task"), (i != F.col("block")).alias("across")))
+    wanted = stage(own.select(F.col("_r.doc_id").alias("_d"), F.col("_r.key").alias("_k"), "node", "block", tasks.alias("tasks")), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    chosen = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("text", "node", "tasks")
+    chosen = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("text", "node", "block", "tasks")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
-            out = []
-            for text, node, tasks in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "tasks"))):
-                codes = shingles(text, width).tobytes()
-                out += [(t, node, codes) for t in tasks]
-            x = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.binary())], names=["task", "node", "codes"])
-
-    def check(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        codes = {k: np.frombuffer(v, np.uint64) for k, v in zip(sets.column("node").to_pylist(), sets.column("codes").to_pylist())}
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
-
-        links = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            if (x := root(a)) != (y := root(b)):
-                both = np.intersect1d(codes[a], codes[b], assume_unique=True).size
-                if 100 * both >= percent * (len(codes[a]) + len(codes[b]) - both):
-                    up[max(x, y)] = min(x, y)
-                    links.append((a, b))
-        x = list(zip(*links)) or [(), ()]
-        return pa.table({"a": pa.array(x[0], pa.int64()), "b": pa.array(x[1], pa.int64())})
-
-    sets = chosen.mapInArrow(send, "task long, node long, codes binary")
-    return stage(sets.groupBy("task").cogroup(dealt.groupBy("task")).applyInArrow(check, "a long, b long"), "links")
+            texts, node, block, tasks = (batch.column(c).to_pylist() for c in ("text", "node", "block", "tasks"))
+            out = [(t["task"], t["across"], n, b, c) for n, b, ts, c in zip(node, block, tasks, map(np.ndarray.tobytes, shingle_sets(texts, width))) for t in ts]
+            x = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.bool_()), pa.array(x[2], pa.int64()), pa.array(x[3], pa.int32()), pa.array(x[4], pa.binary())], names=["task", "across", "node", "block", "codes"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[int, int]] = []
+        for _, group in itertools.groupby((x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("task", "across", "node", "block", "codes")))), key=lambda x: x[0]):
+            members = {x[2]: x for x in group}  # a repeated row of the documents sends its set again
+            links += linked([(x[2], x[3], np.frombuffer(x[4], np.uint64)) for x in members.values()], next(iter(members.values()))[1], percent)
+            if len(links) > 10_000:
+                yield _pairs(links)
+                links = []
+        yield _pairs(links)
+
+    sent = chosen.mapInArrow(send, "task long, across boolean, node long, block int, codes binary")
+    return stage(sent.repartition("task").sortWithinPartitions("task").mapInArrow(check, "a long, b long"), "links")
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def linked(members: list[tuple[int, int, np.ndarray]], across: bool, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among (node, block, codes), by scanning inverted lists; ``across``: of two blocks."""
+    size = np.fromiter((len(c) for _, _, c in members), np.int64, len(members))
+    block = np.fromiter((b for _, b, _ in members), np.int64, len(members))
+    code = np.unique(np.concatenate([c for _, _, c in members]), return_inverse=True)[1]
+    of = np.repeat(np.arange(len(members)), size)
+    order = np.argsort(code, kind="stable")
+    lists, starts = of[order], np.searchsorted(code[order], np.arange(code.max() + 2))
+    at = np.append(0, np.cumsum(size))
+    up = np.arange(len(members))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for i in range(len(members)):
+        own = code[at[i] : at[i + 1]]
+        first, n = starts[own], starts[own + 1] - starts[own]
+        many = n > 1
+        if not many.any():
+            continue
+        first, n = first[many], n[many]
+        met = lists[np.repeat(first - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())]
+        both = np.bincount(met, minlength=len(members))
+        fits = (100 + percent) * both >= percent * (size[i] + size)
+        fits[: i + 1] = False
+        if across:
+            fits &= block != block[i]
+        for j in np.flatnonzero(fits).tolist():
+            if (x := root(i)) != (y := root(j)):
+                up[max(x, y)] = min(x, y)
+                out.append((members[i][0], members[j][0]))
+    return out
 
 
 def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -293,27 +324,17 @@ def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_key(), F.lit(0)).alias("key"), "text")
     nodes, met, small = _lists(rows, width, percent)
     size = nodes.groupBy("node").agg(F.first("n").alias("n"))
-    heavy = met.where("k < -1").groupBy(F.col("a").alias("_h")).agg(F.sum(-F.col("k") - 1).alias("heavy"))
+    heavy = met.where("k < 0").groupBy(F.col("a").alias("_h")).agg(F.sum(-F.col("k")).alias("heavy"))
     about = size.join(heavy, F.col("node") == F.col("_h"), "left").select("node", "n", F.coalesce("heavy", F.lit(0)).alias("heavy"))
-    pairs = met.where("k >= 0").groupBy("a", "b").agg(F.sum("k").alias("k"))
+    pairs = met.where("k > 0").groupBy("a", "b").agg(F.sum("k").alias("k"))
     for x in "ab":
         pairs = pairs.join(about.select(F.col("node").alias(f"_{x}"), F.col("n").alias(f"n{x}"), F.col("heavy").alias(f"h{x}")), F.col(x) == F.col(f"_{x}"))
     # Shared n-grams are at most those of the prefixes (counted, or in heavy lists) and what follows one of the prefixes.
     # Small sets meet by subsets, whose number bounds nothing: their pairs are all verified.
     most = F.col("k") + F.least("ha", "hb") + F.greatest(*[F.expr(f"(n{x} * {percent} + 99) div 100 - 1") for x in "ab"])
     possible = (F.least("na", "nb") <= small) | (most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    links = _verify(rows, nodes, pairs.where(possible), width, percent)
-    found = components(links)
-    # Pairs of heavy lists that are still apart: lists within one component need no more.
-    lists = met.where("k = -1").select(F.col("b").alias("list"), F.col("a").alias("node")).join(size, "node").join(found, "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = lists.groupBy("list").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("list")
-    lists = stage(lists.join(split, "list"), "apart")
-    if not lists.isEmpty():
-        left, right = (lists.select("list", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-        fit = (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        more = left.join(right, "list").where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = links.union(_verify(rows, nodes, more, width, percent))
-        found = components(links)
+    edges = pairs.where(possible).select("a", "b").union(met.where("k = 0").select("a", "b"))
+    found = components(_verify(rows, nodes, edges, width, percent))
     out = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = out.where("n > 0").groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_first"))
     out = out.join(first, (F.col("component") == F.col("_c")) & (F.col("n") > 0), "left")
