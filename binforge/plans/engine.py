@@ -50,7 +50,7 @@ class HistogramEngine:
         if not found:
             raise ValueError("no sample has files")
         there = set().union(*(df.columns for _, df in found))
-        self.control = [v for v in c.control if v in there]
+        self.control = [v for v in c.control if v in there] or sorted(there)[:2]  # something to look at if nothing configured is there
         self.pairs = [p for p in c.pairs if p.truth in there and p.reco in there]
         extra = [c.asymmetry.column, *c.asymmetry.weights] if c.asymmetry and c.asymmetry.column in there else []
         names = list(dict.fromkeys([*self.control, *(x for p in self.pairs for x in (p.truth, p.reco)), *(x for x in extra if x in there)]))

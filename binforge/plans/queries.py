@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from binforge.functions import binning, scalar
 from binforge.functions.binning import Binning
-from binforge.operators import agreement, fill, lookups, ordering, selection
+from binforge.operators import agreement, display, fill, lookups, ordering, selection
 from binforge.plans import virtual as v
 from binforge.sources import catalog, histograms
 from binforge.streaming.fill import fill_stream
@@ -354,6 +354,17 @@ def pion_extract(spark, sf_dir):
     return flat.select("vec_id", F.size(pions).cast("long").alias("n"), F.array_join(F.transform(pions, lambda p: p["type"]), ",").alias("types"), lookups.leg_kind(pions).alias("leg"))
 
 
+@query("""WITH p AS (SELECT vec_id, unnest([1, 2]) AS leg, unnest([embedding[1] * 100.0, embedding[4] * 100.0]) AS pt, unnest([embedding[2] * 20.0, embedding[5] * 20.0]) AS eta, unnest([embedding[3] * 10.0, embedding[6] * 10.0]) AS phi, embedding[7] AS q FROM embeddings),
+c AS (SELECT vec_id, leg, q, pt * cos(phi) AS x, pt * sin(phi) AS y, pt * (exp(greatest(-6, least(6, eta))) - exp(-greatest(-6, least(6, eta)))) / 2 AS z FROM p), n AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM c)
+SELECT vec_id, CAST(leg AS VARCHAR) AS leg, CASE WHEN leg = 1 AND q > 0 THEN 'tau' ELSE 'muon' END AS kind, round(2 * x / n, 5) + 0.0 AS x, round(0.4 * z / n, 5) + 0.0 AS vz, CASE WHEN leg = 1 AND q > 0 THEN 'magenta' ELSE '' END AS colors FROM n WHERE n > 0""".replace("embedding[7]", "CAST(embedding[7] AS DOUBLE)").replace("embedding[", "CAST(embedding[").replace("] *", "] AS DOUBLE) *").replace("CAST(CAST(", "CAST(", 1))
+def event_display(spark, sf_dir):
+    e = v.table(spark, sf_dir, "embeddings")
+    scales = {"pt_1": (0, 100), "eta_1": (1, 20), "phi_1": (2, 10), "pt_2": (3, 100), "eta_2": (4, 20), "phi_2": (5, 10), "pi0_pt_1": (6, 1)}
+    flat = e.select("vec_id", *[(F.get("embedding", i).cast("double") * k).alias(name) for name, (i, k) in scales.items()])
+    out = display.legs(flat, ["vec_id"], length=2.0)
+    return out.select("vec_id", "leg", "kind", (F.round("end.x", 5) + 0.0).alias("x"), (F.round("vertex.z", 5) + 0.0).alias("vz"), F.array_join(F.transform("pions", lambda p: p["color"]), ",").alias("colors"))
+
+
 # ---- heads, unions, sets
 
 
@@ -368,6 +379,14 @@ def head_events(spark, sf_dir):
     return ordering.head(v.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber"), "l_returnflag", ["l_orderkey", "l_linenumber"], 5)
 
 
+@query("SELECT l_linestatus, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 2")
+def head_of_files(spark, sf_dir):
+    path = _scratch(spark, "files")
+    line = v.table(spark, sf_dir, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber")
+    line.repartition("l_linestatus").write.partitionBy("l_linestatus").parquet(path)
+    return catalog.head_of_files(spark.read.parquet(path), ["l_orderkey", "l_linenumber"], 2).select("l_linestatus", "l_orderkey", "l_linenumber")
+
+
 @query("SELECT 'customer' AS sample, count(*) AS n, round(sum(c_acctbal), 2) AS total, 0 AS named FROM customer UNION ALL SELECT 'supplier', count(*), round(sum(s_acctbal), 2), 0 FROM supplier UNION ALL SELECT 'nation', count(*), NULL, count(*) FROM nation")
 def union_missing_columns(spark, sf_dir):
     parts = [v.table(spark, sf_dir, "customer").select(F.lit("customer").alias("sample"), F.col("c_acctbal").alias("x")), v.table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("sample"), F.col("s_acctbal").alias("x")), v.table(spark, sf_dir, "nation").select(F.lit("nation").alias("sample"), F.col("n_name").alias("name"))]

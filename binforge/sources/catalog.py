@@ -121,3 +121,50 @@ def compact(spark: SparkSession, folder: str, out: str, files: int = 1) -> DataF
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
     df.coalesce(files).write.mode("errorifexists").option("compression", "zstd").parquet(out)
     return spark.read.parquet(out)
+
+
+def select_file(spark: SparkSession, path: str | Path, cuts: dict[str, float] | None) -> DataFrame:
+    """One Parquet or CSV file after the cuts on the columns it has."""
+    from binforge.operators.selection import select
+
+    return select(read(spark, [path], format_of([Path(path)])), cuts)
+
+
+def read_processes(spark: SparkSession, samples: tuple[Sample, ...], processes: dict[str, tuple[str, ...]], root: str | Path = ".") -> DataFrame:
+    """All events of all processes' samples, with process and sample; columns a sample lacks are null."""
+    of = {s: p for p, own in processes.items() for s in own}
+    found = [read(spark, files, fmt).withColumns({"sample": F.lit(s.name), "process": F.lit(of[s.name])}) for s, files, fmt in index(samples, root) if s.name in of]
+    if not found:
+        raise ValueError("no process has files")
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def inspect(spark: SparkSession, samples: tuple[Sample, ...], root: str | Path = ".") -> DataFrame:
+    """kind, sample, column and type of the first sample of each kind that has files."""
+    rows, seen = [], set()
+    for s, files, fmt in index(samples, root):
+        if s.kind not in seen:
+            seen.add(s.kind)
+            rows += [(s.kind, s.name, c, t) for c, t in read(spark, files[:1], fmt).dtypes]
+    return spark.createDataFrame(rows, "kind string, sample string, column string, type string")
+
+
+def head_of_files(df: DataFrame, order: list[str], n: int = 1) -> DataFrame:
+    """The first n rows of each file that ``df``, read from files, comes from."""
+    rank = F.row_number().over(Window.partitionBy("_file").orderBy(*order))
+    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_n", rank).where(F.col("_n") <= n).drop("_file", "_n")
+
+
+def next_folder(parent: str | Path, prefix: str = "Plots-") -> Path:
+    """The first of prefix0, prefix1, ... that doesn't exist, made."""
+    i = 0
+    while True:
+        path = Path(parent) / f"{prefix}{i}"
+        try:
+            path.mkdir(parents=True)
+            return path
+        except FileExistsError:
+            i += 1

@@ -84,3 +84,30 @@ def test_csv_projection(spark, tmp_path):
     (tmp_path / "a.csv").write_text("H.m,H.pt\n1,2\n3,x\n")
     df = catalog.read(spark, [tmp_path / "a.csv"], "csv")
     assert df.columns == ["H.m", "H.pt"] and df.select(F.col("`H.m`")).count() == 2
+
+
+def test_convenience_readers(spark, tmp_path):
+    c = _write(tmp_path, spark)
+    assert catalog.select_file(spark, tmp_path / "a.parquet", {"pt_1_min": 25}).count() == 3
+    both = catalog.read_processes(spark, c.samples, {p.name: p.samples for p in c.processes}, tmp_path)
+    assert both.count() == 6 and both.where("process = 'data' and os is null").count() == 2
+    assert {(r["kind"], r["sample"]) for r in catalog.inspect(spark, c.samples, tmp_path).collect()} == {("mc", "A_x"), ("data", "D")}
+    assert [catalog.next_folder(tmp_path / "p").name for _ in range(2)] == ["Plots-0", "Plots-1"]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import sys
+
+    from binforge import __main__ as cli
+
+    _write(tmp_path, spark)
+    for args in (["fill", f"{tmp_path}/cfg", "--out", f"{tmp_path}/plots"], ["render", f"{tmp_path}/cfg", f"{tmp_path}/plots/Plots-0/histograms", "--out", f"{tmp_path}/plots"]):
+        monkeypatch.setattr(sys, "argv", ["binforge", "--root", str(tmp_path), *args])
+        cli.main()
+    assert spark.read.parquet(f"{tmp_path}/plots/Plots-1/stacks").count() > 0
+    assert spark.read.parquet(f"{tmp_path}/plots/Plots-0/agreement").count() > 0
+    (tmp_path / "b/2022/mt/DYto2L").mkdir(parents=True)
+    (tmp_path / "b/2022/mt/DYto2L/x.parquet").write_text("not empty, which a listing would leave out")
+    monkeypatch.setattr(sys, "argv", ["binforge", "--root", str(tmp_path), "catalogue", f"{tmp_path}/b", "2022", "mt", "--out", f"{tmp_path}/cat"])
+    cli.main()
+    assert json.loads((tmp_path / "cat/files.json").read_text())["samples"]["DYto2L"]["files"] == ["b/2022/mt/DYto2L/x.parquet"]
