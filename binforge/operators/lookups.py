@@ -31,7 +31,7 @@ def with_weight(samples: DataFrame, params: DataFrame, lumi: float) -> DataFrame
 
 
 def by_substring(names: DataFrame, processes: DataFrame, name: str = "name") -> DataFrame:
-    """process and color of the first listed sample that the name contains, else unknown and white."""
+    """process and color of the first listed sample that the name contains, else unknown and white; equal rows become one."""
     p = F.broadcast(processes.select(F.col("process").alias("_p"), F.col("color").alias("_c"), F.col("draw_idx").alias("_d"), F.posexplode("samples").alias("_i", "_s")))
     found = names.join(p, F.contains(F.col(name), F.col("_s")), "left")
     first = found.groupBy(*names.columns).agg(F.min_by(F.struct("_p", "_c"), F.struct("_d", "_i")).alias("_f"))
