@@ -29,10 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_STAGED: list[str] = []
+
+
+def release() -> None:
+    """Delete what this driver has staged, once no result that was made from it is needed any more."""
+    from pyarrow import fs
+
+    while _STAGED:
+        system, path = fs.FileSystem.from_uri(_STAGED.pop())
+        system.delete_dir(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later reads survive a lost executor."""
+    """Write ``df`` once to the shared folder and read it back: later reads survive a lost executor. See ``release``."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -121,22 +134,21 @@ def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) for each node in ``links`` (a, b: long).
 
-    Large-star and small-star steps until nothing changes; each round is a stored table, so a lost executor costs
-    one round. Minima are aggregated before they are joined, so a node with very many links is no single task.
+    Large-star and small-star steps until only stars are left, none if they come as such. Each round is a stored table,
+    so a lost executor costs one round. Minima are aggregated before they are joined, so a node with very many links is
+    no single task.
     """
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
     while True:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("leaf").alias("l"), F.max("centre").alias("c")).where("l > 1 or l > 0 and c > 0").isEmpty():
+            break
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = stage(small.where("u <> v").distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(edges.select("v", "v").distinct())
 

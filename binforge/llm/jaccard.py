@@ -243,7 +243,7 @@ def _lists(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
 
 
 def _verify(rows: DataFrame, nodes: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the components of all pairs, within the clusters of ``edges``, that reach the threshold."""
+    """Stars (a, b) with the components of all pairs, within the clusters of ``edges``, that reach the threshold."""
     cluster = components(edges)
     size = nodes.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("_r"))  # one row stands for each node
     own = stage(cluster.join(size, "node"), "clusters")
@@ -282,7 +282,7 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def linked(members: list[tuple[int, int, np.ndarray]], across: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among (node, block, codes), by scanning inverted lists; ``across``: of two blocks."""
+    """A star (node, smallest node) for each component of links among (node, block, codes), found by scanning inverted lists; ``across``: links of two blocks only."""
     size = np.fromiter((len(c) for _, _, c in members), np.int64, len(members))
     block = np.fromiter((b for _, b, _ in members), np.int64, len(members))
     code = np.unique(np.concatenate([c for _, _, c in members]), return_inverse=True)[1]
@@ -298,7 +298,6 @@ def linked(members: list[tuple[int, int, np.ndarray]], across: bool, percent: in
             x = up[x]
         return x
 
-    out = []
     for i in range(len(members)):
         own = code[at[i] : at[i + 1]]
         first, n = starts[own], starts[own + 1] - starts[own]
@@ -315,8 +314,11 @@ def linked(members: list[tuple[int, int, np.ndarray]], across: bool, percent: in
         for j in np.flatnonzero(fits).tolist():
             if (x := root(i)) != (y := root(j)):
                 up[max(x, y)] = min(x, y)
-                out.append((members[i][0], members[j][0]))
-    return out
+    roots = [root(i) for i in range(len(members))]
+    least: dict[int, int] = {}
+    for (node, _, _), r in zip(members, roots):
+        least[r] = min(node, least.get(r, node))
+    return [(node, least[r]) for (node, _, _), r in zip(members, roots) if node != least[r]]
 
 
 def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

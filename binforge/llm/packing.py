@@ -30,9 +30,9 @@ from binforge.llm.common import pieces_of, stage
 SEQUENCE = 2048
 END_ID = 1
 SALTS = 64
-_KNOWN = 400_000  # chunks and words that a worker remembers; beyond it the memory starts anew
-_WHITE = str.maketrans("\n\t\r", "   ")
+_KNOWN = 500_000  # chunks that a worker remembers, and half the words; after as many misses again it starts anew
 _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?])?")
+_MARKS = frozenset(".,;:!?")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -51,6 +51,7 @@ class _Ids(dict):
         self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.missed = 0
 
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
@@ -62,14 +63,20 @@ class _Ids(dict):
         return found
 
     def __missing__(self, chunk: str) -> bytes:
-        low = chunk.lower()
-        if m := _PLAIN.fullmatch(low):
-            found = self.word(m[1]) + (self.word(m[2]) if m[2] else b"")
-        elif low.isascii() and low.isprintable():
-            found = b"".join(map(self.word, _ASCII.findall(low)))
-        else:
-            found = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = found
+        low, words = chunk.lower(), self.words
+        found = words.get(low)  # a word of the pattern is one word by itself, too
+        if found is None and low[-1] in _MARKS and (own := words.get(low[:-1])) is not None and low[-2].isalpha():
+            found = own + self.word(low[-1])
+        if found is None:
+            if m := _PLAIN.fullmatch(low):
+                found = self.word(m[1]) + (self.word(m[2]) if m[2] else b"")
+            elif low.isascii() and low.isprintable():
+                found = b"".join(map(self.word, _ASCII.findall(low)))
+            else:
+                found = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self.missed += 1
+        if len(self) < _KNOWN:
+            self[chunk] = found
         return found
 
 
@@ -85,10 +92,11 @@ def _ids(texts: list[str], path: str) -> list[bytes]:
     The vocabulary drops white space and never merges across it, so each chunk between spaces is encoded once.
     """
     known = _tokenizer(path)
-    if len(known) > _KNOWN:
+    if known.missed > 4 * _KNOWN:
         known.clear()
+        known.missed = 0
     known[""] = b""
-    return [b"".join(map(known.__getitem__, t.translate(_WHITE).split(" "))) for t in texts]
+    return [b"".join(map(known.__getitem__, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
 
 def tokenize(docs: DataFrame, path: str, *, most: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from binforge.llm import bpe, chat, embeddings, jaccard, langid, licenses, packing, quality, substrings, warc
+from binforge.llm import bpe, chat, embeddings, jaccard, langid, licenses, oracles, packing, quality, substrings, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,4 +19,11 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.op1_sql(), "op8_chat_formatting": chat.OP8_SQL}
+    return {
+        "op1_license_scan": licenses.op1_sql(),
+        "op4_quality_rules": oracles.op4_sql(),
+        "op6_substring_dedup": oracles.op6_sql(),
+        "op8_chat_formatting": chat.OP8_SQL,
+        "op9_embedding_near_dedup": oracles.op9_sql(),
+        "op10_ngram_jaccard": oracles.op10_sql(),
+    }

@@ -253,3 +253,13 @@ def test_query_runs_whole_table(spark, name):
         assert n == spark.read.parquet(f"{SF}/{table}.parquet").count()
     else:
         assert n > 0
+
+
+def test_staged_tables_can_be_released(spark, tmp_path):
+    from binforge.llm import common
+
+    df = common.stage(spark.range(3), "test")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    common.release()
+    assert not os.path.exists(path) and not common._STAGED
