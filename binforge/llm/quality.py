@@ -3,7 +3,8 @@
 Lines are normalised (lower case, digit runs as 0, white space runs as one space) and hashed to 128 bits. For each host
 (``source``) and line the different documents with it are counted; exact copies are one document, since telling copies
 apart is left to the near-duplicate operators. A line above the limit is boilerplate: it stays only in the first
-document of the host that has it (smallest doc_id). Documents left with too few of their words are rejected.
+document of the host that has it (smallest doc_id). Documents left with too few of their words are rejected, and
+``clean`` takes the line, each time it occurs, out of the texts of all others.
 
 Null text has no words and fails the base rules. Rows that share an id are judged each by its own text; repeated rows
 get equal results. A null source is a host of its own. Other columns are dropped.
@@ -12,14 +13,16 @@ get equal results. A null source is a host of its own. Other columns are dropped
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from binforge.llm.common import pieces_of, stage, text_key
 
@@ -59,6 +62,11 @@ def _repeated(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
+def line_hash(words: list[bytes]) -> bytes:
+    """The hash of a line, normalised, from its words."""
+    return xxhash.xxh3_128_digest(_DIGITS.sub("0", b" ".join(words).decode().lower()).encode())
+
+
 def statistics(text: str) -> tuple[int, int, int, int, int, dict[bytes, int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and words by normalised line hash."""
     data = text.encode()
@@ -71,7 +79,7 @@ def statistics(text: str) -> tuple[int, int, int, int, int, dict[bytes, int]]:
         if own:
             dup += line in seen
             seen.add(line)
-            lines[xxhash.xxh3_128_digest(_DIGITS.sub("0", b" ".join(own).decode().lower()).encode())] += len(own)
+            lines[line_hash(own)] += len(own)
     chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
     return len(words), chars, len(_SYMBOLS.sub("", text)), dup, _repeated(words), lines
 
@@ -101,7 +109,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, *, line_limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_part: float = LEAST_PART) -> DataFrame:
-    """doc_id, key, text_hash, host, the statistics, base_failed, boilerplate_words and kept for each row of ``docs``."""
+    """doc_id, key, text_hash, host, the statistics, gone (hashes of lines to take out), base_failed, boilerplate_words and kept for each row of ``docs``."""
     docs = stage(measure(docs), "quality")
     lines = docs.select("doc_id", "text_hash", "host", F.explode("lines").alias("l")).select("doc_id", "text_hash", "host", "l.*")
     apart = lines.groupBy("host", "hi", "lo", "text_hash").agg(F.min("doc_id").alias("doc_id"))
@@ -111,7 +119,7 @@ def judge(docs: DataFrame, *, line_limit: int = LINE_LIMIT, least_words: int = L
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)))
     hits = salted.join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & (F.col("salt") == F.col("_salt")))
     hits = hits.where(~F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["host", "hi", "lo", "doc_id", "text_hash"])
-    lost = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("host").alias("_own")).agg(F.sum("words").alias("_lost"))
+    lost = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("host").alias("_own")).agg(F.sum("words").alias("_lost"), F.collect_list(F.struct("hi", "lo")).alias("gone"))
     rows = docs.drop("lines").join(lost, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")) & F.col("host").eqNullSafe(F.col("_own")), "left")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("boilerplate_words")
@@ -120,5 +128,38 @@ def judge(docs: DataFrame, *, line_limit: int = LINE_LIMIT, least_words: int = L
     return rows.withColumn("kept", kept).drop("_doc", "_hash", "_own", "_lost")
 
 
+def _without_lines(text: Column, gone: Column) -> Column:
+    """A text without the lines of the hashes ``gone``; null where the text is."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, hashes in batches:
+            out = []
+            for t, own in zip(texts, hashes):
+                if t.is_valid:
+                    out_of = {struct.pack("<qq", h["hi"], h["lo"]) for h in own.as_py()}
+                    out.append("\n".join(x for x in t.as_py().split("\n") if not (w := x.encode().split()) or line_hash(w) not in out_of))
+                else:
+                    out.append(None)
+            yield pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string", ArrowUDFType.SCALAR_ITER)(text, gone)
+
+
+def clean(docs: DataFrame, **limits: float) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all columns; text (and n_chars with it) is without its lines above the limit."""
+    found = judge(docs, **limits).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("host").alias("_host"), F.col("kept").alias("_kept"), F.col("gone").alias("_gone"))
+    found = stage(found.where("not _kept or _gone is not null").dropDuplicates(["_doc", "_key", "_host"]), "lines")
+    names = docs.columns
+    row = docs.select(F.struct(*[docs[c] for c in names]).alias("row"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.coalesce(F.xxhash64("row.text"), F.lit(0)) == F.col("_key")) & F.col("row.source").cast("string").eqNullSafe(F.col("_host"))
+    rows = row.join(found, same, "left").where(F.coalesce("_kept", F.lit(True)))
+    # Only texts with a line to lose go to Python.
+    rows = rows.withColumn("_new", _without_lines(F.when(F.col("_gone").isNotNull(), F.col("row.text")), F.col("_gone")))
+    new = {"text": F.coalesce("_new", "row.text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("_new").isNotNull(), F.char_length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key", "text_hash", "host")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key", "text_hash", "host", "gone")

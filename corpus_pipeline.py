@@ -15,8 +15,8 @@ from binforge.llm.common import stage, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line frequencies let pass."""
-    return without(docs, quality.judge(docs).where(~F.col("kept")))
+    """Documents that the base rules and the line frequencies let pass, without their lines above the limit."""
+    return quality.clean(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
