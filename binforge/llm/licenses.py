@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, with DataFrame functions.
 
-Texts are cut into sentences (at line feeds, and after . ; : ! ? before a space or tab) and normalised: A-Z in lower
-case, anything but a-z and 0-9 as one space. Known licence sentences turn into identifiers; a document's identifiers in
+Texts are cut into sentences (at blank lines, and after . ; : ! ? before white space, but not in "v. 2") and normalised:
+A-Z in lower case, anything but a-z and 0-9 as one space. Lines of a sentence are joined where a known one is wrapped, so
+it can be a line or several whole ones. Known licence sentences turn into identifiers; a document's identifiers in
 order of position are its sequence. A rule is a sequence of identifiers; it matches where its identifiers follow each
 other in the document's sequence, whatever unknown text stands between. The first matching rule decides; all are listed.
 
@@ -16,8 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import text_key
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Identifier of each known sentence, in its normal form.
@@ -28,7 +27,7 @@ SENTENCES = {
     "apache2-as-is": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
     "mit-notice": ["released under the mit license", "licensed under the mit license", "distributed under the mit license"],
     "mit-title": ["the mit license", "mit license", "the mit license mit"],
-    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
     "mit-condition": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
     "gpl3-notice": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"],
     "gpl-free": ["this program is free software"],
@@ -36,6 +35,8 @@ SENTENCES = {
     "gpl-grant2": ["either version 2 of the license or at your option any later version"],
     "gpl-terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
     "lgpl-terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "gpl-terms3": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl-terms3": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "mpl2-notice": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
@@ -61,6 +62,8 @@ RULES = [
     Rule("LGPL-3.0-or-later", ("gpl-free", "lgpl-terms", "gpl-grant3")),
     Rule("GPL-3.0-or-later", ("gpl-free", "gpl-terms", "gpl-grant3")),
     Rule("GPL-2.0-or-later", ("gpl-free", "gpl-terms", "gpl-grant2")),
+    Rule("LGPL-3.0-or-later", ("gpl-free", "lgpl-terms3")),
+    Rule("GPL-3.0-or-later", ("gpl-free", "gpl-terms3")),
     Rule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-endorse")),
     Rule("BSD-2-Clause", ("bsd-grant", "bsd-source")),
     Rule("GPL-3.0-only", ("gpl3-notice",)),
@@ -78,31 +81,31 @@ RULES = [
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, with blank ones in their places."""
+    """The text in normal form: a line feed at each line's end and a blank line at each sentence's."""
     text = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    text = F.regexp_replace(text, r"[.;:!?]+[ \t]+", "\n")
-    return F.split(F.regexp_replace(text, r"[^a-z0-9\n]+", " "), "\n")
+    text = F.regexp_replace(text, r"(?<![a-z0-9])(v|ver)\.(?=[ \t\r]*[ \t\r\n][ \t]*[0-9])", "$1")
+    text = F.regexp_replace(text, r"[.;:!?]+(?:[ \t\r]*\n|[ \t]+)", "\n\n")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9\n]+", " "), r" *\n *", "\n"))
+
+
+def _pattern(known: dict[str, list[str]]) -> str:
+    """A known sentence on one line or wrapped over several, from a line's beginning to a line's end; long ones first."""
+    forms = sorted((f for own in known.values() for f in own), key=len, reverse=True)
+    return "(?<![a-z0-9 ])(?:" + "|".join(f.replace(" ", "[ \n]") for f in forms) + ")(?![a-z0-9 ])"
 
 
 def scan(docs: DataFrame, known: dict[str, list[str]] | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id, n_known (known sentences), sequence (their identifiers), rules (numbers of those that match), licence."""
     known, rules = SENTENCES if known is None else known, RULES if rules is None else rules
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(s, k) for k, forms in known.items() for s in forms], "sentence string, ident string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("_key"), "text")
-    found = rows.select("doc_id", "_key", F.posexplode(sentences(F.col("text"))).alias("_at", "sentence")).withColumn("sentence", F.trim("sentence"))
-    found = found.join(F.broadcast(table), "sentence").dropDuplicates(["doc_id", "_key", "_at"])
-    found = found.groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_own")).agg(F.sort_array(F.collect_list(F.struct("_at", "ident")))["ident"].alias("sequence"))
+    idents = F.create_map(*[F.lit(x) for k, forms in known.items() for s in forms for x in (s, k)])
+    found = F.regexp_extract_all(sentences(F.col("text")), F.lit(_pattern(known)), F.lit(0))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
+    out = out.select("doc_id", F.transform("found", lambda s: F.element_at(idents, F.translate(s, "\n", " "))).alias("sequence"))
     text = F.concat(F.lit("|"), F.array_join("sequence", "|"), F.lit("|"))
     hits = [F.when(F.contains(text, F.lit("|" + "|".join(r.sequence) + "|")), F.lit(i)) for i, r in enumerate(rules)]
-    found = found.withColumn("rules", F.array_compact(F.array(*hits)))
+    out = out.withColumn("rules", F.array_compact(F.array(*hits)))
     names = F.array(*[F.lit(r.licence) for r in rules])
-    out = rows.drop("text").join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_key").eqNullSafe(F.col("_own")), "left")
-    none = F.array().cast("array<string>")
-    return out.select(
-        "doc_id", F.coalesce(F.size("sequence"), F.lit(0)).cast("long").alias("n_known"), F.coalesce("sequence", none).alias("sequence"),
-        F.coalesce("rules", F.array().cast("array<int>")).alias("rules"), F.when(F.size("rules") > 0, F.element_at(names, F.element_at("rules", 1) + 1)).alias("licence"),
-    )
+    return out.select("doc_id", F.size("sequence").cast("long").alias("n_known"), "sequence", "rules", F.when(F.size("rules") > 0, F.element_at(names, F.element_at("rules", 1) + 1)).alias("licence"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,3 +26,66 @@ def test_lines_above_the_limit_are_taken_out(spark):
     left = {(r["doc_id"], r["host"], r["n_words"]): r["n_words"] - r["boilerplate_words"] for r in quality.judge(df).collect()}
     assert all(left[r[0], r[3], len(r[1].split())] == len(e[1].split()) for r, e in zip(rows, expected))
     assert quality.clean(util.frame(spark, [])).count() == 0
+
+
+GPL = """    This program is free software{} you can redistribute it and/or modify
+    it under the terms of the GNU {}General Public License as published by
+    the Free Software Foundation{} either version {} of the License, or
+    (at your option) any later version."""
+GENUINE = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "MPL-2.0": """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "GPL-3.0-or-later": GPL.format(":", "", ",", 3),
+    "LGPL-3.0-or-later": GPL.format(":", "Lesser ", ",", 3),
+    "GPL-2.0-or-later": GPL.format(";", "", ";", 2),
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+}
+
+
+def test_genuine_licences_wrapped_and_unwrapped(spark):
+    import re
+
+    from binforge.llm import licenses
+
+    rows, expected = [], {}
+    for i, (name, text) in enumerate(GENUINE.items()):
+        joined = re.sub(r"\n(#?) *(?=\S)", " ", text.replace("\n#", "\n"))
+        for j, t in enumerate((text, joined, text.replace("\n", "\r\n"), f"some words\n{text}\nmore words")):
+            rows.append((10 * i + j, t, None, None, None))
+            expected[10 * i + j] = name
+    rows.append((999, "one line\nReleased under the MIT License\nthe next line", None, None, None))
+    found = {r["doc_id"]: r for r in licenses.scan(util.frame(spark, rows)).collect()}
+    assert {k: r["licence"] for k, r in found.items()} == expected | {999: "MIT"}
+    rules = [licenses.RULES[r["rules"][0]].sequence for k, r in found.items() if k < 999]
+    assert min(map(len, rules)) == 1 and sum(len(x) > 1 for x in rules) >= 4 * 6
