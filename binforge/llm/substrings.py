@@ -33,7 +33,7 @@ WIDTH = 13
 LEVELS = 4
 #: Suffixes that one group should hold.
 GROUP = 1_500_000
-TABLE = -1  # in place of a group: the ids and keys of a batch
+TABLES = 1 << 30  # the ids and keys of batches are dealt over this many groups of negative numbers, some one to a group
 LAST = np.iinfo(np.int64).max
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,6 +73,10 @@ def groups(h: np.ndarray, n: int, hot: list[np.ndarray], count: int, width: int)
 def _census(docs: DataFrame, width: int) -> tuple[int, list[np.ndarray]]:
     """Number of groups, and the codes of the prefixes, by level, that begin too many suffixes for one."""
     levels = min(LEVELS, width)
+    spark = docs.sparkSession
+    # Two bytes a word at least: more groups than there will be, so that no prefix above the limit below stays out.
+    most = max(parts(spark), (docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // (2 * GROUP) + 1)
+    share = max(2000, 8 * most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
@@ -83,14 +87,14 @@ def _census(docs: DataFrame, width: int) -> tuple[int, list[np.ndarray]]:
             within = np.arange(n)
             for level, code in enumerate(prefixes(h, n, levels)):
                 found, c = np.unique(code[within], return_counts=True)
-                often = c * 2000 >= n  # what is common in all is common in some batches; rows are few
+                often = c * share >= n  # what is common in all is common in some batches; rows are few
                 rows += [(level, int(k), int(v)) for k, v in zip(found[often].view(np.int64), c[often])]
                 within = within[_within(code[within], found[often])]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["level", "code", "n"])
 
     found = stage(docs.mapInArrow(run, "level long, code long, n long").groupBy("level", "code").agg(F.sum("n").alias("n")), "prefixes")
     total = found.where("level = -1").agg(F.sum("n")).first()[0] or 0
-    count = max(parts(docs.sparkSession), -(-total // GROUP), 1)
+    count = max(parts(spark), -(-total // GROUP), 1)
     limit = max(1, total // (4 * count))
     hot: list[list[int]] = [[] for _ in range(levels)]
     for level, code, _ in found.where((F.col("level") >= 0) & (F.col("n") > limit)).collect():  # at most 4 * count a level
@@ -128,7 +132,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
             of, group, code, known = of[order], group[order], code[order], known[order]
             ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
             number = xxhash.xxh3_64_intdigest(ids.tobytes() + keys.tobytes()) - (1 << 63)
-            out, start = [(number, TABLE, ids.tobytes(), keys.tobytes(), b"", b"", b"")], 0
+            out, start = [(number, -1 - number % TABLES, ids.tobytes(), keys.tobytes(), b"", b"", b"")], 0
             for end in ends:
                 own = of[start:end]
                 at = np.append(0, np.flatnonzero(np.diff(own)) + 1)
@@ -142,7 +146,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
         """Of each batch, the rows with repeats in this group: rows (places in the batch), counts and bits."""
         columns = [table.column(c).to_pylist() for c in ("batch", "ids", "rows", "counts", "known", "codes")]
         group = table.column("group")[0].as_py()
-        if group == TABLE:
+        if group < 0:
             return pa.table({"batch": columns[0], "group": pa.array([group] * table.num_rows, pa.int32()), "rows": pa.array(columns[1], pa.binary()), "counts": pa.array(columns[2], pa.binary()), "bits": pa.array([b""] * table.num_rows, pa.binary())})
         code, label, blobs = [], [], []
         for batch, ids, own, counts, known, codes in zip(*columns):
@@ -173,7 +177,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
         found: dict[int, list[bytes]] = {}
         ids = keys = np.zeros(0, np.int64)
         for group, own, counts, bits in zip(*(table.column(c).to_pylist() for c in ("group", "rows", "counts", "bits"))):
-            if group == TABLE:
+            if group < 0:
                 ids, keys = np.frombuffer(own, np.int64), np.frombuffer(counts, np.int64)
                 continue
             counts = np.frombuffer(counts, np.int32)

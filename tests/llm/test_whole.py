@@ -89,3 +89,18 @@ def test_genuine_licences_wrapped_and_unwrapped(spark):
     assert {k: r["licence"] for k, r in found.items()} == expected | {999: "MIT"}
     rules = [licenses.RULES[r["rules"][0]].sequence for k, r in found.items() if k < 999]
     assert min(map(len, rules)) == 1 and sum(len(x) > 1 for x in rules) >= 4 * 6
+
+
+def test_ids_of_batches_are_dealt_out(spark, monkeypatch):
+    from binforge.llm import substrings
+
+    seen = []
+    kept = substrings.TABLES
+    assert kept > 1 << 20
+    rng = random.Random(5)
+    rows = [(i, util.sentence(rng, 40), None, None, None) for i in range(60)]
+    rows += [(100 + i, rows[i][1], None, None, None) for i in range(10)]
+    for tables in (1, kept):  # one group for all, and many: equal results
+        monkeypatch.setattr(substrings, "TABLES", tables)
+        seen.append(util.counted((r["row"]["doc_id"], r["kept"]) for r in substrings.dedup(util.frame(spark, rows, parts=6)).collect()))
+    assert seen[0] == seen[1] == util.counted((x[0], x[4]) for x in util.substrings(rows))
