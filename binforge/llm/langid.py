@@ -5,9 +5,10 @@ number of features, weighted by 1 + log(count) and inverse document frequency, a
 gives each language several centroids. A text gets the language of the nearest; it is rejected if its cosine is below
 ``reject`` times a low quantile of what the language's own training texts reach, a quantile taken per text length.
 
-Fitting uses at most ``per_lang`` labelled rows of each language, those with the smallest hash of id and text, for at
-most ``MAX_LANGS`` languages, those with most rows; all else reads every row and whole texts. Rows to learn from are
-chosen by the caller. Null labels teach nothing. Null texts and texts without a letter are ``und``, score 0, rejected.
+Fitting uses at most ``per_lang`` labelled rows of each language, those with the smallest hash of id and text, and
+learns every label (256 KB of model each); all else reads every row and whole texts. Rows to learn from are
+chosen by the caller. Null labels teach nothing. Null texts and texts without a letter are ``und``, score 0, rejected;
+without a label to learn all are ``und``, score 0, and only those without a letter are rejected.
 Repeated rows get equal results; other columns are dropped.
 """
 
@@ -26,7 +27,8 @@ from binforge.llm.common import pieces_of, stage
 
 FEATURES = 1 << 14
 PER_LANG = 600
-MAX_LANGS = 64
+#: Longs up to which the rows chosen to learn from are broadcast.
+BROADCAST_ROWS = 1_000_000
 CENTROIDS = 4
 ROUNDS = 8
 REJECT = 0.5
@@ -57,13 +59,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """At most per_lang rows of each of MAX_LANGS languages; ids are ranked before any text moves."""
+    """At most per_lang rows of each language; ids are ranked before any text moves."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("_h"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    few = rows.select("lang").distinct().count() * per_lang <= BROADCAST_ROWS
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    chosen = rows.where(F.col("lang").isin(langs)).withColumn("_r", rank).where(F.col("_r") <= per_lang)
-    chosen = F.broadcast(chosen.select(F.col("_h").alias("_c")).distinct())  # at most MAX_LANGS * per_lang longs
-    return docs.withColumn("_h", F.xxhash64("doc_id", "text")).where(F.col("lang").isin(langs)).join(chosen, F.col("_h") == F.col("_c"), "left_semi")
+    chosen = rows.withColumn("_r", rank).where(F.col("_r") <= per_lang).select(F.col("_h").alias("_c")).distinct()
+    return docs.withColumn("_h", F.xxhash64("doc_id", "text")).where(F.col("lang").isNotNull()).join(F.broadcast(chosen) if few else chosen, F.col("_h") == F.col("_c"), "left_semi")
 
 
 def fit(docs: DataFrame, *, per_lang: int = PER_LANG, k: int = CENTROIDS) -> dict:
@@ -107,15 +108,15 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, k: int = CENTROIDS) -> dic
         for size in LENGTHS:
             cut = _unit(np.stack([vector(t[:size]) for t in pdf["text"]]))
             floors.append(float(np.quantile((cut @ centres.T).max(axis=1), QUANTILE)))
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(centres), "centre": [c.astype(np.float32) for c in centres], "floors": [floors] * len(centres)})
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(centres), "centre": [c.astype(np.float32).tobytes() for c in centres], "floors": [floors] * len(centres)})
 
-    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre array<float>, floors array<double>").orderBy("lang").collect()
-    return {"idf": idf, "langs": [r["lang"] for r in found], "centres": np.array([r["centre"] for r in found], np.float32).reshape(-1, FEATURES).T.copy(), "floors": np.array([r["floors"] for r in found]).reshape(-1, len(LENGTHS))}
+    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, floors array<double>").orderBy("lang").collect()
+    return {"idf": idf, "langs": [r["lang"] for r in found], "centres": np.frombuffer(b"".join(r["centre"] for r in found), np.float32).reshape(-1, FEATURES).T.copy(), "floors": np.array([r["floors"] for r in found]).reshape(-1, len(LENGTHS))}
 
 
 def predict(docs: DataFrame, model: dict, *, reject: float = REJECT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred, score (cosine, 0 to 1) and rejected, from text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: features times centroids
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features times centroids
     columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def predict(docs: DataFrame, model: dict, *, reject: float = REJECT, keep: tuple
             for text in batch.column("_text").to_pylist():
                 at, w, size = counts(text or "")
                 if not size or not m["langs"]:
-                    langs.append("und"), scores.append(0.0), rejected.append(True)
+                    langs.append("und"), scores.append(0.0), rejected.append(not size)
                     continue
                 v = w * m["idf"][at]
                 cos = v @ m["centres"][at] / max(float(np.linalg.norm(v)), 1e-12)

@@ -104,3 +104,25 @@ def test_ids_of_batches_are_dealt_out(spark, monkeypatch):
         monkeypatch.setattr(substrings, "TABLES", tables)
         seen.append(util.counted((r["row"]["doc_id"], r["kept"]) for r in substrings.dedup(util.frame(spark, rows, parts=6)).collect()))
     assert seen[0] == seen[1] == util.counted((x[0], x[4]) for x in util.substrings(rows))
+
+
+def test_every_language_is_learnt(spark):
+    from binforge.llm import langid
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(70):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(10 * i + j, " ".join(rng.choice(own) for _ in range(30)), f"l{i:02}", None, None) for j in range(3)]
+    df = util.frame(spark, rows)
+    model = langid.fit(df)
+    assert len(set(model["langs"])) == 70
+    labels = {r[0]: r[2] for r in rows}
+    assert all(labels[r["doc_id"]] == r["lang_pred"] for r in langid.predict(df, model).collect())
+
+
+def test_nothing_to_learn_rejects_no_text(spark):
+    import corpus_pipeline
+
+    rows = [(1, "words of a text", None, None, 1), (2, "123 ...", None, None, 1), (3, None, None, None, None)]
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, util.frame(spark, rows), "").collect()] == [1]
