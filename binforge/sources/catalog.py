@@ -15,6 +15,8 @@ from binforge.sources.config import Sample
 log = logging.getLogger(__name__)
 
 MERGED = "merged.parquet"
+#: Input to one file of a compacted folder.
+FILE_BYTES = 256 << 20
 FORMATS = {".parquet": "parquet", ".csv": "csv"}
 
 
@@ -116,10 +118,11 @@ def format_path(path: str | Path, root: str | Path, mode: str = "auto") -> str:
     return str(full.relative_to(root))
 
 
-def compact(spark: SparkSession, folder: str, out: str, files: int = 1) -> DataFrame:
-    """Rewrite all Parquet files below a folder as a few with zstd; fails if there are none."""
+def compact(spark: SparkSession, folder: str, out: str, files: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Rewrite all Parquet files below a folder with zstd, as one for each ``file_bytes`` of input; fails if there are none."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
-    df.coalesce(files).write.mode("errorifexists").option("compression", "zstd").parquet(out)
+    n = files or -(-(listing(spark, folder, "*.parquet").agg(F.sum("length")).first()[0] or 1) // file_bytes)
+    (df.coalesce(1) if n == 1 else df.repartition(n)).write.mode("errorifexists").option("compression", "zstd").parquet(out)
     return spark.read.parquet(out)
 
 

@@ -111,3 +111,10 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr(sys, "argv", ["binforge", "--root", str(tmp_path), "catalogue", f"{tmp_path}/b", "2022", "mt", "--out", f"{tmp_path}/cat"])
     cli.main()
     assert json.loads((tmp_path / "cat/files.json").read_text())["samples"]["DYto2L"]["files"] == ["b/2022/mt/DYto2L/x.parquet"]
+
+
+def test_large_folders_are_compacted_to_several_files(spark, tmp_path):
+    spark.range(3000).repartition(5).write.parquet(str(tmp_path / "in"))
+    size = sum(p.stat().st_size for p in (tmp_path / "in").glob("*.parquet"))
+    out = catalog.compact(spark, str(tmp_path / "in"), str(tmp_path / "out"), file_bytes=size // 3)
+    assert sorted(r[0] for r in out.collect()) == list(range(3000)) and len(list((tmp_path / "out").glob("part-*"))) in (3, 4)
