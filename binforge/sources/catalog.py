@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from binforge.functions.scalar import group_of
 from binforge.operators.ordering import coloured
@@ -61,18 +62,44 @@ def index(samples: tuple[Sample, ...], root: str | Path = ".") -> list[tuple[Sam
     return out
 
 
+def _read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All files by their own headers, joined by name; types hold for all files."""
+    options = {"header": True, "mode": "PERMISSIVE"}
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        groups.setdefault(tuple(spark.read.options(**options).csv(p).columns), []).append(p)
+    if len(groups) > 1:
+        groups.pop((), None)
+    found = [spark.read.options(**options, inferSchema=True).csv(own) for own in groups.values()]
+    kinds: dict[str, dict[str, list[int]]] = {}
+    for i, df in enumerate(found):
+        for c, kind in df.dtypes:
+            kinds.setdefault(c, {}).setdefault(kind, []).append(i)
+    for c, own in kinds.items():
+        if len(own) > 1 and not all(isinstance(found[i].schema[c].dataType, NumericType) for x in own.values() for i in x):
+            # A column without values is taken for a string, but holds any type.
+            name = "`" + c.replace("`", "``") + "`"
+            filled = {k: x for k, x in own.items() if k != "string" or any(not found[i].where(F.col(name).isNotNull()).isEmpty() for i in x)}
+            numeric = all(isinstance(found[i].schema[c].dataType, NumericType) for x in filled.values() for i in x)
+            kind = next(iter(filled)) if len(filled) == 1 else "double" if numeric else "string"
+            found = [df.withColumn(c, F.col(name).cast(kind)) if c in df.columns else df for df in found]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def read(spark: SparkSession, files: list[Path] | list[str], fmt: str) -> DataFrame:
     paths = [str(p) for p in files]
     if fmt == "parquet":
         return spark.read.parquet(*paths)
     if fmt == "csv":
-        first = spark.read.option("header", True).option("inferSchema", True).csv(paths[0])
-        return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(first.schema).csv(paths)
+        return _read_csv(spark, paths)
     raise ValueError(f"unknown format {fmt!r}")
 
 
 def schema_names(spark: SparkSession, files: list[Path], fmt: str) -> list[str]:
-    return read(spark, files[:1], fmt).columns if files else []
+    return read(spark, files if fmt == "csv" else files[:1], fmt).columns if files else []
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.{parquet,csv}") -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,15 @@ def test_large_folders_are_compacted_to_several_files(spark, tmp_path):
     size = sum(p.stat().st_size for p in (tmp_path / "in").glob("*.parquet"))
     out = catalog.compact(spark, str(tmp_path / "in"), str(tmp_path / "out"), file_bytes=size // 3)
     assert sorted(r[0] for r in out.collect()) == list(range(3000)) and len(list((tmp_path / "out").glob("part-*"))) in (3, 4)
+
+
+def test_csv_files_of_other_types_and_orders(spark, tmp_path):
+    texts = {"a": "pt,H.m,note\n1,2,\n", "b": "pt,H.m,note\n12.5,3,\n", "c": "H.m,pt,note\n4,5,7\n", "d": "pt,new\n6.5,x\n", "e": "H.m,pt\nodd,8\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    read = lambda names: catalog.read(spark, [tmp_path / f"{n}.csv" for n in names], "csv")
+    assert sorted((r["pt"], r["H.m"]) for r in read("ab").collect()) == [(1.0, 2), (12.5, 3)]
+    df = read("abcd")
+    assert df.columns == ["pt", "H.m", "note", "new"] and dict(df.dtypes)["note"] == "int"
+    assert Counter(map(tuple, df.collect())) == Counter([(1.0, 2, None, None), (12.5, 3, None, None), (5.0, 4, 7, None), (6.5, None, None, "x")])
+    assert sorted((r["pt"], r["H.m"]) for r in read("ae").collect()) == [(1, "2"), (8, "odd")]
