@@ -3,8 +3,8 @@
 Documents are tokenised and cut into full pieces and one remainder. The histogram of piece lengths has as many bins as
 a sequence has tokens, so it and the packing patterns made from it are bounded whatever the corpus. Lengths are placed
 longest first, each into the shortest packs that still have room, which changes counts of patterns, not single packs.
-A piece finds its pattern by its rank among the pieces of its length; ranks are taken within salted groups, so one
-common length is not numbered by one task.
+A piece finds its pattern by its rank among the pieces of its length; ranks are taken within salted groups of bounded
+size, as many as the commonest length needs, so none is numbered by one task.
 
 Null text counts as empty: a document of the end token alone. Repeated rows and ids are packed row by row. A sequence
 is padded to the full length unless what it holds is a power of two (``padded_to``).
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binforge.llm.common import pieces_of, stage
+from binforge.llm.common import parts, pieces_of, stage
 
 SEQUENCE = 2048
 END_ID = 1
-SALTS = 64
-_KNOWN = 500_000  # chunks that a worker remembers, and half the words; after as many misses again it starts anew
+#: Pieces that one salted group should hold.
+GROUP = 100_000
+_KNOWN_BYTES = 96 << 20  # what a worker remembers of words and chunks, about
 _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?])?")
 _MARKS = frozenset(".,;:!?")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -51,18 +52,34 @@ class _Ids(dict):
         self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
-        self.missed = 0
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # chunks and words of the time before
+        self.size = 0
+
+    def put(self, into: dict[str, bytes], key: str, ids: bytes) -> None:
+        """Remember; at half of the limit a new time begins, and what is not met in it is forgotten after it."""
+        if self.size > _KNOWN_BYTES // 2:
+            self.before = dict(self), dict(self.words)
+            self.clear(), self.words.clear()
+            self.size = 0
+        into[key] = ids
+        self.size += 2 * len(key) + len(ids) + 180  # with the objects' heads and their places in the table
 
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
+        if found is None and (found := self.before[1].get(word)) is not None:
+            self.put(self.words, word, found)
         if found is None:
-            if len(self.words) > 2 * _KNOWN:
-                self.words.clear()
             own = word if word.isascii() else self.level.pre_tokenize_str(word)[0][0]
-            found = self.words[word] = struct.pack(f"<{len(ids := [x.id for x in self.model.tokenize(own)])}I", *ids)
+            found = struct.pack(f"<{len(ids := [x.id for x in self.model.tokenize(own)])}I", *ids)
+            self.put(self.words, word, found)
         return found
 
     def __missing__(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        if (found := self.before[0].get(chunk)) is not None:
+            self.put(self, chunk, found)
+            return found
         low, words = chunk.lower(), self.words
         found = words.get(low)  # a word of the pattern is one word by itself, too
         if found is None and low[-1] in _MARKS and (own := words.get(low[:-1])) is not None and low[-2].isalpha():
@@ -74,9 +91,7 @@ class _Ids(dict):
                 found = b"".join(map(self.word, _ASCII.findall(low)))
             else:
                 found = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self.missed += 1
-        if len(self) < _KNOWN:
-            self[chunk] = found
+        self.put(self, chunk, found)
         return found
 
 
@@ -92,10 +107,6 @@ def _ids(texts: list[str], path: str) -> list[bytes]:
     The vocabulary drops white space and never merges across it, so each chunk between spaces is encoded once.
     """
     known = _tokenizer(path)
-    if known.missed > 4 * _KNOWN:
-        known.clear()
-        known.missed = 0
-    known[""] = b""
     return [b"".join(map(known.__getitem__, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
 
@@ -122,47 +133,40 @@ def tokenize(docs: DataFrame, path: str, *, most: int = SEQUENCE, end_id: int =
 
 
 def patterns(histogram: dict[int, int], most: int = SEQUENCE) -> list[tuple[int, tuple[int, ...]]]:
-    """Packing patterns (count, lengths): longest lengths first, each to the shortest packs with room."""
+    """Packing patterns (count, lengths): longest lengths first, each piece to the shortest pack of those with room.
+
+    Equal packs are moved together. A piece that no pack has room for opens one, which is then the only pack with room
+    for the next pieces of its length: so new packs are filled with that length one after the other.
+    """
     room: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     for length in sorted(histogram, reverse=True):
-        left, placed = histogram[length], []
-        for space in sorted((s for s in room if s >= length), reverse=True):
-            packs = room[space]
-            while left and packs:
-                count, pack = packs.pop()
+        left = histogram[length]
+        while left:
+            space = max((s for s, packs in room.items() if packs), default=0)
+            if space >= length:
+                count, pack = room[space].pop()
                 used = min(left, count)
                 if used < count:
-                    packs.append((count - used, pack))
-                placed.append((space - length, used, pack + (length,)))
+                    room[space].append((count - used, pack))
+                room[space - length].append((used, pack + (length,)))
                 left -= used
-            if not left:
-                break
-        if left:
-            fit = max(1, most // length)  # new packs start as full as one length can make them
-            if left >= fit:
-                placed.append((most - fit * length, left // fit, (length,) * fit))
-            if left % fit:
-                placed.append((most - left % fit * length, 1, (length,) * (left % fit)))
-        for space, count, pack in placed:
-            room[space].append((count, pack))
-    return [x for s in sorted(room) for x in room[s] if x[0]]
+            else:
+                fit = most // length
+                if left >= fit:
+                    room[most - fit * length].append((left // fit, (length,) * fit))
+                if left % fit:
+                    room[most - left % fit * length].append((1, (length,) * (left % fit)))
+                left = 0
+    return [x for s in sorted(room) for x in room[s]]
 
 
 def pack(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
     """``pieces`` (a stored table with doc_id, start, length) with sequence_id, offset and padded_to."""
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
-    counts = pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    found: dict[int, dict[int, int]] = defaultdict(dict)
-    for length, salt, n in counts.collect():  # at most most * SALTS rows
-        found[length][salt] = n
-    before, slots, used, base = [], [], defaultdict(int), 0
-    for length, by in found.items():
-        at = 0
-        for salt in sorted(by):
-            before.append((length, salt, at))
-            at += by[salt]
-    for count, lengths in patterns({k: sum(v.values()) for k, v in found.items()}, most):
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``most`` rows
+    salts = max(parts(spark), -(-max(histogram.values(), default=0) // GROUP))
+    slots, used, base = [], defaultdict(int), 0
+    for count, lengths in patterns(histogram, most):
         offset, total = 0, sum(lengths)
         full = total if total & (total - 1) == 0 else most
         for length in lengths:
@@ -170,10 +174,14 @@ def pack(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
             used[length] += count
             offset += length
         base += count
-    before = spark.createDataFrame(before, "length long, _salt long, _before long")
     slots = spark.createDataFrame(slots, "length long, _from long, _to long, _shift long, offset long, padded_to long")
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start")).cast("long") - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    # How many pieces of a length the groups before a salted one hold: a row for each group, joined where the ranks were taken.
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = pieces.groupBy(F.col("length").alias("_length"), F.col("_salt").alias("_group")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", before).drop("_n")
+    ranked = ranked.join(before, (F.col("length") == F.col("_length")) & (F.col("_salt") == F.col("_group"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    # Patterns are made of ``most`` lengths at most, so their slots are few whatever the corpus.
     placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (ranked["_rank"] >= slots["_from"]) & (ranked["_rank"] < slots["_to"])).drop(slots["length"])
     return placed.withColumn("sequence_id", F.col("_rank") + F.col("_shift")).select(*[c for c in pieces.columns if c != "_salt"], "sequence_id", "offset", "padded_to")
 
