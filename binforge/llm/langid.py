@@ -5,11 +5,12 @@ number of features, weighted by 1 + log(count) and inverse document frequency, a
 gives each language several centroids. A text gets the language of the nearest; it is rejected if its cosine is below
 ``reject`` times a low quantile of what the language's own training texts reach, a quantile taken per text length.
 
-Fitting uses at most ``per_lang`` labelled rows of each language, those with the smallest hash of id and text, and
-learns every label (256 KB of model each); all else reads every row and whole texts. Rows to learn from are
+Fitting uses at most ``per_lang`` labelled rows of each language, those with the smallest hash of the id (of the text
+for rows without one), and learns every label (256 KB of model each); all else reads every row and whole texts. Rows to learn from are
 chosen by the caller. Null labels teach nothing. Null texts and texts without a letter are ``und``, score 0, rejected;
 without a label to learn all are ``und``, score 0, and only those without a letter are rejected.
-Repeated rows get equal results; other columns are dropped.
+Repeated rows get equal results; other columns are dropped. Long texts are counted whole, in blocks. Of centroids equally
+near the first in the order of language names decides.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from binforge.llm.common import pieces_of, stage
 
 FEATURES = 1 << 14
 PER_LANG = 600
-#: Longs up to which the rows chosen to learn from are broadcast.
+#: Languages up to which their thresholds are broadcast.
 BROADCAST_ROWS = 1_000_000
 CENTROIDS = 4
 ROUNDS = 8
 REJECT = 0.5
 QUANTILE = 0.01
-_LETTERS = re.compile(r"[^\W\d_]+")
+_OTHERS = re.compile(r"[\W\d_]+")
+BLOCK = 1 << 16  # bytes counted at once
 _MIX = np.uint32(2654435761)
 #: Texts are compared with training texts cut to these many bytes, since short ones lie farther off.
 LENGTHS = (20, 60, 200, 1000)
@@ -41,15 +43,18 @@ LENGTHS = (20, 60, 200, 1000)
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Features, their weights before idf, and the bytes of letters in the text."""
-    words = _LETTERS.findall(text.lower())
+    words = _OTHERS.sub(" ", text.lower()).strip(" ")
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), 0
-    data = np.frombuffer((" " + " ".join(words) + " ").encode(), np.uint8)
+    data = np.frombuffer(f" {words} ".encode(), np.uint8)
     total = np.zeros(FEATURES, np.int64)
-    gram = np.zeros(len(data), np.uint32)
-    for n in range(1, min(4, len(data)) + 1):
-        gram = (gram[: len(data) - n + 1] << np.uint32(8)) | data[n - 1 :]
-        total += np.bincount(((gram ^ np.uint32(n)) * _MIX) >> np.uint32(18), minlength=FEATURES)
+    for at in range(0, len(data), BLOCK):
+        before = min(at, 3)  # bytes that n-grams across the block's beginning need
+        block = data[at - before : at + BLOCK]
+        gram = np.zeros(len(block), np.uint32)
+        for n in range(1, min(4, len(block)) + 1):
+            gram = (gram[: len(block) - n + 1] << np.uint32(8)) | block[n - 1 :]
+            total += np.bincount(((gram[max(0, before - n + 1) :] ^ np.uint32(n)) * _MIX) >> np.uint32(18), minlength=FEATURES)
     at = np.flatnonzero(total)
     return at, (1 + np.log(total[at])).astype(np.float32), len(data)
 
@@ -59,12 +64,19 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """At most per_lang rows of each language; ids are ranked before any text moves."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("_h"))
-    few = rows.select("lang").distinct().count() * per_lang <= BROADCAST_ROWS
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    chosen = rows.withColumn("_r", rank).where(F.col("_r") <= per_lang).select(F.col("_h").alias("_c")).distinct()
-    return docs.withColumn("_h", F.xxhash64("doc_id", "text")).where(F.col("lang").isNotNull()).join(F.broadcast(chosen) if few else chosen, F.col("_h") == F.col("_c"), "left_semi")
+    """At most per_lang rows of each language, those with the smallest hash of their id.
+
+    Rows are counted by language first, and only those below a hash that some twice as many rows as wanted have are
+    ranked, so no language's rows meet in one task.
+    """
+    whole = F.xxhash64("doc_id").cast("double") + F.lit(2.0**63)  # from 0 to 2^64
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_u", F.when(F.col("doc_id").isNull(), F.xxhash64("text").cast("double") + F.lit(2.0**63)).otherwise(whole))
+    below = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * per_lang + 100) / F.count(F.lit(1)))
+    wanted = stage(docs.groupBy(F.col("lang").alias("_lang")).agg(below.alias("_below")), "langs")  # a row for each language
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    near = docs.join(wanted, (F.col("lang") == F.col("_lang")) & (F.col("_u") <= F.col("_below"))).withColumn("_h", F.xxhash64("doc_id", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "_h"))
+    return near.withColumn("_r", rank).where(F.col("_r") <= per_lang).drop("_lang", "_below", "_r", "_u")
 
 
 def fit(docs: DataFrame, *, per_lang: int = PER_LANG, k: int = CENTROIDS) -> dict:
