@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bins of a variable without a configuration, and the limits it is shown in.
 DEFAULT_BINS = 20
@@ -48,26 +51,35 @@ def resolve(var: str, variables: dict[str, dict], *, resolution: bool = False, x
     return Binning.of_width(lo, hi, bin_width) if bin_width else Binning(lo, hi, bins)
 
 
-def bin_index(value: Column, binning: Binning) -> Column:
+def bin_of(value: Column, lo: Column, hi: Column, step: Column, n: Column, edges: Column) -> Column:
     """The bin of a value, exact at every edge; null outside, for NaN and for null.
 
-    An arithmetic guess is corrected against the edges themselves, all inside generated code and without a join.
+    An arithmetic guess is corrected against the edges themselves, all inside generated code.
     """
-    v, n = value.cast("double"), binning.n
-    edges = F.array(*[F.lit(float(e)) for e in binning.edges])
-    step = (binning.hi - binning.lo) / n
-    inside = (v >= F.lit(binning.lo)) & (v <= F.lit(binning.hi))
-    guess = F.floor((F.when(inside, v).otherwise(F.lit(binning.lo)) - F.lit(binning.lo)) / F.lit(step)).cast("int")
-    guess = F.greatest(F.lit(0), F.least(guess, F.lit(n - 1)))
-    low, high = F.element_at(edges, guess + 1), F.element_at(edges, guess + 2)
-    move = F.when(v < low, -1).when((guess < n - 1) & (v >= high), 1).otherwise(0)
+    inside = (value >= lo) & (value <= hi)
+    guess = F.greatest(F.lit(0), F.least(F.floor((F.when(inside, value).otherwise(lo) - lo) / step).cast("int"), n - 1))
+    low, high = F.get(edges, guess), F.get(edges, guess + 1)
+    move = F.when(value < low, -1).when((guess < n - 1) & (value >= high), 1).otherwise(0)
     return F.when(inside, (guess + move).cast("int"))
 
 
+def bin_index(value: Column, binning: Binning) -> Column:
+    """``bin_of`` for one binning."""
+    step = (binning.hi - binning.lo) / binning.n
+    return bin_of(value.cast("double"), F.lit(float(binning.lo)), F.lit(float(binning.hi)), F.lit(step), F.lit(binning.n), F.array(*[F.lit(float(e)) for e in binning.edges]))
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows that the driver has; part of the plan itself, so it takes no job to broadcast."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds), schema)
+
+
 def bins_table(spark: SparkSession, binnings: dict[str, Binning]) -> DataFrame:
     """var, bin, lo, hi, last, centre and width of every bin: a small dimension table."""
     rows = [(var, i, b.edges[i], b.edges[i + 1], i == b.n - 1) for var, b in binnings.items() for i in range(b.n)]
-    table = spark.createDataFrame(rows, "var string, bin int, lo double, hi double, last boolean")
+    table = local(spark, rows, "var string, bin int, lo double, hi double, last boolean")
     return table.withColumn("centre", (F.col("lo") + F.col("hi")) / 2).withColumn("width", F.col("hi") - F.col("lo"))
 
 

@@ -24,31 +24,40 @@ def kinds_of(samples: DataFrame) -> DataFrame:
     return samples.groupBy("process").agg(F.max(F.when(F.col("kind") == "data", "data").otherwise("mc")).alias("_m"), F.min(F.when(F.col("kind") == "data", "data").otherwise("mc")).alias("kind")).drop("_m")
 
 
+_BIN = ["family", "var", "bin", "lo", "hi"]
+_ROW = ["region", "process", "count", "sumw", "sumw2", "kind"]
+
+
+def _with_estimate(hist: DataFrame, fake_factor: float, keep: bool) -> DataFrame:
+    """The rows of each bin (two regions of each process) side by side, with those of QCD after them, or these alone."""
+    by = hist.groupBy(*_BIN).agg(F.collect_list(F.struct(*_ROW)).alias("_rows"))
+    ss = F.filter("_rows", lambda r: r["region"] == "SS")
+    data = F.filter(ss, lambda r: r["kind"] == "data")
+    mc = F.filter(ss, lambda r: (r["kind"] != "data") & (F.lower(r["process"]) != QCD.lower()))
+    total = lambda rows, c: F.aggregate(rows, F.lit(0.0), lambda a, r: a + r[c])
+    by = by.select(*_BIN, "_rows", (total(data, "sumw") - total(mc, "sumw")).alias("_ss"), (total(data, "sumw2") + total(mc, "sumw2")).alias("_ss2"), ((F.size(data) > 0) & (F.size(mc) > 0)).alias("_both"))
+    made = [F.struct(F.lit(r).alias("region"), F.lit(QCD).alias("process"), F.lit(0).cast("long").alias("count"), (F.col("_ss") * k).alias("sumw"), (F.col("_ss2") * k * k).alias("sumw2"), F.lit("mc").alias("kind")) for r, k in (("SS", F.lit(1.0)), ("OS", F.lit(float(fake_factor))))]
+    made = F.when(F.col("_both"), F.array(*made)).otherwise(F.array().cast("array<struct<region: string, process: string, count: bigint, sumw: double, sumw2: double, kind: string>>"))
+    return by.select(*_BIN, F.inline(F.concat("_rows", made) if keep else made)).select("family", "var", "region", "process", "bin", "lo", "hi", "count", "sumw", "sumw2", "kind")
+
+
 def qcd(hist: DataFrame, fake_factor: float = 1.0) -> DataFrame:
     """QCD rows for both regions: SS data minus SS simulation, scaled in OS by the fake factor and variances by its square.
 
     Negative bins stay. Nothing for a variable whose SS region lacks either data or simulation.
     """
-    data = F.col("kind") == "data"
-    mc = ~data & (F.lower("process") != QCD.lower())
-    by = hist.where("region = 'SS'").groupBy("family", "var", "bin", "lo", "hi").agg(
-        F.sum(F.when(data, F.col("sumw")).when(mc, -F.col("sumw")).otherwise(0.0)).alias("ss"), F.sum(F.when(data | mc, F.col("sumw2")).otherwise(0.0)).alias("ss2"),
-        F.max(data.cast("int")).alias("_d"), F.max(mc.cast("int")).alias("_m"),
-    )
-    by = by.where("_d = 1 and _m = 1")
-    regions = F.array(*[F.struct(F.lit(r).alias("region"), F.lit(float(k)).alias("k")) for r, k in (("SS", 1.0), ("OS", fake_factor))])
-    by = by.withColumn("_r", F.explode(regions))
-    return by.select("family", "var", "_r.region", F.lit(QCD).alias("process"), "bin", "lo", "hi", F.lit(0).cast("long").alias("count"), (F.col("ss") * F.col("_r.k")).alias("sumw"), (F.col("ss2") * F.col("_r.k") * F.col("_r.k")).alias("sumw2"), F.lit("mc").alias("kind"))
+    return _with_estimate(hist, fake_factor, keep=False)
 
 
 def with_qcd(hist: DataFrame, fake_factor: float = 1.0, enabled: bool = True) -> DataFrame:
-    return hist.unionByName(qcd(hist, fake_factor)) if enabled else hist
+    """``hist``, which is used once, and its QCD rows."""
+    return _with_estimate(hist, fake_factor, keep=True) if enabled else hist
 
 
 def data_mc(hist: DataFrame, region: str = "OS") -> DataFrame:
     """For each variable and bin: data and simulation, uncertainties, the simulation's band, and their ratio with its own."""
     data = F.col("kind") == "data"
-    by = hist.where(F.col("region") == region).groupBy("var", "bin", "lo", "hi").agg(*[
+    by = hist.where(F.col("region") == region).groupBy(*_BIN).agg(*[
         F.sum(F.when(data if kind == "data" else ~data, F.col(c)).otherwise(0.0)).alias(name)
         for kind, c, name in (("data", "sumw", "data"), ("data", "sumw2", "data2"), ("mc", "sumw", "mc"), ("mc", "sumw2", "mc2"))
     ])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.functions.binning import Binning, bin_index, bins_table
+from binforge.functions.binning import Binning, bin_index, bin_of, local
 from binforge.functions.scalar import finite, quoted, relative, wrapped
 
 KEYS = ["family", "var", "region", "process"]
@@ -56,31 +56,36 @@ def fills(events: DataFrame, control: list[str], pairs: list[Pair] = (), agreeme
     return events.select("process", F.explode(F.array(*made)).alias("f")).select("process", "f.*").where(F.col("x").isNotNull())
 
 
+def _axes(spark: SparkSession, binnings: dict[tuple[str, str], Binning]) -> DataFrame:
+    """A row for each binning, with its edges: as many as the configuration names, so always fit for a broadcast."""
+    rows = [(f, v, b.lo, b.hi, (b.hi - b.lo) / b.n, b.n, b.edges) for (f, v), b in binnings.items()]
+    return F.broadcast(local(spark, rows, "_family string, _var string, _lo double, _hi double, _step double, _n int, _edges array<double>"))
+
+
 def histogram(rows: DataFrame, binnings: dict[tuple[str, str], Binning]) -> DataFrame:
-    """family, var, region, process, bin, count, sumw, sumw2; bin is null for values outside, which keep a process present."""
-    at = F.lit(None).cast("int")
-    for (family, var), b in binnings.items():
-        at = F.when((F.col("family") == family) & (F.col("var") == var), bin_index(F.col("x"), b)).otherwise(at)
-    binned = rows.withColumn("bin", at)
+    """family, var, region, process, bin, count, sumw, sumw2; bin is null for values outside, which keep a process present.
+
+    One bin expression serves all variables, whose axes are looked up, so the generated code stays small enough to be
+    compiled however many there are.
+    """
+    axes = _axes(rows.sparkSession, binnings)
+    at = bin_of(F.col("x"), F.col("_lo"), F.col("_hi"), F.col("_step"), F.col("_n"), F.col("_edges"))
+    binned = rows.join(axes, (F.col("family") == F.col("_family")) & (F.col("var") == F.col("_var")), "left").withColumn("bin", at)
     return binned.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("count"), F.sum("w").alias("sumw"), F.sum("w2").alias("sumw2"))
 
 
 def densify(hist: DataFrame, binnings: dict[tuple[str, str], Binning]) -> DataFrame:
-    """Every bin of every process that has a finite value in the variable, 0 where it has none inside."""
-    spark = hist.sparkSession
-    tables = [bins_table(spark, {v: b}).withColumn("family", F.lit(f)) for (f, v), b in binnings.items()]
-    bins = tables[0]
-    for t in tables[1:]:
-        bins = bins.union(t)
-    bins = F.broadcast(bins.select(F.col("family").alias("_f"), F.col("var").alias("_v"), F.col("bin").alias("_b"), "lo", "hi"))
-    present = hist.select(*KEYS).distinct()
-    grid = present.join(bins, (F.col("family") == F.col("_f")) & (F.col("var") == F.col("_v"))).drop("_f", "_v")
-    h = hist.where("bin is not null").select(*[F.col(k).alias(f"_{k}") for k in KEYS], "bin", "count", "sumw", "sumw2")
-    same = (F.col("_b") == F.col("bin")) & F.col("region").eqNullSafe(F.col("_region"))
-    for k in ("family", "var", "process"):
-        same &= F.col(k) == F.col(f"_{k}")
-    out = grid.join(h, same, "left")
-    return out.select(*KEYS, F.col("_b").alias("bin"), "lo", "hi", F.coalesce("count", F.lit(0)).cast("long").alias("count"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sumw", "sumw2")])
+    """Every bin of every process that has a finite value in the variable, 0 where it has none inside.
+
+    ``hist`` is used once, so the events behind it are read once: a process's bins are collected (as many as the
+    variable has), and those that are missing put in between.
+    """
+    cell = F.struct("count", "sumw", "sumw2")
+    own = hist.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", cell.alias("cell"))))).alias("_cells"))
+    own = own.join(_axes(hist.sparkSession, binnings), (F.col("family") == F.col("_family")) & (F.col("var") == F.col("_var")))
+    own = own.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_cell", F.try_element_at("_cells", F.col("bin")))
+    edges = [F.get("_edges", F.col("bin") + i).alias(name) for i, name in enumerate(("lo", "hi"))]
+    return own.select(*KEYS, "bin", *edges, F.coalesce("_cell.count", F.lit(0)).cast("long").alias("count"), *[F.coalesce(f"_cell.{c}", F.lit(0.0)).alias(c) for c in ("sumw", "sumw2")])
 
 
 def filled(events: DataFrame, column: str, binning: Binning, weights: dict[str, Column]) -> DataFrame:

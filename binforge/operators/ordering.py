@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from binforge.functions.binning import local
+
 #: Colours given to processes by rank, in turn; colours of processes without one.
 PALETTE = ["tab:blue", "tab:orange", "tab:green", "tab:red", "tab:purple", "tab:brown", "tab:pink", "tab:gray"]
 NO_COLOUR = "#999999"
@@ -17,7 +19,7 @@ def ordered(rows: DataFrame, order: list[str], *, ignore_case: bool = True, list
     An exact match comes before one that ignores case. With ``listed_only`` matches are exact and others are dropped.
     """
     spark = rows.sparkSession
-    listed = F.broadcast(spark.createDataFrame([(name, i) for i, name in enumerate(order)] or [("", -1)], "_name string, _i int").where("_i >= 0"))
+    listed = F.broadcast(local(spark, [(name, i) for i, name in enumerate(order)], "_name string, _i int"))
     exact = rows.join(listed, F.col("process") == F.col("_name"), "inner" if listed_only else "left").drop("_name")
     if listed_only:
         return _numbered(exact, [F.col("_i")]).drop("_i")

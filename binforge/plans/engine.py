@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.functions.binning import Binning, resolve
+from binforge.functions.binning import Binning, local, resolve
 from binforge.functions.scalar import quoted
 from binforge.operators import agreement, fill, lookups, ordering
 from binforge.operators.selection import region, select, trigger
@@ -25,13 +25,13 @@ class HistogramEngine:
         """The dimension table: sample, kind, scale, params_key, process and w_mc."""
         c = self.config
         rows = [(s.name, s.kind, s.scale, s.params_key) for s in c.samples]
-        samples = self.spark.createDataFrame(rows, "sample string, kind string, scale double, params_key string")
-        params = self.spark.createDataFrame([(k, *(None if v.get(f) is None else float(v[f]) for f in ("xs", "eff", "filter_efficiency"))) for k, v in c.params.items()], "params_key string, xs double, eff double, filter_efficiency double")
+        samples = local(self.spark, rows, "sample string, kind string, scale double, params_key string")
+        params = local(self.spark, [(k, *(None if v.get(f) is None else float(v[f]) for f in ("xs", "eff", "filter_efficiency"))) for k, v in c.params.items()], "params_key string, xs double, eff double, filter_efficiency double")
         return lookups.with_process(lookups.with_weight(samples, params, c.lumi), lookups.bridge(self.processes()))
 
     def processes(self) -> DataFrame:
         rows = [(p.name, list(p.samples), p.color, p.label, i) for i, p in enumerate(self.config.processes)]
-        return self.spark.createDataFrame(rows, "process string, samples array<string>, color string, label string, draw_idx int")
+        return local(self.spark, rows, "process string, samples array<string>, color string, label string, draw_idx int")
 
     def normalised(self, df: DataFrame, sample: Sample, variables: list[str]) -> DataFrame:
         """One sample's events after its cuts, with every default filled in while its own columns are known.
