@@ -22,6 +22,12 @@ def fill(spark: SparkSession, args: argparse.Namespace) -> None:
 
     data_mc(agreed).write.parquet(f"{out}/agreement")
     engine.stack(hist.where("family = 'control'")).write.parquet(f"{out}/stacks")
+    if engine.config.asymmetry:
+        from binforge.operators.fill import asymmetry
+
+        even_odd = engine.asymmetry_histogram().cache()
+        even_odd.write.parquet(f"{out}/asymmetry")
+        asymmetry(even_odd).show()
     normalisation(agreed, engine.config.lumi).show()
     print(out)
 

@@ -76,6 +76,19 @@ def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds), schema)
 
 
+#: Rows of a dimension table up to which it is broadcast.
+FEW = 100_000
+
+
+def few(table: DataFrame, must: bool = False) -> DataFrame:
+    """A dimension table marked for a broadcast if it is small; else as it is, or an error if there is no other way to join it."""
+    if table.limit(FEW + 1).count() <= FEW:
+        return F.broadcast(table)
+    if must:
+        raise ValueError(f"more than {FEW} rows to compare with each row")
+    return table
+
+
 def bins_table(spark: SparkSession, binnings: dict[str, Binning]) -> DataFrame:
     """var, bin, lo, hi, last, centre and width of every bin: a small dimension table."""
     rows = [(var, i, b.edges[i], b.edges[i + 1], i == b.n - 1) for var, b in binnings.items() for i in range(b.n)]

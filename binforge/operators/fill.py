@@ -21,6 +21,8 @@ class Pair:
     reco: str
     angle: bool = False
     relative: bool = True
+    #: Wrap the difference of what is no angle, too.
+    wrap_all: bool = True
 
     @property
     def name(self) -> str:
@@ -30,10 +32,13 @@ class Pair:
 def resolution(pair: Pair) -> Column:
     """The pair's difference; null unless both are finite and the truth is not 0.
 
-    An angle, and a difference that is not relative, is wrapped to [-pi, pi).
+    An angle, and unless the pair says otherwise any difference that is not relative, is wrapped to [-pi, pi).
     """
     truth, reco = quoted(pair.truth).cast("double"), quoted(pair.reco).cast("double")
-    value = wrapped(reco - truth) if pair.angle or not pair.relative else relative(reco, truth)
+    if pair.angle or not pair.relative:
+        value = wrapped(reco - truth) if pair.angle or pair.wrap_all else reco - truth
+    else:
+        value = relative(reco, truth)
     return F.when(finite(truth) & finite(reco) & (truth != 0), value)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from binforge.functions.binning import few
 from binforge.functions.scalar import after_first, mc_weight, params_key
 
 UNKNOWN = "unknown"
@@ -17,13 +18,13 @@ def bridge(processes: DataFrame) -> DataFrame:
 
 
 def with_process(rows: DataFrame, bridge: DataFrame) -> DataFrame:
-    b = F.broadcast(bridge.select(F.col("sample").alias("_s"), F.col("process").alias("_p")))
+    b = few(bridge.select(F.col("sample").alias("_s"), F.col("process").alias("_p")))
     return rows.join(b, F.col("sample") == F.col("_s"), "left").withColumn("process", F.coalesce("_p", F.lit(UNKNOWN))).drop("_s", "_p")
 
 
 def with_weight(samples: DataFrame, params: DataFrame, lumi: float) -> DataFrame:
     """w_mc of each sample by its params_key or its name's prefix; 1 for data and for samples without params."""
-    p = F.broadcast(params.select(F.col("params_key").alias("_k"), "xs", "eff", "filter_efficiency"))
+    p = few(params.select(F.col("params_key").alias("_k"), "xs", "eff", "filter_efficiency"))
     key = params_key(F.col("sample"), F.col("params_key") if "params_key" in samples.columns else None)
     rows = samples.withColumn("_key", key).join(p, F.col("_key") == F.col("_k"), "left")
     weight = mc_weight(*[F.when(F.col("_k").isNotNull(), F.coalesce(c, F.lit(1.0))) for c in ("xs", "eff", "filter_efficiency")], lumi)
@@ -32,7 +33,7 @@ def with_weight(samples: DataFrame, params: DataFrame, lumi: float) -> DataFrame
 
 def by_substring(names: DataFrame, processes: DataFrame, name: str = "name") -> DataFrame:
     """process and color of the first listed sample that the name contains, else unknown and white; equal rows become one."""
-    p = F.broadcast(processes.select(F.col("process").alias("_p"), F.col("color").alias("_c"), F.col("draw_idx").alias("_d"), F.posexplode("samples").alias("_i", "_s")))
+    p = few(processes.select(F.col("process").alias("_p"), F.col("color").alias("_c"), F.col("draw_idx").alias("_d"), F.posexplode("samples").alias("_i", "_s")), must=True)
     found = names.join(p, F.contains(F.col(name), F.col("_s")), "left")
     first = found.groupBy(*names.columns).agg(F.min_by(F.struct("_p", "_c"), F.struct("_d", "_i")).alias("_f"))
     return first.select(*names.columns, F.coalesce("_f._p", F.lit(UNKNOWN)).alias("process"), F.coalesce("_f._c", F.lit("white")).alias("color"))
@@ -43,7 +44,7 @@ def pairs(control: DataFrame, reco: DataFrame) -> DataFrame:
 
     By what follows the first underscore, and trueX with X; both inputs are lists of names (name).
     """
-    left, right = control.select(F.col("name").alias("truth")), F.broadcast(reco.select(F.col("name").alias("reco")))
+    left, right = control.select(F.col("name").alias("truth")), few(reco.select(F.col("name").alias("reco")))
     marked = left.where(F.contains("truth", F.lit("_"))).join(right.where(F.contains("reco", F.lit("_"))), after_first(F.col("truth")) == after_first(F.col("reco")))
     true = left.where(F.startswith("truth", F.lit("true"))).join(right, F.substring("truth", 5, 1000) == F.col("reco"))
     return marked.union(true).where("truth <> reco").distinct()

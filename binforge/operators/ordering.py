@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binforge.functions.binning import local
+from binforge.functions.binning import few, local
 
 #: Colours given to processes by rank, in turn; colours of processes without one.
 PALETTE = ["tab:blue", "tab:orange", "tab:green", "tab:red", "tab:purple", "tab:brown", "tab:pink", "tab:gray"]
 NO_COLOUR = "#999999"
+SAMPLE_COLOUR = "tab:blue"
 DATA_COLOUR = "black"
 
 
@@ -55,12 +56,18 @@ def coloured(processes: DataFrame) -> DataFrame:
 
 def styled(rows: DataFrame, styles: DataFrame) -> DataFrame:
     """``rows`` with color and label of their process; without a style grey (black for data) and the process's name."""
-    s = F.broadcast(styles.select(F.col("process").alias("_p"), F.col("color").alias("_c"), F.col("label").alias("_l")))
+    s = few(styles.select(F.col("process").alias("_p"), F.col("color").alias("_c"), F.col("label").alias("_l")))
     out = rows.join(s, F.col("process") == F.col("_p"), "left")
     default = F.when(F.lower("process") == "data", DATA_COLOUR).otherwise(NO_COLOUR)
     return out.withColumn("color", F.coalesce("_c", default)).withColumn("label", F.coalesce("_l", "process")).drop("_p", "_c", "_l")
 
 
+def sample_coloured(samples: DataFrame, colours: DataFrame, default: str = SAMPLE_COLOUR) -> DataFrame:
+    """``samples`` (sample) with color from ``colours`` (sample, color), the default where there is none."""
+    c = few(colours.select(F.col("sample").alias("_s"), F.col("color").alias("_c")))
+    return samples.join(c, F.col("sample") == F.col("_s"), "left").withColumn("color", F.coalesce("_c", F.lit(default))).drop("_s", "_c")
+
+
 def head_of_each(rows: DataFrame, group: str, order: list[str], n: int = 1) -> DataFrame:
     """The first n rows of each group; Spark keeps n a group in each task before it shuffles."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")

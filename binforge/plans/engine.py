@@ -33,28 +33,28 @@ class HistogramEngine:
         rows = [(p.name, list(p.samples), p.color, p.label, i) for i, p in enumerate(self.config.processes)]
         return local(self.spark, rows, "process string, samples array<string>, color string, label string, draw_idx int")
 
-    def normalised(self, df: DataFrame, sample: Sample, variables: list[str]) -> DataFrame:
+    def normalised(self, df: DataFrame, sample: Sample, variables: list[str], cut: bool = True) -> DataFrame:
         """One sample's events after its cuts, with every default filled in while its own columns are known.
 
         After the union a missing column is null, and a null means a value that is missing from a row.
         """
         names = df.columns
-        df = select(df, self.config.selection)
+        df = select(df, self.config.selection) if cut else df
         columns = [F.lit(sample.name).alias("sample"), region(names).alias("region"), trigger(names).alias("trigger")]
         columns.append((quoted("weight").cast("double") if "weight" in names else F.lit(1.0)).alias("weight"))
         return df.select(*columns, *[(quoted(v).cast("double") if v in names else F.lit(None).cast("double")).alias(v) for v in variables])
 
     def events(self) -> DataFrame:
         c = self.config
-        found = [(s, catalog.read(self.spark, files, fmt)) for s, files, fmt in catalog.index(c.samples, c.root)]
+        found = [(s, catalog.read(self.spark, files, fmt), fmt == "parquet" or c.csv_apply_selection) for s, files, fmt in catalog.index(c.samples, c.root, self.spark)]
         if not found:
             raise ValueError("no sample has files")
-        there = set().union(*(df.columns for _, df in found))
+        there = set().union(*(df.columns for _, df, _ in found))
         self.control = [v for v in c.control if v in there] or sorted(there)[:2]  # something to look at if nothing configured is there
         self.pairs = [p for p in c.pairs if p.truth in there and p.reco in there]
         extra = [c.asymmetry.column, *c.asymmetry.weights] if c.asymmetry and c.asymmetry.column in there else []
         names = list(dict.fromkeys([*self.control, *(x for p in self.pairs for x in (p.truth, p.reco)), *(x for x in extra if x in there)]))
-        events = reduce(DataFrame.unionByName, [self.normalised(df, s, names) for s, df in found])
+        events = reduce(DataFrame.unionByName, [self.normalised(df, s, names, cut) for s, df, cut in found])
         dim = F.broadcast(self.samples().select(F.col("sample").alias("_s"), "process", "kind", "scale", "w_mc"))
         return events.join(dim, F.col("sample") == F.col("_s")).drop("_s")
 
@@ -84,7 +84,10 @@ class HistogramEngine:
         return ordering.styled(ordering.stacked(hist.join(F.broadcast(order), "process")), self.processes())
 
     def asymmetry_histogram(self) -> DataFrame:
+        """bin, even and odd of the configured asymmetry; a weight that no sample has counts as 1."""
         a = self.config.asymmetry
         events = self.events()
+        if a.column not in events.columns:
+            raise ValueError(f"no sample has {a.column}")
         even, odd = (quoted(w) if w in events.columns else F.lit(1.0) for w in a.weights)
         return fill.filled(events, a.column, Binning(*a.range, a.bins), {"even": even, "odd": odd})

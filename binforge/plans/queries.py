@@ -108,11 +108,12 @@ def qcd_from_ss(spark, sf_dir):
   SELECT var, bin, lo, hi, sum(CASE WHEN kind = 'data' THEN sumw ELSE 0 END) AS data, sqrt(greatest(sum(CASE WHEN kind = 'data' THEN sumw2 ELSE 0 END), 0)) AS data_unc,
     sum(CASE WHEN kind <> 'data' THEN sumw ELSE 0 END) AS mc, sqrt(greatest(sum(CASE WHEN kind <> 'data' THEN sumw2 ELSE 0 END), 0)) AS mc_unc FROM a WHERE region = 'OS' GROUP BY ALL)
 SELECT var, bin, lo, hi, round(data, 6) + 0.0 AS data, round(data_unc, 6) + 0.0 AS data_unc, round(mc, 6) + 0.0 AS mc, round(mc_unc, 6) + 0.0 AS mc_unc, round(greatest(mc - mc_unc, 0), 6) + 0.0 AS mc_low, round(mc + mc_unc, 6) + 0.0 AS mc_high,
-  round(CASE WHEN round(mc, 6) = 0 THEN 0 ELSE data / mc END, 4) + 0.0 AS ratio, round(CASE WHEN round(mc, 6) = 0 THEN 0 ELSE data_unc / mc END, 4) + 0.0 AS ratio_unc FROM t""")
+  round(CASE WHEN round(mc, 6) = 0 THEN 0 ELSE data / mc END, 4) + 0.0 AS ratio, round(CASE WHEN round(mc, 6) = 0 THEN 0 ELSE data_unc / mc END, 4) + 0.0 AS ratio_unc,
+  round(CASE WHEN round(mc, 6) = 0 THEN 1 ELSE 1 - mc_unc / mc END, 4) + 0.0 AS ratio_low, round(CASE WHEN round(mc, 6) = 0 THEN 1 ELSE 1 + mc_unc / mc END, 4) + 0.0 AS ratio_high FROM t""")
 def data_mc_ratio(spark, sf_dir):
     d = agreement.data_mc(agreement.with_qcd(_agreement(spark, sf_dir)))
     near_zero = F.round("mc", 6) == 0
-    return d.select("var", "bin", "lo", "hi", *[(F.round(c, 6) + 0.0).alias(c) for c in ("data", "data_unc", "mc", "mc_unc", "mc_low", "mc_high")], *[(F.round(F.when(near_zero, 0.0).otherwise(F.col(c)), 4) + 0.0).alias(c) for c in ("ratio", "ratio_unc")])
+    return d.select("var", "bin", "lo", "hi", *[(F.round(c, 6) + 0.0).alias(c) for c in ("data", "data_unc", "mc", "mc_unc", "mc_low", "mc_high")], *[(F.round(F.when(near_zero, none).otherwise(F.col(c)), 4) + 0.0).alias(c) for c, none in (("ratio", 0.0), ("ratio_unc", 0.0), ("ratio_low", 1.0), ("ratio_high", 1.0))])
 
 
 @query(f"""WITH {_AGREED_SQL}, t AS (SELECT var, sum(CASE WHEN region = 'OS' AND kind = 'data' THEN sumw ELSE 0 END) AS data_os, sum(CASE WHEN region = 'OS' AND kind <> 'data' THEN sumw ELSE 0 END) AS mc_os FROM h GROUP BY var)

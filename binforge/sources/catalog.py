@@ -5,10 +5,12 @@ from __future__ import annotations
 import logging
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from binforge.functions.binning import local
 from binforge.functions.scalar import group_of
 from binforge.operators.ordering import coloured
 from binforge.sources.config import Sample
@@ -42,6 +44,7 @@ def prefer_merged(files: list[Path]) -> list[Path]:
 
 
 def format_of(files: list[Path]) -> str:
+    files = [Path(p) for p in files]
     kinds = {FORMATS.get(p.suffix.lower()) for p in files}
     if not kinds:
         return "unknown"
@@ -50,11 +53,30 @@ def format_of(files: list[Path]) -> str:
     return kinds.pop()
 
 
-def index(samples: tuple[Sample, ...], root: str | Path = ".") -> list[tuple[Sample, list[Path], str]]:
-    """Each sample that has files, with these and their format."""
+def _stored(spark: SparkSession, folder: str) -> list[str]:
+    """Files below a folder of any store that Spark reads."""
+    try:
+        return sorted(r["path"] for r in listing(spark, folder).select("path").collect())
+    except AnalysisException as e:
+        log.warning("no such folder: %s (%s)", folder, e.getCondition())
+        return []
+
+
+def _files_of(sample: Sample, root: str | Path, spark: SparkSession | None) -> list[Path] | list[str]:
+    """Files that exist, each once. Names with a scheme (or a root with one) are left to Spark, others to the local disk."""
+    if spark is None or not any("://" in str(x) for x in (root, *sample.files, *sample.dirs)):
+        return prefer_merged([p for p in dict.fromkeys([*resolve_files(root, sample.files), *scan_dirs(root, sample.dirs)]) if p.exists()])
+    full = lambda x: x if "://" in x or x.startswith("/") else f"{str(root).rstrip('/')}/{x}"
+    found = list(dict.fromkeys(f for x in (*sample.files, *sample.dirs) for f in _stored(spark, full(x))))
+    merged = [f for f in found if f.rpartition("/")[2] == MERGED]
+    return merged or found
+
+
+def index(samples: tuple[Sample, ...], root: str | Path = ".", spark: SparkSession | None = None) -> list[tuple[Sample, list[Path], str]]:
+    """Each sample that has files, with these and their format; with ``spark`` in any store, not the local disk alone."""
     out = []
     for s in samples:
-        files = prefer_merged([p for p in dict.fromkeys([*resolve_files(root, s.files), *scan_dirs(root, s.dirs)]) if p.exists()])
+        files = _files_of(s, root, spark)
         if files:
             out.append((s, files, format_of(files)))
         else:
@@ -163,7 +185,7 @@ def select_file(spark: SparkSession, path: str | Path, cuts: dict[str, float] |
 def read_processes(spark: SparkSession, samples: tuple[Sample, ...], processes: dict[str, tuple[str, ...]], root: str | Path = ".") -> DataFrame:
     """All events of all processes' samples, with process and sample; columns a sample lacks are null."""
     of = {s: p for p, own in processes.items() for s in own}
-    found = [read(spark, files, fmt).withColumns({"sample": F.lit(s.name), "process": F.lit(of[s.name])}) for s, files, fmt in index(samples, root) if s.name in of]
+    found = [read(spark, files, fmt).withColumns({"sample": F.lit(s.name), "process": F.lit(of[s.name])}) for s, files, fmt in index(samples, root, spark) if s.name in of]
     if not found:
         raise ValueError("no process has files")
     out = found[0]
@@ -175,11 +197,11 @@ def read_processes(spark: SparkSession, samples: tuple[Sample, ...], processes:
 def inspect(spark: SparkSession, samples: tuple[Sample, ...], root: str | Path = ".") -> DataFrame:
     """kind, sample, column and type of the first sample of each kind that has files."""
     rows, seen = [], set()
-    for s, files, fmt in index(samples, root):
+    for s, files, fmt in index(samples, root, spark):
         if s.kind not in seen:
             seen.add(s.kind)
             rows += [(s.kind, s.name, c, t) for c, t in read(spark, files[:1], fmt).dtypes]
-    return spark.createDataFrame(rows, "kind string, sample string, column string, type string")
+    return local(spark, rows, "kind string, sample string, column string, type string")
 
 
 def head_of_files(df: DataFrame, order: list[str], n: int = 1) -> DataFrame:

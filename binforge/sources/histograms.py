@@ -20,8 +20,10 @@ def write(histograms: DataFrame, path: str, codec: str = "zstd") -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All histograms of a file, folder or glob, each sample of a plot once."""
-    return spark.read.parquet(path).groupBy("plot_type", "variable", "sample").agg(F.last("counts").alias("counts"), F.last("sumw2").alias("sumw2"), F.last("bin_edges").alias("bin_edges"))
+    """All histograms of a file, folder or glob, each sample of a plot once: the last by file name and row."""
+    own = F.struct("counts", "sumw2", "bin_edges")
+    rows = spark.read.parquet(path).groupBy("plot_type", "variable", "sample").agg(F.max_by(own, F.struct("_metadata.file_path", "_metadata.row_index")).alias("h"))
+    return rows.select("plot_type", "variable", "sample", "h.*")
 
 
 def long(histograms: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from binforge.functions import binning
 from binforge.functions.binning import Binning
 from binforge.operators import agreement, fill, lookups, ordering, selection
 
@@ -127,3 +128,30 @@ def test_weight_lookup(spark):
 def test_last_mapping_wins(spark):
     p = spark.createDataFrame([("a", ["s", "t"], 0), ("b", ["s"], 1)], "process string, samples array<string>, draw_idx int")
     assert {tuple(r) for r in lookups.bridge(p).collect()} == {("s", "b"), ("t", "a")}
+
+
+def test_events_are_scanned_once(spark, tmp_path):
+    rows = [("data", 1.0, 1.0, 1.0, region, True, float(i)) for i in range(20) for region in ("OS", "SS")] + [("a", 1.0, 0.5, 1.0, "SS", True, 3.0)]
+    spark.createDataFrame(rows, "process string, scale double, w_mc double, weight double, region string, trigger boolean, x double").write.parquet(str(tmp_path / "e"))
+    bins = {("mc_data", "x"): Binning(0, 20, 10)}
+    hist = fill.densify(fill.histogram(fill.fills(spark.read.parquet(str(tmp_path / "e")), [], [], ["x"]), bins), bins)
+    kinds = spark.createDataFrame([("data", "data"), ("a", "mc")], "process string, kind string")
+    out = agreement.data_mc(agreement.with_qcd(agreement.with_kind(hist, kinds)))
+    assert {r["bin"]: (r["data"], r["mc"]) for r in out.collect()} == {i: (2.0, 1.5 if i == 1 else 2.0) for i in range(10)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("] parquet") == 1
+
+
+def test_dimension_tables_are_broadcast_by_size(spark, monkeypatch):
+    table = spark.range(10)
+    hints = lambda: binning.few(table)._jdf.queryExecution().logical().toString().count("Hint")
+    assert hints() == 1
+    monkeypatch.setattr(binning, "FEW", 9)
+    assert hints() == 0
+    with pytest.raises(ValueError):
+        binning.few(table, must=True)
+
+
+def test_unwrapped_difference(spark):
+    df = spark.createDataFrame([(1.0, 9.0)], "t double, r double")
+    pair = lambda **k: df.select(fill.resolution(fill.Pair("t", "r", relative=False, **k))).first()[0]
+    assert pair(wrap_all=False) == 8.0 and abs(pair() - (8.0 - 2 * math.pi)) < 1e-12

@@ -131,3 +131,33 @@ def test_csv_files_of_other_types_and_orders(spark, tmp_path):
     assert df.columns == ["pt", "H.m", "note", "new"] and dict(df.dtypes)["note"] == "int"
     assert Counter(map(tuple, df.collect())) == Counter([(1.0, 2, None, None), (12.5, 3, None, None), (5.0, 4, 7, None), (6.5, None, None, "x")])
     assert sorted((r["pt"], r["H.m"]) for r in read("ae").collect()) == [(1, "2"), (8, "odd")]
+
+
+def test_pairs_take_the_settings_of_the_reconstructed_column():
+    own = {"phi_reco": {"type": "angle"}, "x_gen": {"type": "angle"}, "x_reco": {"relative_resolution": False}}
+    found = config.pairs_of([["phi_gen", "phi_reco"], ["x_gen", "x_reco"], ["a"], "b"], own, "angle_only")
+    assert [(p.name, p.angle, p.relative, p.wrap_all) for p in found] == [("phi_reco_vs_phi_gen", True, True, False), ("x_reco_vs_x_gen", False, False, False)]
+
+
+def test_csv_files_can_stay_uncut(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("pt_1,os\n10,1\n50,1\n")
+    (tmp_path / "files.json").write_text(json.dumps({"A": {"files": ["a.csv"]}}))
+    (tmp_path / "selection.yaml").write_text("pt_1_min: 25\n")
+    for flag, n in (("true", 1), ("false", 2)):
+        (tmp_path / "plotter.yaml").write_text(f"plotting: {{control: [pt_1]}}\nplotter_runtime: {{csv_apply_selection: {flag}}}\n")
+        assert HistogramEngine(spark, config.load(tmp_path, root=tmp_path)).events().count() == n
+
+
+def test_samples_of_any_store(spark, tmp_path):
+    for name in ("s/job_1.parquet", "s/deep/job_2.parquet"):
+        spark.range(3).toDF("pt_1").write.parquet(str(tmp_path / name))
+    sample = config.Sample("A", dirs=("s", "no"))
+    ((_, files, fmt),) = catalog.index((sample, config.Sample("gone", dirs=("no",))), f"file://{tmp_path}", spark)
+    assert fmt == "parquet" and all(f.startswith("file:") for f in files) and catalog.read(spark, files, fmt).count() == 6
+
+
+def test_the_last_stored_histogram_wins(spark, tmp_path):
+    kinds = "plot_type string, variable string, sample string, counts array<double>, sumw2 array<double>, bin_edges array<double>"
+    for i in range(3):
+        spark.createDataFrame([("c", "x", "s", [float(i)], None, [0.0, 1.0])], kinds).coalesce(1).write.parquet(f"{tmp_path}/h{i}")
+    assert histograms.read(spark, f"{tmp_path}/h*").first()["counts"] == [2.0]
