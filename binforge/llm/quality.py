@@ -7,7 +7,7 @@ document of the host that has it (smallest doc_id). Documents left with too few
 ``clean`` takes the line, each time it occurs, out of the texts of all others.
 
 Null text has no words and fails the base rules. Rows that share an id are judged each by its own text; repeated rows
-get equal results. A null source is a host of its own. Other columns are dropped.
+get equal results. A null source is a host of its own. Texts are read whole however long. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ LINE_LIMIT = 20
 LEAST_WORDS = 10
 LEAST_PART = 0.3
 WINDOW = 5
-SALTS = 16
 _SYMBOLS = re.compile(r"[^#*$%&|<>]+")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -114,10 +113,10 @@ def judge(docs: DataFrame, *, line_limit: int = LINE_LIMIT, least_words: int = L
     lines = docs.select("doc_id", "text_hash", "host", F.explode("lines").alias("l")).select("doc_id", "text_hash", "host", "l.*")
     apart = lines.groupBy("host", "hi", "lo", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     common = apart.groupBy("host", "hi", "lo").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_first")).where(F.col("_n") > line_limit)
-    # A common line can be in a third of all rows: its rows are dealt over SALTS keys, and the line itself copied to each.
-    common = common.select(F.col("host").alias("_host"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "_first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)))
-    hits = salted.join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & (F.col("salt") == F.col("_salt")))
+    # A common line can be in a third of all rows. The common lines are a stored table, so both sides of the join are
+    # plain exchanges, and Spark splits a partition with very many rows of one line into as many tasks as it needs.
+    common = stage(common.select(F.col("host").alias("_host"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "_first"), "common-lines")
+    hits = lines.join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")))
     hits = hits.where(~F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["host", "hi", "lo", "doc_id", "text_hash"])
     lost = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("host").alias("_own")).agg(F.sum("words").alias("_lost"), F.collect_list(F.struct("hi", "lo")).alias("gone"))
     rows = docs.drop("lines").join(lost, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")) & F.col("host").eqNullSafe(F.col("_own")), "left")

@@ -178,9 +178,11 @@ def _pipeline(rows, model_predictions):
     kept = []
     for r in rows:
         b = _base(r[1])
-        lost = sum(n for k, n in _lines(r[1] or "").items() if len(texts[r[3], k]) > quality.LINE_LIMIT and first.get((r[3], k)) != r[0])
+        gone = {k for k in _lines(r[1] or "") if len(texts[r[3], k]) > quality.LINE_LIMIT and first.get((r[3], k)) != r[0]}
+        lost = sum(n for k, n in _lines(r[1] or "").items() if k in gone)
         if not b[5] and b[0] - lost >= quality.LEAST_WORDS and b[0] - lost >= quality.LEAST_PART * b[0]:
-            kept.append(r)
+            text = "\n".join(x for x in r[1].split("\n") if not gone & set(_lines(x)))
+            kept.append((r[0], text, *r[2:4], len(text) if gone else r[4]))
     yield kept
     kept = [r for r in kept if not model_predictions(kept)[r[0], r[1]]]
     yield kept
