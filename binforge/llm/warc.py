@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import pieces_of, shared_dir, stage
+from binforge.llm.common import BROADCAST_ROWS, pieces_of, shared_dir, stage
 
 ARCHIVE_BYTES = 256 << 20
 #: Records are read together if at most this many bytes lie between them, up to so many bytes in all.
@@ -40,8 +40,10 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html, payload_bytes, sha1 and refers_to (null for responses)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    last = rows.groupBy(F.col("sha1").alias("_sha"), F.col("payload_bytes").alias("_bytes")).agg(F.max("page_id").alias("_last"))
-    rows = rows.join(last, (F.col("sha1") == F.col("_sha")) & (F.col("payload_bytes") == F.col("_bytes")))
+    last = rows.groupBy(F.col("sha1").alias("_sha"), F.col("payload_bytes").alias("_bytes")).agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    last = stage(last.where("_n > 1 and _last is not null").drop("_n"), "payloads")  # a row for each payload that several pages have
+    last = F.broadcast(last) if last.count() <= BROADCAST_ROWS else last  # else Spark splits what many rows share
+    rows = rows.join(last, (F.col("sha1") == F.col("_sha")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
     revisit = (F.col("payload_bytes") >= least_bytes) & F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return rows.withColumn("refers_to", F.when(revisit, F.col("_last"))).drop("_sha", "_bytes", "_last")
 
