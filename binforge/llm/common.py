@@ -144,9 +144,11 @@ def components(links: DataFrame) -> DataFrame:
         if ends.groupBy("node").agg(F.sum("leaf").alias("l"), F.max("centre").alias("c")).where("l > 1 or l > 0 and c > 0").isEmpty():
             break
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Stored, so that both sides of a join are plain exchanges: Spark then splits a node with very many links.
+        least = stage(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        large = stage(large, "large")
+        least = stage(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "least")
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = stage(small.where("u <> v").distinct(), "edges")
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -247,13 +247,13 @@ def _verify(rows: DataFrame, nodes: DataFrame, edges: DataFrame, width: int, per
     cluster = components(edges)
     size = nodes.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("_r"))  # one row stands for each node
     own = stage(cluster.join(size, "node"), "clusters")
-    whole = own.groupBy("component").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("blocks")).withColumnRenamed("component", "_c")
+    whole = stage(own.groupBy("component").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("blocks")).withColumnRenamed("component", "_c"), "blocks")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     own = own.join(whole, F.col("component") == F.col("_c")).withColumn("block", block)
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.xxhash64("component", F.least(i, F.col("block")), F.greatest(i, F.col("block"))).alias("task"), (i != F.col("block")).alias("across")))
-    wanted = stage(own.select(F.col("_r.doc_id").alias("_d"), F.col("_r.key").alias("_k"), "node", "block", tasks.alias("tasks")), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    chosen = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("text", "node", "block", "tasks")
+    wanted = stage(own.select(F.col("_r.doc_id").alias("_d"), F.col("_r.key").alias("_k"), "component", "node", "block", "blocks"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS  # rows of fixed width
+    chosen = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("text", "node", "block", tasks.alias("tasks"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
@@ -338,7 +338,8 @@ def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> Data
     edges = pairs.where(possible).select("a", "b").union(met.where("k = 0").select("a", "b"))
     found = components(_verify(rows, nodes, edges, width, percent))
     out = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = out.where("n > 0").groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_first"))
+    out = stage(out, "grouped")
+    first = stage(out.where("n > 0").groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_first")), "first")
     out = out.join(first, (F.col("component") == F.col("_c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "node", "component", F.when(F.col("n") > 0, F.col("_first")).otherwise(F.col("doc_id")).alias("component_id"))
 
