@@ -265,3 +265,13 @@ def test_staged_tables_can_be_released(spark, tmp_path):
     assert os.path.exists(path)
     common.release()
     assert not os.path.exists(path) and not common._STAGED
+
+
+@needs_data
+def test_few_pairs_of_embeddings_are_verified(spark):
+    own = [(i, v, label) for i, v, label in vectors()[:100] if label is not None]
+    rows = spark.read.parquet(f"{SF}/../sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").union(spark.createDataFrame(own, "vec_id long, embedding array<float>, label int"))
+    points = embeddings._points(rows).groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("weight")).withColumn("point", F.xxhash64("label", "embedding"))
+    pairs = embeddings.candidates(embeddings._visits(points, embeddings.COSINE), embeddings.COSINE).agg(F.sum("pairs") / 2).first()[0]
+    all_pairs = points.groupBy("label", F.size("embedding")).count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert 0 < pairs < all_pairs / 100
