@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
-from binforge.llm.common import pieces_of, stage, text_key
+from binforge.llm.common import BROADCAST_ROWS, pieces_of, stage, text_key
 
 #: A line in more different documents of one host is boilerplate.
 LINE_LIMIT = 20
@@ -148,6 +148,8 @@ def clean(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all columns; text (and n_chars with it) is without its lines above the limit."""
     found = judge(docs, **limits).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("host").alias("_host"), F.col("kept").alias("_kept"), F.col("gone").alias("_gone"))
     found = stage(found.where("not _kept or _gone is not null").dropDuplicates(["_doc", "_key", "_host"]), "lines")
+    few = (found.agg(F.sum(1 + F.coalesce(F.size("_gone"), F.lit(0)))).first()[0] or 0) <= BROADCAST_ROWS  # rows and hashes
+    found = F.broadcast(found) if few else found
     names = docs.columns
     row = docs.select(F.struct(*[docs[c] for c in names]).alias("row"))
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.coalesce(F.xxhash64("row.text"), F.lit(0)) == F.col("_key")) & F.col("row.source").cast("string").eqNullSafe(F.col("_host"))
