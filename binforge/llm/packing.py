@@ -33,15 +33,14 @@ END_ID = 1
 GROUP = 100_000
 _KNOWN_BYTES = 96 << 20  # what a worker remembers of words and chunks, about
 _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?])?")
-_MARKS = frozenset(".,;:!?")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class _Ids(dict):
-    """The ids of a word as the vocabulary's model splits it, or of a chunk between spaces, as bytes.
+    """The ids, as bytes, of a word as the vocabulary's model splits it, or of a chunk between spaces.
 
     Most chunks are Latin letters and one mark, or ASCII: their words are cut here as the tokenizer's own pattern cuts
-    them, and remembered. The tokenizer itself encodes all others.
+    them, and remembered in lower case. The tokenizer itself encodes all others.
     """
 
     def __init__(self, path: str):
@@ -51,48 +50,40 @@ class _Ids(dict):
         self.tokenizer.encode_special_tokens = True
         self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # chunks and words of the time before
+        self.before: dict[str, bytes] = {}  # what was remembered in the time before
         self.size = 0
 
-    def put(self, into: dict[str, bytes], key: str, ids: bytes) -> None:
+    def put(self, key: str, ids: bytes) -> bytes:
         """Remember; at half of the limit a new time begins, and what is not met in it is forgotten after it."""
         if self.size > _KNOWN_BYTES // 2:
-            self.before = dict(self), dict(self.words)
-            self.clear(), self.words.clear()
+            self.before = dict(self)
+            self.clear()
             self.size = 0
-        into[key] = ids
-        self.size += 2 * len(key) + len(ids) + 180  # with the objects' heads and their places in the table
+        self[key] = ids
+        self.size += 2 * len(key) + len(ids) + 160  # with the objects' heads and their places in the table
+        return ids
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None and (found := self.before[1].get(word)) is not None:
-            self.put(self.words, word, found)
+        found = self.get(word)
         if found is None:
-            own = word if word.isascii() else self.level.pre_tokenize_str(word)[0][0]
-            found = struct.pack(f"<{len(ids := [x.id for x in self.model.tokenize(own)])}I", *ids)
-            self.put(self.words, word, found)
+            found = self.before.get(word)
+            if found is None:
+                own = word if word.isascii() else self.level.pre_tokenize_str(word)[0][0]
+                found = struct.pack(f"<{len(ids := [x.id for x in self.model.tokenize(own)])}I", *ids)
+            self.put(word, found)
         return found
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if (found := self.before[0].get(chunk)) is not None:
-            self.put(self, chunk, found)
-            return found
-        low, words = chunk.lower(), self.words
-        found = words.get(low)  # a word of the pattern is one word by itself, too
-        if found is None and low[-1] in _MARKS and (own := words.get(low[:-1])) is not None and low[-2].isalpha():
-            found = own + self.word(low[-1])
-        if found is None:
-            if m := _PLAIN.fullmatch(low):
-                found = self.word(m[1]) + (self.word(m[2]) if m[2] else b"")
-            elif low.isascii() and low.isprintable():
-                found = b"".join(map(self.word, _ASCII.findall(low)))
-            else:
-                found = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self.put(self, chunk, found)
-        return found
+        low = chunk.lower()
+        if m := _PLAIN.fullmatch(low):
+            return self.word(m[1]) + (self.word(m[2]) if m[2] else b"")
+        if (found := self.before.get(chunk)) is not None:
+            return self.put(chunk, found)
+        if low.isascii() and low.isprintable():
+            return self.put(chunk, b"".join(map(self.word, _ASCII.findall(low))))
+        return self.put(chunk, np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
 
 
 @functools.lru_cache(2)
