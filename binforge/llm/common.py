@@ -131,24 +131,30 @@ def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.concatenate(([0], np.searchsorted(begins, ends)))).astype(np.int64)
 
 
+#: Links of one node above which its rows are worth more than one task.
+HOT_LINKS = 500_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) for each node in ``links`` (a, b: long).
 
     Large-star and small-star steps until only stars are left, none if they come as such. Each round is a stored table,
-    so a lost executor costs one round. Minima are aggregated before they are joined, so a node with very many links is
-    no single task.
+    so a lost executor costs one round. Minima are aggregated before they are joined, and the rows of a node with very
+    many links are split.
     """
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
-        if ends.groupBy("node").agg(F.sum("leaf").alias("l"), F.max("centre").alias("c")).where("l > 1 or l > 0 and c > 0").isEmpty():
+        ends = ends.groupBy("node").agg(F.sum("leaf").alias("l"), F.sum("centre").alias("c"))
+        more, most = ends.agg(F.max(F.expr("l > 1 or l > 0 and c > 0")), F.max(F.expr("l + c"))).first()
+        if not more:
             break
+        # With a node of very many links, minima are stored: both sides of a join are plain exchanges then, and Spark splits it.
+        held = (lambda df: stage(df, "least")) if most > HOT_LINKS else (lambda df: df)
         both = edges.union(edges.select("v", "u"))
-        # Stored, so that both sides of a join are plain exchanges: Spark then splits a node with very many links.
-        least = stage(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        least = held(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, "large")
-        least = stage(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "least")
+        least = held(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = stage(small.where("u <> v").distinct(), "edges")
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -126,3 +126,93 @@ def test_nothing_to_learn_rejects_no_text(spark):
 
     rows = [(1, "words of a text", None, None, 1), (2, "123 ...", None, None, 1), (3, None, None, None, None)]
     assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, util.frame(spark, rows), "").collect()] == [1]
+
+
+def test_links_of_one_node_can_be_split(spark, monkeypatch):
+    from binforge.llm import common
+
+    rng = random.Random(8)
+    links = [(0, i) for i in range(1, 60)] + [(rng.randrange(60, 200), rng.randrange(60, 200)) for _ in range(90)]
+    of = util.groups(200, links)
+    expected = {x: of[x] for x in {x for a, b in links if a != b for x in (a, b)}}
+    for most in (common.HOT_LINKS, 10):
+        monkeypatch.setattr(common, "HOT_LINKS", most)
+        found = common.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(found) == len(expected) and {r["node"]: r["component"] for r in found} == expected
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_packs_of_production_length():
+    from binforge.llm import packing
+
+    rng = random.Random(2)
+    histogram = {2048: 40, **{n: rng.randrange(1, 50) for n in rng.sample(range(1, 2048), 300)}}
+    found = packing.patterns(histogram)
+    assert all(sum(p) <= 2048 and list(p) == sorted(p, reverse=True) for _, p in found)
+    assert {n: sum(c * p.count(n) for c, p in found) for n in histogram} == histogram
+    one = []  # the same, piece by piece
+    for n in sorted(histogram, reverse=True):
+        for _ in range(histogram[n]):
+            fit = min((s for s in one if s + n <= 2048), default=None)
+            one.append(n if fit is None else one.pop(one.index(fit)) + n)
+    assert sorted(one) == sorted(x for c, p in found for x in [sum(p)] * c)
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    import public_tokenizers
+
+    from binforge.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"Word{i} a{i}b, C'est déjà {i * 7919}. the The THE. é{i}! ##{i}" for i in range(300)]
+    whole = packing._ids(texts, path)
+    known = packing._tokenizer(path)
+    assert whole == [__import__("numpy").asarray(known.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "_KNOWN_BYTES", 4000)
+    packing._tokenizer.cache_clear()
+    assert packing._ids(texts, path) == whole and packing._tokenizer(path).size < 4000
+    packing._tokenizer.cache_clear()
+
+
+def test_words_of_texts_longer_than_a_block():
+    from binforge.llm import common, langid
+
+    rng = random.Random(6)
+    text = util.sentence(rng, 30_000) + "\n" + "y" * 70_000 + " " + util.sentence(rng, 9_000, util.FR)
+    words = text.encode().split()
+    one = {w: int(common.hash_text(w)[0]) for w in set(words)}
+    assert common.hash_text(text.encode()).tolist() == [one[w] for w in words]
+    at, weight, size = langid.counts(text)
+    monkey, langid.BLOCK = langid.BLOCK, 1 << 30
+    try:
+        assert all((x == y).all() for x, y in zip((at, weight), langid.counts(text)[:2])) and langid.counts(text)[2] == size
+    finally:
+        langid.BLOCK = monkey
+
+
+def test_texts_far_from_all_languages_are_rejected(spark):
+    from binforge.llm import langid
+
+    rng = random.Random(4)
+    rows = [(i, util.sentence(rng, 40, util.FR if i % 2 else util.EN), "fr" if i % 2 else "en", "s", 1) for i in range(60)]
+    odd = [(100, "zzxqj qqzzk xjqzk " * 20, None, "s", 1), (101, "12 34", None, "s", 1), (102, util.sentence(rng, 40), None, "s", 1), (103, None, None, "s", 1)]
+    df = util.frame(spark, rows + odd)
+    found = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.predict(df, langid.fit(df)).collect()}
+    assert found[100][1] and found[101] == ("und", True) == found[103] and found[102] == ("en", False)
+    assert not any(found[i][1] for i in range(60)) and all(found[i][0] == ("fr" if i % 2 else "en") for i in range(60))
+    # Two languages with the same texts: the first by name.
+    both = util.frame(spark, [(i, "same words here again and again", "ab"[i % 2], "s", 1) for i in range(8)])
+    assert {r["lang_pred"] for r in langid.predict(both, langid.fit(both)).collect()} == {"a"}
+    # At most per_lang rows of a language, whatever their ids.
+    many = util.frame(spark, [(None if i < 50 else 7, util.sentence(rng, 9), "en", "s", 1) for i in range(100)])
+    assert langid._sample(many, 10).count() == 10
+
+
+def test_long_conversation(spark):
+    from pyspark.sql import functions as F
+
+    from binforge.llm import chat
+
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<|im_end|> turn {i} " * 50) for i in range(2000)]
+    r = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("back", chat.read_back(F.col("formatted"))).first()
+    assert [(x["role"], x["text"]) for x in r["back"]] == [x[2:] for x in rows] and r["valid"]
