@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of smallest id of each component, and all documents without words."""
     found = stage(jaccard.join(docs), "components").where("n_shingles > 0")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    first = found.groupBy(F.col("component").alias("_c")).agg(F.min(row).alias("_first"))
+    first = stage(found.groupBy(F.col("component").alias("_c")).agg(F.min(row).alias("_first")), "first")
     docs = without(docs, found.join(first, F.col("component") == F.col("_c")).where(row != F.col("_first")))
     # Repeated rows stand for themselves above; one of each stays.
     again = found.groupBy("doc_id", "key").count().where("count > 1")
