@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from binforge.llm.common import bounded_batches, pieces_of
+
 LEAF_CHARS = 32_768
 FIRST_WINDOW = 64
 
@@ -89,11 +91,12 @@ def decode_tree(decode, ids: list[int], leaf: int = LEAF_CHARS) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, *, leaf_chars: int = LEAF_CHARS, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, and ids (array<int>), or with ``digests`` their ids_sha256 and, decoded again, decoded_sha256."""
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoding(path, pattern)
         names = [str(i) for i in range(e.max_token_value + 1)] if digests else []
-        for batch in batches:
+        for batch in pieces_of(batches, "text"):
             ids = [encode_tree(e.encode_ordinary, t or "", leaf_chars=leaf_chars)[2] for t in batch.column(1).to_pylist()]
             out = {"doc_id": batch.column(0), "n_tokens": pa.array(map(len, ids), pa.int64())}
             if digests:

@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Bytes of an Arrow batch that goes to Python, a little below what ``pieces_of`` takes at once.
+BATCH_BYTES = 3_900_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, not by 10,000 rows alone, for this session unless it has a bound of its own."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 _STAGED: list[str] = []
 
 
@@ -43,6 +54,7 @@ def release() -> None:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later reads survive a lost executor. See ``release``."""
+    bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _STAGED.append(path)

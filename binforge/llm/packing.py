@@ -31,7 +31,7 @@ SEQUENCE = 2048
 END_ID = 1
 #: Pieces that one salted group should hold.
 GROUP = 100_000
-_KNOWN_BYTES = 96 << 20  # what a worker remembers of words and chunks, about
+_KNOWN_BYTES = 96 << 20  # what a task remembers of words and chunks, about
 _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?])?")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -63,6 +63,11 @@ class _Ids(dict):
         self.size += 2 * len(key) + len(ids) + 160  # with the objects' heads and their places in the table
         return ids
 
+    def forget(self) -> None:
+        """A worker outlives its task; what the next stage runs in it needs the memory."""
+        self.clear()
+        self.before, self.size = {}, 0
+
     def word(self, word: str) -> bytes:
         found = self.get(word)
         if found is None:
@@ -119,6 +124,7 @@ def tokenize(docs: DataFrame, path: str, *, most: int = SEQUENCE, end_id: int =
             if not keep_ids:
                 del out["ids"]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], names=list(out))
+        _tokenizer(path).forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

@@ -216,3 +216,17 @@ def test_long_conversation(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"<|im_end|> turn {i} " * 50) for i in range(2000)]
     r = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("back", chat.read_back(F.col("formatted"))).first()
     assert [(x["role"], x["text"]) for x in r["back"]] == [x[2:] for x in rows] and r["valid"]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from binforge.llm import common
+
+    common.bounded_batches(spark)
+    sizes = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("x"), 5000).alias("text")).mapInArrow(lambda bs: (__import__("pyarrow").RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
+    assert len(sizes) > 4 and max(r["n"] for r in sizes) < 4_000_000
+    spark.conf.set(common._BATCH, "123456")
+    common.bounded_batches(spark)
+    assert spark.conf.get(common._BATCH) == "123456"
+    spark.conf.unset(common._BATCH)
