@@ -43,6 +43,12 @@ def bounded_batches(spark: SparkSession) -> None:
 _STAGED: list[str] = []
 
 
+def to_release(path: str) -> str:
+    """Have ``release`` delete a folder, too."""
+    _STAGED.append(path)
+    return path
+
+
 def release() -> None:
     """Delete what this driver has staged, once no result that was made from it is needed any more."""
     from pyarrow import fs

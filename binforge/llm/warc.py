@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import BROADCAST_ROWS, pieces_of, shared_dir, stage
+from binforge.llm.common import BROADCAST_ROWS, pieces_of, shared_dir, stage, to_release
 
 ARCHIVE_BYTES = 256 << 20
 #: Records are read together if at most this many bytes lie between them, up to so many bytes in all.
@@ -149,6 +149,6 @@ def read(index: DataFrame, root: str, *, gap: int = GAP_BYTES, most: int = READ_
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    root = to_release(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     index = write(with_types(spark.read.parquet(f"{sf_dir}/pages.parquet")), root)
     return read(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
