@@ -17,7 +17,8 @@ result.
 
 n-grams and sets are compared by 64-bit hashes. Null texts and texts without a word are empty sets and link with
 nothing. Rows that share an id are sets of their own; rows without an id take part, and a component's id is the
-smallest id in it. Repeated rows get equal results. Other columns are dropped.
+smallest id in it. Repeated rows get equal results. Texts are read whole however long: a long one is a large set, shipped
+whole only to the tasks of its cluster. Other columns are dropped.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ node's leaves to the group only from its first document of the batch: later ones
 passage in a third of all documents arrives once a batch.
 
 A row is known by its id and a hash of its text. Null text has no words; rows of equal id do not count as earlier than
-each other; a null id comes after all others. Repeated rows get equal results. Other columns are dropped.
+each other; a null id comes after all others. Repeated rows get equal results. Texts are read whole however long: a long
+one is a batch of its own, and its leaves are dealt over all groups. Other columns are dropped.
 """
 
 from __future__ import annotations
