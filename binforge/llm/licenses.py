@@ -6,7 +6,7 @@ it can be a line or several whole ones. Known licence sentences turn into identi
 order of position are its sequence. A rule is a sequence of identifiers; it matches where its identifiers follow each
 other in the document's sequence, whatever unknown text stands between. The first matching rule decides; all are listed.
 
-Null and empty texts have no sentences and no licence. Rows that share an id are scanned each by its own text; repeated
+Null and empty texts have no sentences and no licence. Texts are scanned whole however long. Rows that share an id are scanned each by its own text; repeated
 rows get equal results. Other columns are dropped.
 """
 
@@ -85,13 +85,15 @@ def sentences(text: Column) -> Column:
     text = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     text = F.regexp_replace(text, r"(?<![a-z0-9])(v|ver)\.(?=[ \t\r]*[ \t\r\n][ \t]*[0-9])", "$1")
     text = F.regexp_replace(text, r"[.;:!?]+(?:[ \t\r]*\n|[ \t]+)", "\n\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9\n]+", " "), r" *\n *", "\n"))
+    # Characters one by one: Java matches a class of several ranges some twenty times slower.
+    text = F.regexp_replace(text, rf"[^{_LOWER}0123456789\n]+", " ")
+    return F.trim(F.regexp_replace(text, r" *\n *", "\n"))
 
 
 def _pattern(known: dict[str, list[str]]) -> str:
     """A known sentence on one line or wrapped over several, from a line's beginning to a line's end; long ones first."""
     forms = sorted((f for own in known.values() for f in own), key=len, reverse=True)
-    return "(?<![a-z0-9 ])(?:" + "|".join(f.replace(" ", "[ \n]") for f in forms) + ")(?![a-z0-9 ])"
+    return "(?md)^(?:" + "|".join(f.replace(" ", "[ \n]") for f in forms) + ")$"
 
 
 def scan(docs: DataFrame, known: dict[str, list[str]] | None = None, rules: list[Rule] | None = None) -> DataFrame:
