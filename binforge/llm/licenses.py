@@ -6,8 +6,8 @@ it can be a line or several whole ones. Known licence sentences turn into identi
 order of position are its sequence. A rule is a sequence of identifiers; it matches where its identifiers follow each
 other in the document's sequence, whatever unknown text stands between. The first matching rule decides; all are listed.
 
-Null and empty texts have no sentences and no licence. Texts are scanned whole however long. Rows that share an id are scanned each by its own text; repeated
-rows get equal results. Other columns are dropped.
+Null and empty texts have no sentences and no licence. Texts are scanned whole however long. Rows that share an id are
+scanned each by its own text; repeated rows get equal results. Other columns are dropped.
 """
 
 from __future__ import annotations
