@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,32 +95,46 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_00
 
 
 _BLOCK = 1 << 16  # bytes hashed at once, so that the arrays stay in the cache
-_CODES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+LONG_WORD = 32  # bytes above which a word is hashed by itself
 _SPACES = np.zeros(256, bool)
 _SPACES[list(ASCII_SPACE.encode())] = True
+_ALL = np.uint64((1 << 64) - 1)
 
 
-@functools.lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers in which each bit moves about half of all bits."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def folded(code: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The code of a sequence with one more word. Not a sum, so words that change places don't cancel out."""
+    x = (code ^ h) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
 
 
 def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a text, and where they begin: sums of random codes of their bytes times powers of an odd base."""
+    """64-bit hashes of the words of a text, and where they begin.
+
+    A word's bytes go in eight at a time and are mixed in between; words of eight bytes or less differ for certain from
+    others of their length. Long ones are hashed by xxh3.
+    """
     space = _SPACES[data]
     start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    end = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1
+    size = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1 - start
     if not len(start):
         return np.zeros(0, np.uint64), start
-    up, down = _powers(max(_BLOCK, 1 << (len(data) - 1).bit_length()))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODES[data] * up[: len(data)])))
-    h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29)), start
+    padded = np.concatenate((data, np.zeros(LONG_WORD, np.uint8)))
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, LONG_WORD, 8):
+        own = np.flatnonzero(size > at) if at else slice(None)
+        bits = np.minimum(size[own] - at, 8).astype(np.uint64) * np.uint64(8)
+        h[own] = mixed(h[own] ^ (eight[start[own] + at] & (_ALL >> (np.uint64(64) - bits))))
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+    return h, start
 
 
 def _hash(data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import BROADCAST_ROWS, components, hash_texts, parts, pieces_of, stage, text_key
+from binforge.llm.common import BROADCAST_ROWS, components, folded, hash_texts, parts, pieces_of, stage, text_key
 
 WIDTH = 5
 PERCENT = 75
@@ -57,7 +57,7 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
     h, sizes = hash_texts([(t or "").encode().lower() for t in texts])
     code = np.zeros(max(0, len(h) - width + 1), np.uint64)
     for j in range(width):
-        code = (code + h[j : j + len(code)]) * _M
+        code = folded(code, h[j : j + len(code)])
     code = _mix(code + np.uint64(width))
     out, at = [], 0
     for n in sizes.tolist():
@@ -66,7 +66,7 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
         elif n:
             one = np.zeros(1, np.uint64)
             for x in h[at : at + n]:
-                one = (one + x) * _M
+                one = folded(one, x)
             out.append(_mix(one + np.uint64(n)))
         else:
             out.append(h[:0])

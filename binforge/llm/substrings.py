@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import hash_text, hash_texts, parts, pieces_of, stage, text_key
+from binforge.llm.common import folded, hash_text, hash_texts, parts, pieces_of, stage, text_key
 
 WIDTH = 13
 LEVELS = 4
@@ -36,7 +36,6 @@ LEVELS = 4
 GROUP = 1_500_000
 TABLES = 1 << 30  # the ids and keys of batches are dealt over this many groups of negative numbers, some one to a group
 LAST = np.iinfo(np.int64).max
-_M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,7 +47,7 @@ def prefixes(h: np.ndarray, n: int, most: int) -> Iterator[np.ndarray]:
     """Codes of the first 1, 2, ... most words of each of the n first suffixes."""
     code = np.zeros(n, np.uint64)
     for j in range(most):
-        code = (code + h[j : j + n]) * _M
+        code = folded(code, h[j : j + n])
         yield code
 
 
