@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from binforge.llm import bpe, chat, embeddings, jaccard, langid, licenses, oracles, packing, quality, substrings, warc
+from binforge.llm import bpe, chat, embeddings, jaccard, langid, licenses, negatives, oracles, packing, quality, substrings, topk, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_embedding_near_dedup": embeddings.op9_embedding_near_dedup,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_exact_top_k": topk.op12_exact_top_k,
 }
 
 
@@ -26,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_formatting": chat.OP8_SQL,
         "op9_embedding_near_dedup": oracles.op9_sql(),
         "op10_ngram_jaccard": oracles.op10_sql(),
+        "op11_hard_negatives": negatives.OP11_SQL,
+        "op12_exact_top_k": topk.OP12_SQL,
     }
