@@ -89,16 +89,26 @@ def paired(blocks: DataFrame, shards: DataFrame, most_blocks: int, most_shards:
     return both.drop("_salt", "_to", "_with", "_group")
 
 
-def met(batches: Iterator[pa.RecordBatch], begin: Callable[[dict], object], visit: Callable[[object, dict], None], end: Callable[[object], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Runs ``visit`` for each pair; what ``begin`` made for a block lasts while its pairs follow each other."""
+def met(batches: Iterator[pa.RecordBatch], begin: Callable[[dict], object], visit: Callable[[object, dict], None], end: Callable[[object], Iterator[pa.RecordBatch]], keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Runs ``visit`` for each pair; what ``begin`` made for a block lasts while its pairs follow each other.
+
+    Binary columns come as buffers, those of ``keep`` (lists) as Arrow arrays, all others as Python values.
+    """
+
+    def value(column: pa.Array, name: str, i: int) -> object:
+        if pa.types.is_binary(column.type):
+            return column[i].as_buffer()
+        return column[i].values if name in keep else column[i].as_py()
+
     now, state = None, None
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() if not pa.types.is_binary(batch.column(c).type) else batch.column(c)[i].as_buffer() for c in batch.schema.names}
-            if row["block"] != now:
+            block = batch.column("block")[i].as_py()
+            row = {c: value(batch.column(c), c, i) for c in batch.schema.names}
+            if block != now:
                 if state is not None:
                     yield from end(state)
-                now, state = row["block"], begin(row)
+                now, state = block, begin(row)
             visit(state, row)
     if state is not None:
         yield from end(state)

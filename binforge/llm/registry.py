@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from binforge.llm import bpe, chat, embeddings, jaccard, langid, licenses, negatives, oracles, packing, quality, substrings, topk, warc
+from binforge.llm import bpe, chat, embeddings, jaccard, langid, lexical, licenses, negatives, oracles, packing, quality, substrings, topk, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_exact_top_k": topk.op12_exact_top_k,
+    "op13_ranked_lexical_search": lexical.op13_ranked_lexical_search,
 }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_ngram_jaccard": oracles.op10_sql(),
         "op11_hard_negatives": negatives.OP11_SQL,
         "op12_exact_top_k": topk.OP12_SQL,
+        "op13_ranked_lexical_search": lexical.OP13_SQL,
     }
