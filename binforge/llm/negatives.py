@@ -6,7 +6,8 @@ and below. A search goes down a tree with all anchors of a block at once and dro
 
 * anchors whose label rules out the node's (a node of one label),
 * those whose score window lies wholly above or below the node's bounds,
-* those whose k-th score so far is above the node's upper bound. Equal ones stay, as a smaller id may win.
+* those whose k-th score so far, or a score that k rows of their nearest leaf reach, is above the node's upper bound.
+  Equal ones stay, as a smaller id may win.
 
 Both steps are such searches over the same trees: the best rows of the anchor's label are its positives, and then for
 each of these the best rows of other labels whose score lies between ``least`` percent of the positive's and it.
@@ -115,12 +116,14 @@ class Wanted:
         far = radii[:, None] * self.norm
         slack = 1e-9 * (np.sqrt((centres**2).sum(axis=1))[:, None] * self.norm + far) + 1e-6
         high, low = near + far + slack, near - far - slack
+        leaves = np.flatnonzero(nodes[:, 2] == 1)
+        floor = self._promise(ids, labels, x, nodes[leaves], near[leaves])
         stack = [(node, np.arange(len(self.at))) for node in self._roots(nodes, near)]
         while stack:
             node, left = stack.pop()
             begin, end, below, one, label = nodes[node].tolist()
             at = self.at[left]
-            fine = (high[node, at] >= self.lo[left]) & (low[node, at] <= self.hi[left]) & (high[node, at] >= self.best.least()[left])
+            fine = (high[node, at] >= self.lo[left]) & (low[node, at] <= self.hi[left]) & (high[node, at] >= np.maximum(floor[left], self.best.least()[left]))
             if one:
                 fine &= (self.labels[at] == label) == self.same
             left = left[fine]
@@ -132,7 +135,23 @@ class Wanted:
                 turn = (near[first, self.at[left]] > near[second, self.at[left]]).mean() > 0.5
                 stack += [(second, left), (first, left)] if turn else [(first, left), (second, left)]
             else:
-                self._leaf(ids[begin:end], labels[begin:end], x[begin:end], left)
+                i, j, score = self._fitting(ids[begin:end], labels[begin:end], x[begin:end], left, np.maximum(floor[left], self.best.least()[left]))
+                if len(i):
+                    self.best.add(left[i], score, ids[begin + j])
+
+    def _promise(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, leaves: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """A score that k rows of the leaf nearest to each search reach, NONE if so many don't fit: the k-th can't be below."""
+        k, floor = self.best.score.shape[1], np.full(len(self.at), NONE)
+        out = (leaves[:, 3] == 1)[:, None] & ((leaves[:, 4][:, None] == self.labels[self.at]) != self.same)
+        nearest = np.argmax(np.where(out, -np.inf, near[:, self.at]), axis=0) if len(leaves) else floor
+        for leaf in np.unique(nearest).tolist():
+            left, (begin, end) = np.flatnonzero(nearest == leaf), leaves[leaf, :2].tolist()
+            i, _, score = self._fitting(ids[begin:end], labels[begin:end], x[begin:end], left, self.lo[left])
+            order = np.lexsort((~score, i))
+            first = np.searchsorted(i[order], np.arange(len(left)))
+            many = np.flatnonzero(np.bincount(i, minlength=len(left)) >= k)
+            floor[left[many]] = score[order[first[many] + k - 1]]
+        return floor
 
     def _roots(self, nodes: np.ndarray, near: np.ndarray) -> list[int]:
         """Trees, the most promising last."""
@@ -142,18 +161,17 @@ class Wanted:
             at += int(nodes[at, 2])
         return sorted(found, key=lambda i: near[i].mean())
 
-    def _leaf(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, left: np.ndarray) -> None:
+    def _fitting(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, left: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Searches (places in ``left``), rows and scores where a row's label fits and its score is in the window and ``floor`` at least."""
         of, back = np.unique(self.at[left], return_inverse=True)
         self.scored += len(of) * len(x)
         score = products(self.x[of], x)[back]
         at = self.at[left]
-        floor = np.maximum(self.lo[left], self.best.least()[left])
-        fine = (score >= floor[:, None]) & (score <= self.hi[left][:, None]) & ((labels[None, :] == self.labels[at][:, None]) == self.same)
+        fine = (score >= np.maximum(self.lo[left], floor)[:, None]) & (score <= self.hi[left][:, None]) & ((labels[None, :] == self.labels[at][:, None]) == self.same)
         if self.same:
             fine &= ids[None, :] != self.ids[at][:, None]
         i, j = np.nonzero(fine)
-        if len(i):
-            self.best.add(left[i], score[i, j], ids[j])
+        return i, j, score[i, j]
 
 
 def _searched(blocks: DataFrame, shards: DataFrame, counts: tuple[int, int], same: bool, k: int) -> DataFrame:
