@@ -2,8 +2,8 @@
 
 A shard holds, for each axis, its rows in the order of their component: the posting list of that axis. What a row can
 gain on an axis over the shard's worst row there is its impact, |q| times the difference of components. Impacts are
-quantised to ``LEVELS`` levels of the query's largest one, and a query takes the posting segments of all axes level by
-level, highest first. After level t a row with sum a of impacts on m axes seen can have at most a + B(t) - m t, where
+quantised to ``LEVELS`` levels, powers of ``STEP`` of the query's largest one and last 0, and a query takes the posting
+segments of all axes level by level, highest first. After level t a row with sum a of impacts on m axes seen can have at most a + B(t) - m t, where
 B(t) is the sum over all axes of the smaller of t and the axis' largest impact: what isn't seen is below t.
 
 A query stops only where that bound proves that few rows can reach its k-th score, which is taken from rows already
@@ -30,10 +30,10 @@ from binforge.llm.common import bounded_batches, stage
 
 SCALE = 64
 K = 20
-LEVELS = 24
+STEP, FIRST, LEVELS = 0.75, 3, 12  # the levels are these powers of STEP, and 0
 SHARD = 16_384  # rows of a shard, so that a place in it takes 16 bits
 BLOCK = 128  # queries of a block
-FEW = 16  # rows are scored once no more than one in so many can still be among the best
+FEW = 8  # rows are scored once no more than one in so many can still be among the best
 
 
 def _number(x: np.ndarray) -> bytes:
@@ -77,50 +77,52 @@ class Shard:
         self.x = np.frombuffer(row["rows"], kind).reshape(n, size)
         self.order = np.frombuffer(row["postings"], np.uint16).reshape(size, n)
         self.values = np.frombuffer(row["values"], kind).reshape(size, n)
+        # All lists as one ascending array, so that the ends of the segments of all axes are looked up at once.
+        self.step = 1 << 33
+        self.flat = (np.arange(size)[:, None] * self.step + self.values).ravel()
 
     def possible(self, q: np.ndarray, k: int, floor: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows that may be among the k best and reach ``floor``, their exact scores, and how many postings were read."""
         n = len(self.ids)
         axes = np.flatnonzero(q)
-        weight = np.abs(q[axes])
+        q_, up = q[axes], q[axes] > 0
+        weight = np.abs(q_)
         low, high = self.values[axes, 0].astype(np.int64), self.values[axes, -1].astype(np.int64)
-        most = weight * (high - low)
-        base = int((q[axes] * np.where(q[axes] > 0, low, high)).sum())
+        most, worst = weight * (high - low), q_ * np.where(up, low, high)
+        base, top = int(worst.sum()), int(most.max(initial=0))
+        exact = most.sum() < 2.0**53
         gained, seen, read = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-        done = np.where(q[axes] > 0, n, 0)  # postings are taken from the end of the larger components, or the beginning
-        top = int(most.max(initial=0))
-        for level in range(1, LEVELS + 1):
-            t = top * (LEVELS - level) // LEVELS
+        done = np.where(up, n, 0)  # segments come from the end of the larger components, or from the beginning
+        for level in range(FIRST, FIRST + LEVELS):
+            t = int(top * STEP**level) if level + 1 < FIRST + LEVELS else 0
             least = -(-t // weight)  # difference of components from which an impact is t or more
-            for a in np.flatnonzero(most >= t).tolist():
-                axis = axes[a]
-                values = self.values[axis]
-                if q[axis] > 0:
-                    begin, end = int(np.searchsorted(values, low[a] + least[a])), int(done[a])
-                    done[a] = begin
-                    impact = values[begin:end] - low[a]
+            place = np.searchsorted(self.flat, axes * self.step + np.where(up, low + least, high - least + 1)) - axes * n
+            place = np.where(most >= t, place, done)
+            begin, end = np.where(up, place, done), np.where(up, done, place)
+            done, size = place, end - begin
+            cut = list(zip(axes.tolist(), begin.tolist(), end.tolist()))
+            if size.any():
+                rows = np.concatenate([self.order[a, i:j] for a, i, j in cut])
+                impact = np.repeat(q_, size) * np.concatenate([self.values[a, i:j] for a, i, j in cut]) - np.repeat(worst, size)
+                seen += np.bincount(rows, minlength=n)
+                if exact:
+                    gained += np.bincount(rows, impact, n).astype(np.int64)
                 else:
-                    begin, end = int(done[a]), int(np.searchsorted(values, high[a] - least[a], "right"))
-                    done[a] = end
-                    impact = high[a] - values[begin:end]
-                if end > begin:
-                    rows = self.order[axis, begin:end]
-                    gained[rows] += weight[a] * impact
-                    seen[rows] += 1
-                    read += end - begin
-            if level < LEVELS and read < n * len(axes) // 4:
+                    np.add.at(gained, rows, impact)
+                read += len(rows)
+            if t and read < n * len(axes) // 4:
                 continue
             # The k-th score of some rows that look best, scored exactly, is one that the k-th of all can't be below.
             at_most = gained + (int(np.minimum(most, t).sum()) + base) - seen * t
             at_most[own] = NONE
             if n - len(own) >= k:
                 look = np.argpartition(at_most, n - min(n, 2 * k))[n - min(n, 2 * k) :]
-                exact = products(q[None, :], self.x[look[at_most[look] != NONE]])[0]
-                if len(exact) >= k:
-                    floor = max(floor, int(np.partition(exact, len(exact) - k)[len(exact) - k]))
+                some = products(q[None, :], self.x[look[at_most[look] != NONE]])[0]
+                if len(some) >= k:
+                    floor = max(floor, int(np.partition(some, len(some) - k)[len(some) - k]))
             left = np.flatnonzero((at_most >= floor) & (at_most != NONE))
-            if level == LEVELS or len(left) <= max(2 * k, n // FEW):
-                return left, (gained[left] + base if level == LEVELS else products(q[None, :], self.x[left])[0]), read
+            if t == 0 or len(left) <= max(2 * k, n // FEW):
+                return left, (gained[left] + base if t == 0 else products(q[None, :], self.x[left])[0]), read
         raise AssertionError("the last level sees all impacts")
 
 
