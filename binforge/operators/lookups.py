@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binforge.functions.binning import few
 from binforge.functions.scalar import after_first, mc_weight, params_key
+from binforge.sources.scratch import folder
 
 UNKNOWN = "unknown"
 
@@ -31,12 +35,111 @@ def with_weight(samples: DataFrame, params: DataFrame, lumi: float) -> DataFrame
     return rows.withColumn("w_mc", F.when(F.col("kind") == "data", 1.0).otherwise(weight)).drop("_key", "_k", "xs", "eff", "filter_efficiency")
 
 
-def by_substring(names: DataFrame, processes: DataFrame, name: str = "name") -> DataFrame:
-    """process and color of the first listed sample that the name contains, else unknown and white; equal rows become one."""
-    p = few(processes.select(F.col("process").alias("_p"), F.col("color").alias("_c"), F.col("draw_idx").alias("_d"), F.posexplode("samples").alias("_i", "_s")), must=True)
-    found = names.join(p, F.contains(F.col(name), F.col("_s")), "left")
-    first = found.groupBy(*names.columns).agg(F.min_by(F.struct("_p", "_c"), F.struct("_d", "_i")).alias("_f"))
-    return first.select(*names.columns, F.coalesce("_f._p", F.lit(UNKNOWN)).alias("process"), F.coalesce("_f._c", F.lit("white")).alias("color"))
+#: Patterns up to which they are written into the expression itself, and bytes up to which they are told to all tasks.
+LITERAL_PATTERNS = 64
+TOLD_BYTES = 64 << 20
+#: Characters of the piece of a pattern that names are joined on where there are too many to tell.
+PIECE = 4
+
+
+def _patterns(processes: DataFrame) -> DataFrame:
+    """pattern, rank (from 0, by draw_idx and place in the list), process and color; each pattern once, at its first rank."""
+    rows = processes.select("process", "color", "draw_idx", F.posexplode("samples").alias("_i", "pattern")).where(F.col("pattern").isNotNull())
+    return rows.groupBy("pattern").agg(F.min_by(F.struct("process", "color"), F.struct("draw_idx", "_i")).alias("f"), F.min(F.struct("draw_idx", "_i")).alias("rank")).select("pattern", "rank", "f.process", "f.color")
+
+
+def _matcher(patterns: list[tuple[str, str | None, str | None]]):
+    """A function from names to the process and color of the first of ``patterns`` (in order) that each contains."""
+    import ahocorasick
+
+    automaton, first, last = ahocorasick.Automaton(ahocorasick.STORE_INTS), len(patterns), len(patterns)
+    for rank, (pattern, _, _) in enumerate(patterns):
+        if pattern:
+            automaton.add_word(pattern, rank)
+        else:
+            first = min(first, rank)  # the empty pattern is in every name
+    automaton.make_automaton()
+    filled = len(automaton) > 0
+    styles = pa.array([(p, c) for _, p, c in patterns] + [(UNKNOWN, "white")], pa.struct([("process", pa.string()), ("color", pa.string())]))
+
+    def match(names: pa.Array) -> pa.Array:
+        found = []
+        for name in names.to_pylist():
+            ranks = (rank for _, rank in automaton.iter(name)) if name and filled else ()
+            found.append(last if name is None else min((first, *ranks)))
+        return styles.take(pa.array(found, pa.int64()))
+
+    return match
+
+
+_MATCHERS: dict[str, object] = {}
+
+
+def by_substring(names: DataFrame, processes: DataFrame, name: str = "name", literal: int = LITERAL_PATTERNS, told: int = TOLD_BYTES) -> DataFrame:
+    """``names`` with process and color of the first listed sample that the name contains, else unknown and white.
+
+    First is by draw_idx and then by place in ``samples``. Rows stay as they are, repeated ones too; a null name contains
+    nothing, a null pattern is in no name, the empty one in all. How patterns and names meet depends on their number:
+
+    * a few stand in the expression;
+    * more, up to ``told`` bytes, are an automaton in each Python worker that reads a name once whatever their number;
+    * beyond that both sides are joined by key: a pattern by the rarest of its pieces of ``PIECE`` characters, a name by all
+      of its, and ``contains`` decides.
+    """
+    spark = names.sparkSession
+    patterns = _patterns(processes)
+    count, size = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("pattern") + F.coalesce(F.octet_length("process"), F.lit(0)) + 80), F.lit(0))).first()
+    unknown = F.struct(F.lit(UNKNOWN).alias("process"), F.lit("white").alias("color"))
+    if size > told:
+        return _by_piece(names, patterns, name)
+    rows = [(r["pattern"], r["process"], r["color"]) for r in patterns.orderBy("rank").collect()]
+    if count <= literal:
+        style = lambda p, c: F.struct(F.lit(p).cast("string").alias("process"), F.lit(c).cast("string").alias("color"))
+        found = unknown
+        for pattern, process, color in reversed(rows):
+            found = F.when(F.contains(F.col(name), F.lit(pattern)), style(process, color)).otherwise(found)
+    else:
+        one, known = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
+
+        def match(x: pa.Array) -> pa.Array:
+            if known not in _MATCHERS:
+                _MATCHERS.clear()
+                _MATCHERS[known] = _matcher(one.value)
+            return _MATCHERS[known](x)
+
+        found = F.arrow_udf(match, "struct<process: string, color: string>")(F.col(name))
+    out = names.withColumn("_f", found)
+    return out.select(*names.columns, F.coalesce("_f.process", F.lit(UNKNOWN)).alias("process"), F.coalesce("_f.color", F.lit("white")).alias("color"))
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    """All pieces of ``size`` characters of a text that has so many, each once."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.substring(text, i, size)))
+
+
+def _by_piece(names: DataFrame, patterns: DataFrame, name: str) -> DataFrame:
+    patterns = patterns.withColumn("_size", F.least(F.char_length("pattern"), F.lit(PIECE)))
+    pieces = patterns.where("_size > 0").withColumn("piece", F.explode(_pieces(F.col("pattern"), F.col("_size"))))
+    often = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = pieces.join(often, "piece").groupBy("pattern").agg(F.min_by("piece", F.struct("_n", "piece")).alias("piece"))
+    keyed = patterns.join(rarest, "pattern").select("piece", "pattern", "rank", "process", "color")
+    # A name meets the pieces of all lengths up to PIECE; equal names are looked up once.
+    distinct = names.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    lengths = F.filter(F.array(*[F.lit(i) for i in range(1, PIECE + 1)]), lambda i: i <= F.char_length("_name"))
+    own = distinct.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda i: _pieces(F.col("_name"), i))))))
+    first = F.min_by(F.struct("process", "color"), "rank")
+    found = own.join(keyed, "piece").where(F.contains("_name", "pattern")).groupBy("_name").agg(first.alias("_f"), F.min("rank").alias("_rank"))
+    e = patterns.where("_size = 0").agg(first.alias("_e"), F.min("rank").alias("_none")).first()  # the empty pattern, or nulls
+    path = f"{folder(names.sparkSession)}/found-{uuid.uuid4().hex}"
+    found.write.parquet(path)  # both sides of the join are plain exchanges then, so Spark can split a hot name
+    out = names.join(names.sparkSession.read.parquet(path), F.col(name) == F.col("_name"), "left")
+    style = F.col("_f")
+    if e["_none"] is not None:
+        whole = F.struct(F.lit(e["_e"]["process"]).cast("string").alias("process"), F.lit(e["_e"]["color"]).cast("string").alias("color"))
+        before = F.col("_rank") < F.struct(F.lit(e["_none"]["draw_idx"]).alias("draw_idx"), F.lit(e["_none"]["_i"]).alias("_i"))
+        style = F.when(F.col(name).isNull(), F.lit(None)).when(before, F.col("_f")).otherwise(whole)
+    out = out.withColumn("_f", style)
+    return out.select(*names.columns, F.coalesce("_f.process", F.lit(UNKNOWN)).alias("process"), F.coalesce("_f.color", F.lit("white")).alias("color"))
 
 
 def pairs(control: DataFrame, reco: DataFrame) -> DataFrame:

@@ -288,6 +288,32 @@ def substring_theta_join(spark, sf_dir):
     return lookups.by_substring(parts, processes).select("p_partkey", "process", "color")
 
 
+_CODES_SQL = """n AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey * 7 + l_partkey AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR) AS name FROM lineitem),
+p AS (SELECT CAST(o_custkey * 10 + 7 AS VARCHAR) AS s, o_orderkey AS i, 'p' || (o_orderkey % 50) AS process, o_orderpriority AS color FROM orders),
+q AS (SELECT s, min(i) AS i, arg_min(process, i) AS process, arg_min(color, i) AS color FROM p GROUP BY s)"""
+
+
+def _codes(spark, sf_dir):
+    names = v.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "concat(cast(l_orderkey * 7 + l_partkey as string), '_', cast(l_suppkey as string)) as name")
+    listed = v.table(spark, sf_dir, "orders").selectExpr("concat('p', cast(o_orderkey % 50 as string)) as process", "array(cast(o_custkey * 10 + 7 as string)) as samples", "o_orderpriority as color", "o_orderkey as draw_idx")
+    return names, listed
+
+
+def _substrings(name: str, **how: int) -> None:
+    def run(spark, sf_dir):
+        return lookups.by_substring(*_codes(spark, sf_dir), **how).groupBy("process", "color").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
+
+    run.__name__ = name
+    # Patterns are of few lengths here, so SQL looks each piece of a name up.
+    query(f"""WITH {_CODES_SQL}, k AS (SELECT DISTINCT name FROM n), z AS (SELECT DISTINCT length(s) AS z FROM q),
+c AS (SELECT DISTINCT name, substr(name, CAST(i AS BIGINT), z) AS s FROM (SELECT name, z, unnest(range(1, length(name) - z + 2)) AS i FROM k, z)), f AS (SELECT name, arg_min(process, i) AS process, arg_min(color, i) AS color FROM c JOIN q USING (s) GROUP BY name)
+SELECT coalesce(process, 'unknown') AS process, coalesce(color, 'white') AS color, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM n LEFT JOIN f USING (name) GROUP BY ALL""")(run)
+
+
+_substrings("substring_many_patterns")
+_substrings("substring_joined_patterns", told=0)
+
+
 _NAMES = ["Muon0", "DYto2L-4Jets", "TTto4Q", "TWminus", "TbarWplus", "TBbarQ", "Wto2Q", "WZ", "Muon"]
 
 
