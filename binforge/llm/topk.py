@@ -1,14 +1,14 @@
 """Exact top-k inner products by an impact-ordered index, score at a time.
 
-A shard holds, for each axis, its rows in the order of their component: the posting list of that axis. What a row can
-gain on an axis over the shard's worst row there is its impact, |q| times the difference of components. Impacts are
-quantised to ``LEVELS`` levels, powers of ``STEP`` of the query's largest one and last 0, and a query takes the posting
-segments of all axes level by level, highest first. After level t a row with sum a of impacts on m axes seen can have at most a + B(t) - m t, where
-B(t) is the sum over all axes of the smaller of t and the axis' largest impact: what isn't seen is below t.
+A shard holds, for each axis, its rows in the order of their component; the rows of one component are a segment. What
+they gain on an axis over the shard's worst row there is the segment's impact, |q| times the difference of components. A
+query takes the segments of all axes by descending impact. Once those above t are taken, a row with sum a of impacts on m
+axes seen can have at most a + B(t) - m t, where B(t) is the sum over all axes of the smaller of t and the axis' largest
+impact: what isn't seen is t at most.
 
 A query stops only where that bound proves that few rows can reach its k-th score, which is taken from rows already
 scored exactly, in this shard or those before. Rows that the bound doesn't exclude, equal scores included, are scored
-exactly by their whole components; at the last level all impacts are seen and the sums are exact themselves.
+exactly by their whole components; once all impacts are seen the sums are exact themselves.
 
 Components are floor(scale * x) in doubles, scores whole numbers. Null vectors, and those with null or non-finite
 components, take no part; rows without an id neither. Vectors of different lengths are not compared. A query's own are
@@ -30,8 +30,8 @@ from binforge.llm.common import bounded_batches, stage
 
 SCALE = 64
 K = 20
-STEP, FIRST, LEVELS = 0.75, 3, 12  # the levels are these powers of STEP, and 0
-SHARD = 16_384  # rows of a shard, so that a place in it takes 16 bits
+LEVELS = (0.52, 0.6, 0.68, 0.76, 0.84, 1)  # parts of a query's postings after which its bound is looked at
+SHARD = 32_768  # rows of a shard, so that a place in it takes 16 bits
 BLOCK = 128  # queries of a block
 FEW = 8  # rows are scored once no more than one in so many can still be among the best
 
@@ -50,80 +50,86 @@ def query_blocks(vectors: DataFrame, scale: int, most: int = BLOCK) -> DataFrame
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "block long, size int, ids binary, x binary")
 
 
+def segments(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Postings of all axes after each other, where each segment starts, and its component."""
+    order = np.argsort(x, axis=0, kind="stable").T
+    values = np.take_along_axis(x.T, order, axis=1)
+    new = np.ones(values.shape, bool)
+    new[:, 1:] = values[:, 1:] != values[:, :-1]
+    return {"postings": order.astype(np.uint16), "segments": np.flatnonzero(new), "values": values[new]}
+
+
 def index(vectors: DataFrame, scale: int = SCALE, most: int = SHARD) -> DataFrame:
-    """shard, ids, x, and by axis the order of rows and their components in that order. Holds every comparable row."""
+    """shard, and its rows and their segments. Holds every comparable row."""
+    names = ("members", "rows", "postings", "segments", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("shard", pa.int64()), ("width", pa.int32()), ("bits", pa.int32()), ("members", pa.binary()), ("rows", pa.binary()), ("postings", pa.binary()), ("values", pa.binary())])
+        kind = pa.schema([("shard", pa.int64()), ("width", pa.int32()), ("bits", pa.int32()), *((c, pa.binary()) for c in names)])
         for number, (ids,), x in held(batches, ["vec_id"], scale, most):
-            x = narrow(x)
-            order = np.argsort(x, axis=0, kind="stable").T
-            yield pa.RecordBatch.from_pydict({
-                "shard": [number], "width": [x.shape[1]], "bits": [8 * x.itemsize], "members": [_number(ids)], "rows": [_number(x)],
-                "postings": [_number(order.astype(np.uint16))], "values": [_number(np.take_along_axis(x.T, order, axis=1))],
-            }, kind)
+            made = {"members": ids, "rows": narrow(x), **segments(narrow(x))}
+            yield pa.RecordBatch.from_pydict({"shard": [number], "width": [x.shape[1]], "bits": [8 * made["rows"].itemsize], **{c: [_number(made[c])] for c in names}}, kind)
 
     rows = comparable(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return rows.mapInArrow(run, "shard long, width int, bits int, members binary, rows binary, postings binary, values binary")
+    return rows.mapInArrow(run, "shard long, width int, bits int, " + ", ".join(f"{c} binary" for c in names))
 
 
 class Shard:
     """An index row's arrays."""
 
     def __init__(self, row: dict):
-        kind, size = np.dtype(f"int{row['bits']}"), row["width"]
+        kind, self.size = np.dtype(f"int{row['bits']}"), row["width"]
         self.ids = np.frombuffer(row["members"], np.int64)
-        n = len(self.ids)
-        self.x = np.frombuffer(row["rows"], kind).reshape(n, size)
-        self.order = np.frombuffer(row["postings"], np.uint16).reshape(size, n)
-        self.values = np.frombuffer(row["values"], kind).reshape(size, n)
-        # All lists as one ascending array, so that the ends of the segments of all axes are looked up at once.
-        self.step = 1 << 33
-        self.flat = (np.arange(size)[:, None] * self.step + self.values).ravel()
+        self.x = np.frombuffer(row["rows"], kind).reshape(len(self.ids), self.size)
+        self.postings = np.frombuffer(row["postings"], np.uint16)
+        self.start = np.frombuffer(row["segments"], np.int64)
+        self.value = np.frombuffer(row["values"], kind).astype(np.int64)
+        self.length = np.diff(np.append(self.start, len(self.postings)))
+        self.axis = self.start // max(1, len(self.ids))
+        self.low, self.high = (self.x.min(axis=0), self.x.max(axis=0)) if len(self.ids) else (self.x, self.x)
 
     def possible(self, q: np.ndarray, k: int, floor: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows that may be among the k best and reach ``floor``, their exact scores, and how many postings were read."""
         n = len(self.ids)
-        axes = np.flatnonzero(q)
-        q_, up = q[axes], q[axes] > 0
-        weight = np.abs(q_)
-        low, high = self.values[axes, 0].astype(np.int64), self.values[axes, -1].astype(np.int64)
-        most, worst = weight * (high - low), q_ * np.where(up, low, high)
-        base, top = int(worst.sum()), int(most.max(initial=0))
-        exact = most.sum() < 2.0**53
-        gained, seen, read = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-        done = np.where(up, n, 0)  # segments come from the end of the larger components, or from the beginning
-        for level in range(FIRST, FIRST + LEVELS):
-            t = int(top * STEP**level) if level + 1 < FIRST + LEVELS else 0
-            least = -(-t // weight)  # difference of components from which an impact is t or more
-            place = np.searchsorted(self.flat, axes * self.step + np.where(up, low + least, high - least + 1)) - axes * n
-            place = np.where(most >= t, place, done)
-            begin, end = np.where(up, place, done), np.where(up, done, place)
-            done, size = place, end - begin
-            cut = list(zip(axes.tolist(), begin.tolist(), end.tolist()))
-            if size.any():
-                rows = np.concatenate([self.order[a, i:j] for a, i, j in cut])
-                impact = np.repeat(q_, size) * np.concatenate([self.values[a, i:j] for a, i, j in cut]) - np.repeat(worst, size)
-                seen += np.bincount(rows, minlength=n)
-                if exact:
-                    gained += np.bincount(rows, impact, n).astype(np.int64)
+        worst = q * np.where(q > 0, self.low, self.high).astype(np.int64)
+        most, base = np.abs(q) * (self.high.astype(np.int64) - self.low), int(worst.sum())
+        impact = q[self.axis] * self.value - worst[self.axis]
+        order = np.argsort(-impact, kind="stable")
+        order = order[impact[order] > 0]  # the others add nothing
+        read = np.cumsum(self.length[order])
+        # One number holds how many axes of a row are seen, and what they gained below that.
+        unit = 1 << int(most.sum()).bit_length()
+        if unit * (self.size + 1) >= 1 << 53:
+            unit = 0
+        gained, seen, done = np.zeros(n, np.int64 if unit == 0 else np.float64), np.zeros(n, np.int64), 0
+        for part in LEVELS:
+            end = min(len(order), int(np.searchsorted(read, part * n * np.count_nonzero(q))) + 1) if part < 1 else len(order)
+            t = int(impact[order[end]]) if end < len(order) else 0  # what isn't seen is at most this
+            now = np.sort(order[done:end])
+            done = max(done, end)
+            if len(now):
+                cut = np.flatnonzero(np.diff(now) != 1)
+                first, last = now[np.append(0, cut + 1)], now[np.append(cut, len(now) - 1)]
+                rows = np.concatenate([self.postings[i:j] for i, j in zip(self.start[first].tolist(), (self.start[last] + self.length[last]).tolist())])
+                if unit:
+                    gained += np.bincount(rows, np.repeat(impact[now] + float(unit), self.length[now]), n)
                 else:
-                    np.add.at(gained, rows, impact)
-                read += len(rows)
-            if t and read < n * len(axes) // 4:
-                continue
-            # The k-th score of some rows that look best, scored exactly, is one that the k-th of all can't be below.
-            at_most = gained + (int(np.minimum(most, t).sum()) + base) - seen * t
+                    np.add.at(gained, rows, np.repeat(impact[now], self.length[now]))
+                    seen += np.bincount(rows, minlength=n)
+            total = gained.astype(np.int64)
+            count = total // unit if unit else seen
+            total = total - count * unit + base
+            at_most = total + int(np.minimum(most, t).sum()) - count * t
             at_most[own] = NONE
             if n - len(own) >= k:
+                # The k-th score of some rows that look best, scored exactly, is one that the k-th of all can't be below.
                 look = np.argpartition(at_most, n - min(n, 2 * k))[n - min(n, 2 * k) :]
                 some = products(q[None, :], self.x[look[at_most[look] != NONE]])[0]
                 if len(some) >= k:
                     floor = max(floor, int(np.partition(some, len(some) - k)[len(some) - k]))
             left = np.flatnonzero((at_most >= floor) & (at_most != NONE))
             if t == 0 or len(left) <= max(2 * k, n // FEW):
-                return left, (gained[left] + base if t == 0 else products(q[None, :], self.x[left])[0]), read
-        raise AssertionError("the last level sees all impacts")
+                break
+        return left, (total[left] if t == 0 else products(q[None, :], self.x[left])[0]), int(read[done - 1]) if done else 0
 
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = SCALE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:

@@ -70,8 +70,8 @@ def test_top_k_stops_on_proof():
     rng = np.random.default_rng(3)
     x = np.floor(64 * rng.standard_normal((4000, 64)) / 8).astype(np.int16)
     x[100:140] = x[7]
-    order = np.argsort(x, axis=0, kind="stable").T
-    row = {"width": 64, "bits": 16, "members": np.arange(4000).tobytes(), "rows": x.tobytes(), "postings": np.ascontiguousarray(order.astype(np.uint16)).tobytes(), "values": np.ascontiguousarray(np.take_along_axis(x.T, order, axis=1)).tobytes()}
+    made = {"members": np.arange(4000), "rows": x, **topk.segments(x)}
+    row = {"width": 64, "bits": 16} | {c: np.ascontiguousarray(v).tobytes() for c, v in made.items()}
     shard, read = topk.Shard(row), 0
     for i in range(0, 4000, 200):
         q = x[i].astype(np.int64)
@@ -81,7 +81,7 @@ def test_top_k_stops_on_proof():
         least = np.sort(want)[-20]
         assert set(np.flatnonzero(want >= least)) <= set(rows) and (want[rows] == score).all()
         read += n
-    assert read < 0.75 * 20 * 4000 * 64
+    assert read < 0.7 * 20 * 4000 * 64
 
 
 def brute_negatives(rows, every):
@@ -175,6 +175,13 @@ def test_lexical_search_of_nothing(spark):
     assert lexical.search(frame(spark, []), items).collect() == [] and lexical.search(frame(spark, documents(2)), none).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    """Sums that doubles don't hold are taken in whole numbers."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.standard_normal(8) * 2e6).astype(np.float32).tolist(), 1) for i in range(90)]
+    assert counted(topk.search(table(spark, rows), F.col("vec_id") % 20 == 0, k=5).collect()) == brute_top(rows, 5, 20)
+
+
 def test_numbers_come_back():
     x = np.array([0, 1, 127, 128, 300, 16_383, 16_384, 2**28, 2**34, 5], np.int64)
     data, begin = lexical.packed(x)
