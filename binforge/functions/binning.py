@@ -96,8 +96,44 @@ def bins_table(spark: SparkSession, binnings: dict[str, Binning]) -> DataFrame:
     return table.withColumn("centre", (F.col("lo") + F.col("hi")) / 2).withColumn("width", F.col("hi") - F.col("lo"))
 
 
+#: The level of bins that no grid can hold: those with an infinite edge, or without a width.
+_ANY = 9999
+
+
+def _level(lo: Column, hi: Column) -> Column:
+    """The smallest whole number whose power of 2 is the bin's width or above."""
+    width = hi - lo
+    fine = (width > 2.0**-1000) & (width < 2.0**1000) & (F.abs(lo) < float("inf")) & (F.abs(hi) < float("inf"))
+    up = F.ceil(F.log2(width)).cast("int")
+    # The logarithm may be off next to a power of 2.
+    return F.when(F.coalesce(fine, F.lit(False)), F.when(F.pow(F.lit(2.0), up) < width, up + 1).otherwise(up)).otherwise(_ANY)
+
+
+def _cell(x: Column, level: Column) -> Column:
+    scaled = x * F.pow(F.lit(2.0), -level)
+    return F.when(level == _ANY, F.lit(0)).when((x < 0) & (scaled == 0), F.lit(-1)).otherwise(F.floor(scaled))  # tiny values may scale to 0
+
+
+def range_candidates(values: DataFrame, bins: DataFrame) -> DataFrame:
+    """``values`` with each bin of a cell that the value lies in: what ``range_joined`` compares."""
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    b = bins.select(F.col("var").alias("_var"), "bin", lo.alias("lo"), hi.alias("hi"), "last").where("lo <= hi").withColumn("_level", _level(F.col("lo"), F.col("hi")))
+    levels = b.groupBy(F.col("_var").alias("_of")).agg(F.collect_set("_level").alias("_levels"))
+    first, last = (_cell(F.col(c), F.col("_level")) for c in ("lo", "hi"))
+    ends = F.when(~F.col("last") & (last * F.pow(F.lit(2.0), F.col("_level")) == F.col("hi")), last - 1).otherwise(last)  # an upper edge that starts a cell
+    b = b.withColumn("_cell", F.explode(F.sequence(first, F.greatest(first, ends))))
+    rows = values.join(few(levels), F.col("var") == F.col("_of")).withColumn("_at", F.explode("_levels")).drop("_of", "_levels")
+    at = (F.col("var") == F.col("_var")) & (F.col("_at") == F.col("_level")) & (_cell(F.col("x").cast("double"), F.col("_at")) == F.col("_cell"))
+    return rows.join(few(b), at).drop("_var", "_at", "_level", "_cell")
+
+
 def range_joined(values: DataFrame, bins: DataFrame) -> DataFrame:
-    """The same bins by a broadcast range join, for binnings that are data; ``bins`` is a row for each bin."""
-    b = F.broadcast(bins.select(F.col("var").alias("_var"), "bin", "lo", "hi", "last"))
-    at = (F.col("var") == F.col("_var")) & (F.col("x") >= F.col("lo")) & ((F.col("x") < F.col("hi")) | (F.col("last") & (F.col("x") == F.col("hi"))))
-    return values.join(b, at).drop("_var", "lo", "hi", "last")
+    """``values`` (var, x, ...) with the bins of ``bins`` (var, bin, lo, hi, last: a row each) they lie in; for binnings that are data.
+
+    Bins of any width, with gaps or overlaps. A bin is put on a grid whose cells are as wide as it or wider, by a factor of 2
+    at most, so it lies in two cells at most and a cell holds three disjoint bins at most; a value looks up its cell on each
+    grid that its variable has. Both joins are by key, and a side is broadcast only after a check of its size. The last
+    bin includes its upper edge. Null and NaN values are in no bin.
+    """
+    inside = (F.col("x") >= F.col("lo")) & ((F.col("x") < F.col("hi")) | (F.col("last") & (F.col("x") == F.col("hi")))) & ~F.isnan(F.col("x").cast("double"))
+    return range_candidates(values, bins).where(inside).drop("lo", "hi", "last")

@@ -346,6 +346,18 @@ def bin_range_join(spark, sf_dir):
     return binning.range_joined(values, bins).groupBy("var", "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
+@query("""WITH e AS (SELECT c_mktsegment AS var, c_acctbal AS lo, lead(c_acctbal) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS hi, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS bin FROM (SELECT DISTINCT c_mktsegment, c_acctbal FROM customer)),
+b AS (SELECT var, bin, lo, hi FROM e WHERE hi IS NOT NULL), x AS (SELECT o_orderpriority, c_mktsegment AS var, o_totalprice / 40 AS x FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT x.var, bin, count(*) AS count, round(min(x), 6) AS least FROM x ASOF JOIN (SELECT var, lo, bin, hi FROM b) b ON x.var = b.var AND x.x >= b.lo WHERE x < hi GROUP BY ALL""")
+def bin_interval_join(spark, sf_dir):
+    """Bins that are data: between neighbouring balances of a market segment, of very unequal widths, as many as customers."""
+    customer = v.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("var"), F.col("c_acctbal").alias("lo"))
+    order = Window.partitionBy("var").orderBy("lo")
+    bins = customer.select("var", "lo").distinct().select("var", "lo", F.lead("lo").over(order).alias("hi"), F.row_number().over(order).cast("long").alias("bin"), F.lit(False).alias("last")).where("hi is not null")
+    values = v.table(spark, sf_dir, "orders").join(customer.select("c_custkey", "var"), F.col("o_custkey") == F.col("c_custkey")).select("var", (F.col("o_totalprice") / 40).alias("x"))
+    return binning.range_joined(values, bins).groupBy("var", "bin").agg(F.count(F.lit(1)).alias("count"), F.round(F.min("x"), 6).alias("least"))
+
+
 @query(f"WITH {v.bins_sql(v.BINS)} SELECT var, bin, lo, hi, (lo + hi) / 2 AS centre, hi - lo AS width FROM bins")
 def bin_edges_centres(spark, sf_dir):
     return binning.bins_table(spark, v.BINS).select("var", "bin", "lo", "hi", "centre", "width")

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from binforge.functions import binning
 from binforge.operators import lookups
 
 PROCESSES = "process string, samples array<string>, color string, draw_idx int"
@@ -56,3 +57,37 @@ def test_no_patterns(spark):
     names, none = spark.createDataFrame([("a",), (None,)], "name string"), spark.createDataFrame([], PROCESSES)
     for how in ({}, {"literal": -1}, {"told": -1}):
         assert Counter(map(tuple, lookups.by_substring(names, none, **how).collect())) == Counter([("a", "unknown", "white"), (None, "unknown", "white")])
+
+
+BINS = "var string, bin int, lo double, hi double, last boolean"
+
+
+def brute_bins(values, bins):
+    return Counter((var, x, b) for var, x in values for bv, b, lo, hi, last in bins if x is not None and not math.isnan(x) and var == bv and lo <= x and (x < hi or (last and x == hi)))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_intervals(spark, small, monkeypatch):
+    """Equal, unequal, overlapping and infinite bins, and values at every edge and next to it."""
+    if not small:
+        monkeypatch.setattr(binning, "FEW", 3)
+    inf = math.inf
+    edges = {"equal": [i * 0.1 for i in range(30)], "log": [2.0**i for i in range(-20, 21)], "odd": [-1000.0, -3.0, -2.999, 0.0, 1e-9, 1.0, 1e6, 1e12], "open": [-inf, 0.0, 1.0, inf]}
+    bins = [(k, i, a, b, i == len(e) - 2) for k, e in edges.items() for i, (a, b) in enumerate(zip(e, e[1:]))]
+    bins += [("over", 0, 0.0, 10.0, False), ("over", 1, 5.0, 6.0, True), ("over", 2, 0.0, 1000.0, False), ("over", 3, 7.0, 7.0, True), ("over", 4, 9.0, 8.0, True)]
+    values = [(k, x) for k, e in edges.items() for y in e if math.isfinite(y) for x in (y, math.nextafter(y, inf), math.nextafter(y, -inf))]
+    values += [("over", float(x)) for x in range(-1, 12)] + [(k, x) for k in edges for x in (None, math.nan, inf, -inf, 1e300, -1e300)] + [("none", 1.0), ("over", 5.0)]
+    got = binning.range_joined(spark.createDataFrame(values, "var string, x double"), spark.createDataFrame(bins, BINS))
+    assert Counter(map(tuple, got.select("var", "x", "bin").collect())) == brute_bins(values, bins)
+
+
+def test_few_bins_are_compared(spark):
+    """Whatever the number of bins of a variable, a value is compared with three at most where they are disjoint."""
+    rng = random.Random(2)
+    cuts = sorted({rng.random() ** 8 * 1e6 for _ in range(3000)})
+    bins = [("x", i, a, b, False) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    equal = [("y", i, float(i), float(i + 1), False) for i in range(2000)]
+    values = spark.range(2000).selectExpr("'y' as var", "id * 0.999 as x").union(spark.createDataFrame([("x", rng.random() ** 8 * 1e6) for _ in range(2000)], "var string, x double"))
+    compared = binning.range_candidates(values, spark.createDataFrame(bins + equal, BINS)).groupBy("var").count().collect()
+    assert {r["var"]: r["count"] / 2000 for r in compared}["y"] <= 2 and {r["var"]: r["count"] / 2000 for r in compared}["x"] <= 3
+    assert "NestedLoop" not in plan_of(binning.range_joined(values, spark.createDataFrame(bins, BINS)))
