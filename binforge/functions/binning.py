@@ -82,7 +82,8 @@ FEW = 100_000
 
 def few(table: DataFrame, must: bool = False) -> DataFrame:
     """A dimension table marked for a broadcast if it is small; else as it is, or an error if there is no other way to join it."""
-    if table.limit(FEW + 1).count() <= FEW:
+    bound = table._jdf.queryExecution().optimizedPlan().maxRows()  # known to the optimizer for tables the driver has made; no job then
+    if (bound.isDefined() and bound.get() <= FEW) or table.limit(FEW + 1).count() <= FEW:
         return F.broadcast(table)
     if must:
         raise ValueError(f"more than {FEW} rows to compare with each row")

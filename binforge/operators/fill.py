@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from binforge.functions import exact
 from binforge.functions.binning import Binning, bin_index, bin_of, local
 from binforge.functions.scalar import finite, quoted, relative, wrapped
 
@@ -67,16 +68,20 @@ def _axes(spark: SparkSession, binnings: dict[tuple[str, str], Binning]) -> Data
     return F.broadcast(local(spark, rows, "_family string, _var string, _lo double, _hi double, _step double, _n int, _edges array<double>"))
 
 
-def histogram(rows: DataFrame, binnings: dict[tuple[str, str], Binning]) -> DataFrame:
+def histogram(rows: DataFrame, binnings: dict[tuple[str, str], Binning], exact_sums: bool = False) -> DataFrame:
     """family, var, region, process, bin, count, sumw, sumw2; bin is null for values outside, which keep a process present.
 
+    With ``exact_sums`` the sums are the same in every bit however the rows are ordered and partitioned.
+
     One bin expression serves all variables, whose axes are looked up, so the generated code stays small enough to be
     compiled however many there are.
     """
     axes = _axes(rows.sparkSession, binnings)
     at = bin_of(F.col("x"), F.col("_lo"), F.col("_hi"), F.col("_step"), F.col("_n"), F.col("_edges"))
     binned = rows.join(axes, (F.col("family") == F.col("_family")) & (F.col("var") == F.col("_var")), "left").withColumn("bin", at)
-    return binned.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("count"), F.sum("w").alias("sumw"), F.sum("w2").alias("sumw2"))
+    total = exact.exact_sum if exact_sums else F.sum
+    out = binned.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("count"), total(F.col("w")).alias("sumw"), total(F.col("w2")).alias("sumw2"))
+    return out.withColumns({c: exact.value(F.col(c)) for c in ("sumw", "sumw2")}) if exact_sums else out
 
 
 def densify(hist: DataFrame, binnings: dict[tuple[str, str], Binning]) -> DataFrame:
@@ -93,10 +98,13 @@ def densify(hist: DataFrame, binnings: dict[tuple[str, str], Binning]) -> DataFr
     return own.select(*KEYS, "bin", *edges, F.coalesce("_cell.count", F.lit(0)).cast("long").alias("count"), *[F.coalesce(f"_cell.{c}", F.lit(0.0)).alias(c) for c in ("sumw", "sumw2")])
 
 
-def filled(events: DataFrame, column: str, binning: Binning, weights: dict[str, Column]) -> DataFrame:
+def filled(events: DataFrame, column: str, binning: Binning, weights: dict[str, Column], exact_sums: bool = False) -> DataFrame:
     """bin and a sum of each weight over all rows with a value in range: the asymmetry's histograms."""
     rows = events.withColumn("bin", bin_index(quoted(column), binning)).where(F.col("bin").isNotNull())
-    return rows.groupBy("bin").agg(*[F.sum(w).alias(k) for k, w in weights.items()])
+    if not exact_sums:
+        return rows.groupBy("bin").agg(*[F.sum(w).alias(k) for k, w in weights.items()])
+    sums = rows.groupBy("bin").agg(*[exact.exact_sum(w.cast("double")).alias(k) for k, w in weights.items()])
+    return sums.select("bin", *[exact.value(F.col(k)).alias(k) for k in weights])
 
 
 def asymmetry(hist: DataFrame, even: str = "even", odd: str = "odd") -> DataFrame:

@@ -68,10 +68,10 @@ class HistogramEngine:
         return out
 
     def fill(self) -> DataFrame:
-        """The dense histograms of all families, with kind."""
+        """The dense histograms of all families, with kind; ``exact_sums`` of the runtime settings makes sums independent of order."""
         events = self.events()
         rows = fill.fills(events, self.control, self.pairs, self.control)
-        hist = fill.densify(fill.histogram(rows, self.binnings()), self.binnings())
+        hist = fill.densify(fill.histogram(rows, self.binnings(), bool(self.config.runtime.get("exact_sums"))), self.binnings())
         return agreement.with_kind(hist, agreement.kinds_of(self.samples()))
 
     def agreement(self, hist: DataFrame) -> DataFrame:
@@ -90,4 +90,4 @@ class HistogramEngine:
         if a.column not in events.columns:
             raise ValueError(f"no sample has {a.column}")
         even, odd = (quoted(w) if w in events.columns else F.lit(1.0) for w in a.weights)
-        return fill.filled(events, a.column, Binning(*a.range, a.bins), {"even": even, "odd": odd})
+        return fill.filled(events, a.column, Binning(*a.range, a.bins), {"even": even, "odd": odd}, bool(self.config.runtime.get("exact_sums")))

@@ -50,8 +50,8 @@ _CONTROL_BINS = {("control", c): v.BINS[c] for c in CONTROL}
 _AGREED_BINS = {("mc_data", c): v.BINS[c] for c in AGREED}
 
 
-def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = fill.histogram(fill.fills(_normalised(spark, sf_dir), [], [], AGREED), _AGREED_BINS)
+def _agreement(spark: SparkSession, sf_dir: str, exact_sums: bool = False) -> DataFrame:
+    hist = fill.histogram(fill.fills(_normalised(spark, sf_dir), [], [], AGREED), _AGREED_BINS, exact_sums)
     kinds = agreement.kinds_of(v.regions(spark, sf_dir))
     return agreement.with_kind(fill.densify(hist, _AGREED_BINS), kinds)
 
@@ -99,6 +99,17 @@ def hist_weighted_regions(spark, sf_dir):
     return _agreement(spark, sf_dir).select("var", "region", "process", "bin", "count", F.round("sumw", 6).alias("sumw"), F.round("sumw2", 6).alias("sumw2"))
 
 
+# Whole numbers of 2^-80 in SQL, and not rounded on either side.
+_UNIT = "CAST(pow(2.0, 80) AS DOUBLE)"
+
+
+@query(f"""WITH {_AGREED_SQL}, e AS (SELECT v.var, region, process, bin, count(*) AS count, sum(CAST(w * {_UNIT} AS HUGEINT)) AS sumw, sum(CAST(w2 * {_UNIT} AS HUGEINT)) AS sumw2 FROM v JOIN bins b ON {v.IN_BIN} WHERE region IS NOT NULL GROUP BY ALL)
+SELECT var, region, process, bin, count, CAST(sumw AS DOUBLE) / {_UNIT} AS sumw, CAST(sumw2 AS DOUBLE) / {_UNIT} AS sumw2 FROM e""")
+def hist_exact_sums(spark, sf_dir):
+    """Sums that are the same in every bit in any order, so they need no rounding to be compared."""
+    return _agreement(spark, sf_dir, exact_sums=True).where("count > 0").select("var", "region", "process", "bin", "count", "sumw", "sumw2")
+
+
 @query(f"WITH {_AGREED_SQL}, {_QCD_SQL} SELECT var, region, process, bin, round(sumw, 6) + 0.0 AS sumw, round(sumw2, 6) + 0.0 AS sumw2 FROM a WHERE process = 'QCD'")
 def qcd_from_ss(spark, sf_dir):
     return agreement.qcd(_agreement(spark, sf_dir)).select("var", "region", "process", "bin", (F.round("sumw", 6) + 0.0).alias("sumw"), (F.round("sumw2", 6) + 0.0).alias("sumw2"))
@@ -217,11 +228,17 @@ def resolution_angle_wrap(spark, sf_dir):
 
 _ASYM_SQL = f"""WITH {v.PHASES_SQL}, {v.bins_sql({'r': v.PHASE})}, v AS (SELECT 'r' AS var, phi_1 AS x, abs(value) AS w, CASE event_type WHEN 'click' THEN 2 ELSE 1 END * abs(value) AS u FROM ph),
 h AS (SELECT bin, sum(w) AS even, sum(u) AS odd FROM v JOIN bins b ON {v.IN_BIN} GROUP BY bin)"""
+_ASYM_EXACT_SQL = _ASYM_SQL.replace("sum(w)", f"sum(CAST(w * {_UNIT} AS HUGEINT))").replace("sum(u)", f"sum(CAST(u * {_UNIT} AS HUGEINT))")
 
 
-def _asymmetry(spark, sf_dir):
+def _asymmetry(spark, sf_dir, exact_sums=False):
     e = v.phases(spark, sf_dir)
-    return fill.filled(e, "phi_1", v.PHASE, {"even": F.abs("value"), "odd": F.when(F.col("event_type") == "click", 2).otherwise(1) * F.abs("value")})
+    return fill.filled(e, "phi_1", v.PHASE, {"even": F.abs("value"), "odd": F.when(F.col("event_type") == "click", 2).otherwise(1) * F.abs("value")}, exact_sums)
+
+
+@query(f"{_ASYM_EXACT_SQL} SELECT bin, CAST(even AS DOUBLE) / {_UNIT} AS even, CAST(odd AS DOUBLE) / {_UNIT} AS odd FROM h")
+def asymmetry_exact_sums(spark, sf_dir):
+    return _asymmetry(spark, sf_dir, exact_sums=True)
 
 
 @query(f"{_ASYM_SQL} SELECT bin, round(even, 6) AS even, round(odd, 6) AS odd FROM h")
