@@ -68,20 +68,28 @@ def _axes(spark: SparkSession, binnings: dict[tuple[str, str], Binning]) -> Data
     return F.broadcast(local(spark, rows, "_family string, _var string, _lo double, _hi double, _step double, _n int, _edges array<double>"))
 
 
+def _binned(rows: DataFrame, binnings: dict[tuple[str, str], Binning]) -> DataFrame:
+    """One bin expression serves all variables, whose axes are looked up, so the generated code stays small enough to be
+    compiled however many there are.
+    """
+    axes = _axes(rows.sparkSession, binnings)
+    at = bin_of(F.col("x"), F.col("_lo"), F.col("_hi"), F.col("_step"), F.col("_n"), F.col("_edges"))
+    return rows.join(axes, (F.col("family") == F.col("_family")) & (F.col("var") == F.col("_var")), "left").withColumn("bin", at)
+
+
 def histogram(rows: DataFrame, binnings: dict[tuple[str, str], Binning], exact_sums: bool = False) -> DataFrame:
     """family, var, region, process, bin, count, sumw, sumw2; bin is null for values outside, which keep a process present.
 
     With ``exact_sums`` the sums are the same in every bit however the rows are ordered and partitioned.
-
-    One bin expression serves all variables, whose axes are looked up, so the generated code stays small enough to be
-    compiled however many there are.
     """
-    axes = _axes(rows.sparkSession, binnings)
-    at = bin_of(F.col("x"), F.col("_lo"), F.col("_hi"), F.col("_step"), F.col("_n"), F.col("_edges"))
-    binned = rows.join(axes, (F.col("family") == F.col("_family")) & (F.col("var") == F.col("_var")), "left").withColumn("bin", at)
-    total = exact.exact_sum if exact_sums else F.sum
-    out = binned.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("count"), total(F.col("w")).alias("sumw"), total(F.col("w2")).alias("sumw2"))
-    return out.withColumns({c: exact.value(F.col(c)) for c in ("sumw", "sumw2")}) if exact_sums else out
+    if exact_sums:
+        return partial(rows, binnings).withColumns({c: exact.value(F.col(c)) for c in ("sumw", "sumw2")})
+    return _binned(rows, binnings).groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("count"), F.sum("w").alias("sumw"), F.sum("w2").alias("sumw2"))
+
+
+def partial(rows: DataFrame, binnings: dict[tuple[str, str], Binning]) -> DataFrame:
+    """The same with exact sums as they can be merged with others (see ``functions.exact``)."""
+    return _binned(rows, binnings).groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("count"), exact.exact_sum(F.col("w")).alias("sumw"), exact.exact_sum(F.col("w2")).alias("sumw2"))
 
 
 def densify(hist: DataFrame, binnings: dict[tuple[str, str], Binning]) -> DataFrame:

@@ -13,6 +13,11 @@ from binforge.operators import agreement, fill, lookups, ordering
 from binforge.operators.selection import region, select, trigger
 from binforge.sources import catalog
 from binforge.sources.config import Config, Sample
+from binforge.sources.store import HistogramStore, file_of, plain_path
+
+
+class NoFiles(ValueError):
+    """There is nothing to read."""
 
 
 class HistogramEngine:
@@ -33,28 +38,32 @@ class HistogramEngine:
         rows = [(p.name, list(p.samples), p.color, p.label, i) for i, p in enumerate(self.config.processes)]
         return local(self.spark, rows, "process string, samples array<string>, color string, label string, draw_idx int")
 
-    def normalised(self, df: DataFrame, sample: Sample, variables: list[str], cut: bool = True) -> DataFrame:
-        """One sample's events after its cuts, with every default filled in while its own columns are known.
+    def normalised(self, df: DataFrame, sample: Sample, variables: list[str], cut: bool = True, files: bool = False) -> DataFrame:
+        """One sample's events after its cuts, with every default filled in while its own columns are known; with ``files`` also ``_file``.
 
         After the union a missing column is null, and a null means a value that is missing from a row.
         """
         names = df.columns
+        df = df.withColumn("_file", file_of()) if files else df
         df = select(df, self.config.selection) if cut else df
         columns = [F.lit(sample.name).alias("sample"), region(names).alias("region"), trigger(names).alias("trigger")]
         columns.append((quoted("weight").cast("double") if "weight" in names else F.lit(1.0)).alias("weight"))
+        columns += ["_file"] if files else []
         return df.select(*columns, *[(quoted(v).cast("double") if v in names else F.lit(None).cast("double")).alias(v) for v in variables])
 
-    def events(self) -> DataFrame:
+    def events(self, files: bool = False, without: frozenset[str] = frozenset()) -> DataFrame:
+        """All samples' events with their sample's columns; with ``files`` also ``_file``, and of files other than ``without``."""
         c = self.config
-        found = [(s, catalog.read(self.spark, files, fmt), fmt == "parquet" or c.csv_apply_selection) for s, files, fmt in catalog.index(c.samples, c.root, self.spark)]
+        there = [(s, [f for f in own if plain_path(str(f)) not in without], fmt) for s, own, fmt in catalog.index(c.samples, c.root, self.spark)]
+        found = [(s, catalog.read(self.spark, own, fmt), fmt == "parquet" or c.csv_apply_selection) for s, own, fmt in there if own]
         if not found:
-            raise ValueError("no sample has files")
+            raise NoFiles("no sample has files")
         there = set().union(*(df.columns for _, df, _ in found))
         self.control = [v for v in c.control if v in there] or sorted(there)[:2]  # something to look at if nothing configured is there
         self.pairs = [p for p in c.pairs if p.truth in there and p.reco in there]
         extra = [c.asymmetry.column, *c.asymmetry.weights] if c.asymmetry and c.asymmetry.column in there else []
         names = list(dict.fromkeys([*self.control, *(x for p in self.pairs for x in (p.truth, p.reco)), *(x for x in extra if x in there)]))
-        events = reduce(DataFrame.unionByName, [self.normalised(df, s, names, cut) for s, df, cut in found])
+        events = reduce(DataFrame.unionByName, [self.normalised(df, s, names, cut, files) for s, df, cut in found])
         dim = F.broadcast(self.samples().select(F.col("sample").alias("_s"), "process", "kind", "scale", "w_mc"))
         return events.join(dim, F.col("sample") == F.col("_s")).drop("_s")
 
@@ -74,6 +83,26 @@ class HistogramEngine:
         hist = fill.densify(fill.histogram(rows, self.binnings(), bool(self.config.runtime.get("exact_sums"))), self.binnings())
         return agreement.with_kind(hist, agreement.kinds_of(self.samples()))
 
+    def store(self, path: str) -> HistogramStore:
+        """The store of this analysis at ``path``: one filled with other cuts, variables or weights is refused. Samples may be added."""
+        c = self.config
+        return HistogramStore(self.spark, path, repr((c.selection, c.variables, c.params, c.lumi, c.control, c.pairs, sorted(c.runtime.items(), key=str), c.csv_apply_selection)))
+
+    def update(self, store: HistogramStore) -> int:
+        """Fill those files of all samples that ``store`` doesn't have yet; how many. Others are not read."""
+        known = frozenset(plain_path(r["path"]) for r in store.files().select("path").collect())
+        try:
+            events = self.events(files=True, without=known)
+        except NoFiles:
+            return 0
+        binnings = self.binnings()
+        return store.add(events, lambda df: fill.partial(fill.fills(df, self.control, self.pairs, self.control), binnings))
+
+    def stored(self, store: HistogramStore) -> DataFrame:
+        """The dense histograms of all files of ``store``: what ``fill`` makes of them in one pass, with exact sums."""
+        self.events()  # which variables there are
+        return agreement.with_kind(fill.densify(store.histogram(), self.binnings()), agreement.kinds_of(self.samples()))
+
     def agreement(self, hist: DataFrame) -> DataFrame:
         return agreement.with_qcd(hist.where("family = 'mc_data'"), self.config.fake_factor, self.config.qcd)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -71,6 +72,18 @@ def engine_fill(spark, sf_dir):
     return hist.select("family", "var", "region", "process", "kind", "bin", "count", F.round("sumw", 6).alias("sumw"), F.round("sumw2", 6).alias("sumw2"))
 
 
+@query(f"WITH {_ENGINE_SQL} SELECT family, var, region, process, kind, bin, n AS count, round(sumw, 6) AS sumw, round(sumw2, 6) AS sumw2 FROM h")
+def engine_update(spark, sf_dir):
+    """The same from a store that got its files in three steps: some samples, all of them, and once more the same."""
+    whole = _engine(spark, sf_dir)
+    some = HistogramEngine(spark, replace(whole.config, samples=tuple(s for s in whole.config.samples if s.name not in ("EUROPE", BARE))))
+    store = whole.store(_scratch(spark, "store"))
+    for engine in (some, whole, whole):
+        engine.update(store)
+    hist = whole.stored(store)
+    return hist.select("family", "var", "region", "process", "kind", "bin", "count", F.round("sumw", 6).alias("sumw"), F.round("sumw2", 6).alias("sumw2"))
+
+
 @query(f"""WITH {_ENGINE_SQL}, q AS (SELECT var, bin, lo, hi, sum(CASE WHEN kind = 'data' THEN sumw ELSE -sumw END) AS ss FROM h WHERE family = 'mc_data' AND region = 'SS' GROUP BY ALL),
 o AS (SELECT var, bin, sum(CASE WHEN kind = 'data' THEN sumw ELSE 0 END) AS data, sum(CASE WHEN kind = 'mc' THEN sumw ELSE 0 END) AS mc FROM h WHERE family = 'mc_data' AND region = 'OS' GROUP BY ALL)
 SELECT o.var, o.bin, round(data, 6) + 0.0 AS data, round(mc + {v.number(0.25)} * ss, 6) + 0.0 AS mc FROM o JOIN q USING (var, bin)""")

@@ -14,7 +14,8 @@ from binforge.functions.binning import Binning
 from binforge.operators import agreement, display, fill, lookups, ordering, selection
 from binforge.plans import virtual as v
 from binforge.sources import catalog, histograms
-from binforge.streaming.fill import fill_stream
+from binforge.sources.store import HistogramStore
+from binforge.streaming.fill import fill_stream, store_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -552,6 +553,20 @@ def streaming_fill(spark, sf_dir):
     return spark.table(name)
 
 
+@query(f"""WITH {v.PHASES_SQL}, {v.bins_sql({'r': v.PHASE})}, v AS (SELECT 'r' AS var, event_type, abs(value) AS w, phi_1 AS x FROM ph),
+e AS (SELECT event_type AS process, bin, count(*) AS count, sum(CAST(w * {_UNIT} AS HUGEINT)) AS s FROM v JOIN bins b ON {v.IN_BIN} GROUP BY ALL) SELECT process, bin, count, CAST(s AS DOUBLE) / {_UNIT} AS sumw FROM e""")
+def stored_stream(spark, sf_dir):
+    """A stream into a store, started anew without its checkpoint when more files have come: all files come twice and count once."""
+    source, store = _scratch(spark, "stream"), HistogramStore(spark, _scratch(spark, "store"))
+    plan = lambda df: fill.partial(fill.fills(df, ["phi_1"]), {("control", "phi_1"): v.PHASE})
+    for i, part in enumerate(("event_id % 3 = 0", "event_id % 3 <> 0")):
+        e = v.phases(spark, sf_dir).where(part).select(F.col("event_type").alias("process"), F.abs("value").alias("scale"), "phi_1")
+        e.repartition(3).write.mode("append").parquet(source)
+        store_stream(spark, source, e.schema, store, plan, checkpoint=_scratch(spark, f"offsets{i}"), files_per_trigger=2).awaitTermination()
+    store.compact()
+    return store.histogram().where("bin is not null").select("process", "bin", "count", "sumw")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data against simulation with QCD from the same-sign region."""
     return data_mc_ratio(spark, sf_dir)
