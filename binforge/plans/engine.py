@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from binforge.operators import agreement, fill, lookups, ordering
 from binforge.operators.selection import region, select, trigger
 from binforge.sources import catalog
 from binforge.sources.config import Config, Sample
-from binforge.sources.store import HistogramStore, file_of, plain_path
+from binforge.sources.progress import Progress
+from binforge.sources.store import HistogramStore, plain_path
 
 
 class NoFiles(ValueError):
@@ -38,24 +40,23 @@ class HistogramEngine:
         rows = [(p.name, list(p.samples), p.color, p.label, i) for i, p in enumerate(self.config.processes)]
         return local(self.spark, rows, "process string, samples array<string>, color string, label string, draw_idx int")
 
-    def normalised(self, df: DataFrame, sample: Sample, variables: list[str], cut: bool = True, files: bool = False) -> DataFrame:
+    def normalised(self, df: DataFrame, sample: Sample, variables: list[str], cut: bool = True, files: bool = False, watch: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
         """One sample's events after its cuts, with every default filled in while its own columns are known; with ``files`` also ``_file``.
 
         After the union a missing column is null, and a null means a value that is missing from a row.
         """
         names = df.columns
-        df = df.withColumn("_file", file_of()) if files else df
-        df = select(df, self.config.selection) if cut else df
+        df = watch(select(df, self.config.selection) if cut else df)
         columns = [F.lit(sample.name).alias("sample"), region(names).alias("region"), trigger(names).alias("trigger")]
         columns.append((quoted("weight").cast("double") if "weight" in names else F.lit(1.0)).alias("weight"))
         columns += ["_file"] if files else []
         return df.select(*columns, *[(quoted(v).cast("double") if v in names else F.lit(None).cast("double")).alias(v) for v in variables])
 
-    def events(self, files: bool = False, without: frozenset[str] = frozenset()) -> DataFrame:
+    def events(self, files: bool = False, without: frozenset[str] = frozenset(), progress: Progress | None = None) -> DataFrame:
         """All samples' events with their sample's columns; with ``files`` also ``_file``, and of files other than ``without``."""
         c = self.config
-        there = [(s, [f for f in own if plain_path(str(f)) not in without], fmt) for s, own, fmt in catalog.index(c.samples, c.root, self.spark)]
-        found = [(s, catalog.read(self.spark, own, fmt), fmt == "parquet" or c.csv_apply_selection) for s, own, fmt in there if own]
+        listed = [(s, [f for f in own if plain_path(str(f)) not in without], fmt) for s, own, fmt in catalog.index(c.samples, c.root, self.spark)]
+        found = [(s, catalog.read(self.spark, own, fmt, files), fmt == "parquet" or c.csv_apply_selection) for s, own, fmt in listed if own]
         if not found:
             raise NoFiles("no sample has files")
         there = set().union(*(df.columns for _, df, _ in found))
@@ -63,7 +64,9 @@ class HistogramEngine:
         self.pairs = [p for p in c.pairs if p.truth in there and p.reco in there]
         extra = [c.asymmetry.column, *c.asymmetry.weights] if c.asymmetry and c.asymmetry.column in there else []
         names = list(dict.fromkeys([*self.control, *(x for p in self.pairs for x in (p.truth, p.reco)), *(x for x in extra if x in there)]))
-        events = reduce(DataFrame.unionByName, [self.normalised(df, s, names, cut, files) for s, df, cut in found])
+        number = {s.name: len(own) for s, own, _ in listed}
+        watch = lambda s: partial(progress.watch, sample=s.name, files=number[s.name]) if progress else lambda df: df
+        events = reduce(DataFrame.unionByName, [self.normalised(df, s, names, cut, files, watch(s)) for s, df, cut in found])
         dim = F.broadcast(self.samples().select(F.col("sample").alias("_s"), "process", "kind", "scale", "w_mc"))
         return events.join(dim, F.col("sample") == F.col("_s")).drop("_s")
 
@@ -76,9 +79,9 @@ class HistogramEngine:
             out["resolution", p.name] = resolve(p.truth, c.variables, resolution=True, xlim=run.get("xlim_resolution"), bins=int(run.get("bins", 20)), bin_width=run.get("bin_width_resolution"))
         return out
 
-    def fill(self) -> DataFrame:
+    def fill(self, progress: Progress | None = None) -> DataFrame:
         """The dense histograms of all families, with kind; ``exact_sums`` of the runtime settings makes sums independent of order."""
-        events = self.events()
+        events = self.events(progress=progress)
         rows = fill.fills(events, self.control, self.pairs, self.control)
         hist = fill.densify(fill.histogram(rows, self.binnings(), bool(self.config.runtime.get("exact_sums"))), self.binnings())
         return agreement.with_kind(hist, agreement.kinds_of(self.samples()))
@@ -108,7 +111,7 @@ class HistogramEngine:
 
     def stack(self, hist: DataFrame) -> DataFrame:
         """Stack bottoms and tops with colours, labels and draw order."""
-        own = hist.select("process").distinct().withColumn("position", F.lit(0))
+        own = self.samples().select("process").distinct().withColumn("position", F.lit(0))  # not from the histogram, which would be filled twice
         order = ordering.ordered(own, [p.name for p in self.config.processes]).drop("position")
         return ordering.styled(ordering.stacked(hist.join(F.broadcast(order), "process")), self.processes())
 

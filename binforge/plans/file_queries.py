@@ -17,6 +17,7 @@ from binforge.plans import virtual as v
 from binforge.plans.engine import HistogramEngine
 from binforge.plans.queries import _regions, _scratch, query
 from binforge.sources import catalog, config
+from binforge.sources.progress import Progress
 from binforge.sources.config import Asymmetry, Config, Process, Sample
 
 BARE = "AFRICA"  # the sample whose files have no region, triggers or weight
@@ -84,6 +85,14 @@ def engine_update(spark, sf_dir):
     return hist.select("family", "var", "region", "process", "kind", "bin", "count", F.round("sumw", 6).alias("sumw"), F.round("sumw2", 6).alias("sumw2"))
 
 
+@query(f"WITH {v.EVENTS_SQL} SELECT process AS sample, 'done' AS event, count(*) AS rows, (count(*) + 131071) // 131072 AS batches FROM ev WHERE {v.CUTS_SQL} GROUP BY process UNION ALL SELECT DISTINCT process, 'start', 0, 0 FROM ev")
+def sample_progress(spark, sf_dir):
+    """What one fill of all samples has read of each, from the metrics of its plan."""
+    engine, progress = _engine(spark, sf_dir), Progress(spark)
+    progress.run(engine.fill(progress).write.format("noop").mode("overwrite").save)
+    return progress.events().where("event <> 'progress'").select("sample", "event", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows", "batches")])
+
+
 @query(f"""WITH {_ENGINE_SQL}, q AS (SELECT var, bin, lo, hi, sum(CASE WHEN kind = 'data' THEN sumw ELSE -sumw END) AS ss FROM h WHERE family = 'mc_data' AND region = 'SS' GROUP BY ALL),
 o AS (SELECT var, bin, sum(CASE WHEN kind = 'data' THEN sumw ELSE 0 END) AS data, sum(CASE WHEN kind = 'mc' THEN sumw ELSE 0 END) AS mc FROM h WHERE family = 'mc_data' AND region = 'OS' GROUP BY ALL)
 SELECT o.var, o.bin, round(data, 6) + 0.0 AS data, round(mc + {v.number(0.25)} * ss, 6) + 0.0 AS mc FROM o JOIN q USING (var, bin)""")

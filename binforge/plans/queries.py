@@ -13,7 +13,8 @@ from binforge.functions import binning, scalar
 from binforge.functions.binning import Binning
 from binforge.operators import agreement, display, fill, lookups, ordering, selection
 from binforge.plans import virtual as v
-from binforge.sources import catalog, histograms
+from binforge.sources import catalog, csvs, heads, histograms
+from binforge.sources.config import Sample
 from binforge.sources.store import HistogramStore
 from binforge.streaming.fill import fill_stream, store_stream
 
@@ -422,6 +423,29 @@ def event_display(spark, sf_dir):
     return out.select("vec_id", "leg", "kind", (F.round("end.x", 5) + 0.0).alias("x"), (F.round("vertex.z", 5) + 0.0).alias("vz"), F.array_join(F.transform("pions", lambda p: p["color"]), ",").alias("colors"))
 
 
+# Vertices of cones: a muon's or a tau's from the origin, and of neutral pions where the tau decays.
+_CONES_SQL = f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+p AS (
+  SELECT vec_id, '1' AS leg, CASE WHEN e[7] > 0 THEN 'tau' ELSE 'muon' END AS part, e[1] * 100 AS pt, e[2] * 20 AS eta, e[3] * 10 AS phi, 0 AS later FROM e
+  UNION ALL SELECT vec_id, '2', 'muon', e[4] * 100, e[5] * 20, e[6] * 10, 0 FROM e
+  UNION ALL SELECT vec_id, '1', 'pi0', e[7], e[8] * 20, e[9] * 10, 1 FROM e WHERE e[7] > 0
+), w AS (SELECT *, pt * cos(phi) AS a, pt * sin(phi) AS b, pt * (exp(greatest(-6, least(6, eta))) - exp(-greatest(-6, least(6, eta)))) / 2 AS c FROM p),
+d AS (SELECT vec_id, leg, part, later, a / sqrt(a * a + b * b + c * c) AS dx, b / sqrt(a * a + b * b + c * c) AS dy, c / sqrt(a * a + b * b + c * c) AS dz FROM w WHERE a * a + b * b + c * c > 0),
+t AS (SELECT d.*, coalesce(o.dx, 0) * 0.4 * d.later AS ox, coalesce(o.dy, 0) * 0.4 * d.later AS oy, coalesce(o.dz, 0) * 0.4 * d.later AS oz, CASE d.part WHEN 'muon' THEN 1.8 WHEN 'tau' THEN 0.4 ELSE 1.2 END AS length,
+  CASE d.part WHEN 'muon' THEN 0.05 WHEN 'tau' THEN 0.08 ELSE 0.15 END AS radius FROM d LEFT JOIN (SELECT * FROM d WHERE part = 'tau') o USING (vec_id, leg)),
+g AS (SELECT *, radius * i / 5 * cos(j * {v.number(2 * math.pi / 5)}) AS gx, radius * i / 5 * sin(j * {v.number(2 * math.pi / 5)}) AS gy, CAST(length AS DOUBLE) * i / 5 AS gz FROM t, range(6) a(i), range(6) b(j)),
+r AS (SELECT *, gx * dx + gy * dy AS s FROM g)
+SELECT vec_id, leg, part, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(ox + gx + dx * gz - dx * s / (1 + dz), 5) + 0.0 AS x, round(oy + gy + dy * gz - dy * s / (1 + dz), 5) + 0.0 AS y, round(oz + gz - s - (dx * dx + dy * dy) * gz / (1 + dz), 5) + 0.0 AS z FROM r"""
+
+
+@query(_CONES_SQL)
+def event_meshes(spark, sf_dir):
+    e = v.table(spark, sf_dir, "embeddings")
+    scales = {"pt_1": (0, 100), "eta_1": (1, 20), "phi_1": (2, 10), "pt_2": (3, 100), "eta_2": (4, 20), "phi_2": (5, 10), "pi0_pt_1": (6, 1), "pi0_eta_1": (7, 20), "pi0_phi_1": (8, 10)}
+    flat = e.select("vec_id", *[(F.get("embedding", i).cast("double") * k).alias(name) for name, (i, k) in scales.items()])
+    return display.meshes(flat, ["vec_id"], n=6).select("vec_id", "leg", "part", "i", "j", *[(F.round(k, 5) + 0.0).alias(k) for k in "xyz"])
+
+
 # ---- heads, unions, sets
 
 
@@ -444,6 +468,17 @@ def head_of_files(spark, sf_dir):
     return catalog.head_of_files(spark.read.parquet(path), ["l_orderkey", "l_linenumber"], 2).select("l_linestatus", "l_orderkey", "l_linenumber")
 
 
+@query("WITH r AS (SELECT l_returnflag AS sample, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) SELECT sample, l_orderkey, l_linenumber FROM r WHERE k <= 4")
+def head_in_file_order(spark, sf_dir):
+    """The first rows of each sample in the order of its files, read without the others."""
+    path = _scratch(spark, "sorted")
+    line = v.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    line.repartition("l_returnflag").sortWithinPartitions("l_returnflag", "l_orderkey", "l_linenumber").write.partitionBy("l_returnflag").parquet(path)
+    folders = sorted({r["path"].split("/")[-2] for r in catalog.listing(spark, path).select("path").collect()})
+    samples = tuple(Sample(f.rpartition("=")[2], dirs=(f"{path}/{f}",)) for f in folders)
+    return heads.head_of_samples(spark, samples, 4).select("sample", "l_orderkey", "l_linenumber")
+
+
 @query("SELECT 'customer' AS sample, count(*) AS n, round(sum(c_acctbal), 2) AS total, 0 AS named FROM customer UNION ALL SELECT 'supplier', count(*), round(sum(s_acctbal), 2), 0 FROM supplier UNION ALL SELECT 'nation', count(*), NULL, count(*) FROM nation")
 def union_missing_columns(spark, sf_dir):
     parts = [v.table(spark, sf_dir, "customer").select(F.lit("customer").alias("sample"), F.col("c_acctbal").alias("x")), v.table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("sample"), F.col("s_acctbal").alias("x")), v.table(spark, sf_dir, "nation").select(F.lit("nation").alias("sample"), F.col("n_name").alias("name"))]
@@ -527,6 +562,34 @@ def compact_parquet(spark, sf_dir):
     return catalog.compact(spark, parts, out).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders")
+def compact_in_order(spark, sf_dir):
+    """Files of ascending keys, compacted: the place of each row in the new files."""
+    parts, out = _scratch(spark, "parts"), _scratch(spark, "compacted")
+    v.table(spark, sf_dir, "orders").repartitionByRange(9, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(parts)
+    rows = catalog.compact(spark, parts, out, files=3).select("o_orderkey", "o_orderpriority", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i"))
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(F.col("file").alias("_file"), (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), F.col("file") == F.col("_file")).select("o_orderkey", "o_orderpriority", (F.col("before") + F.col("i")).alias("place"))
+
+
+@query("""SELECT 'rows' AS what, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_nationkey <> 3
+UNION ALL SELECT 'left out', count(*), round(sum(c_acctbal), 2) FROM customer WHERE c_nationkey = 3""")
+def csv_quarantine(spark, sf_dir):
+    """CSV files of two headers, some of which have rows that don't fit: those are left out as whole files, and listed."""
+    path = _scratch(spark, "csv")
+    c = v.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
+    c.where("nation <> 3").write.option("header", True).csv(f"{path}/a")
+    c.select("c_acctbal", "c_custkey", "nation").where("nation = 1 and false").write.option("header", True).csv(f"{path}/b")
+    lines = c.where("nation = 3").select(F.concat_ws(",", "c_custkey", "c_acctbal", "nation", F.lit("more")).alias("value"))
+    lines.repartition(2).select(F.concat(F.lit("c_custkey,c_acctbal,nation\n"), "value").alias("value")).write.text(f"{path}/c")
+    files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("path not like '%/\\_SUCCESS'").select("path").collect()]
+    good, bad = csvs.read_csv(spark, files)
+    out = spark.read.text(f"{path}/c").where("value like '%,more'").select(F.split("value", ",")[1].cast("double").alias("x"), F.col("_metadata.file_path").alias("path")).join(bad, "path", "left_semi")
+    total = lambda what, x: (F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"), F.round(F.sum(x), 2).alias("total"))
+    return good.agg(*total("rows", "c_acctbal")).union(out.agg(*total("left out", "x")))
+
+
 @query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > 25 GROUP BY 1")
 def csv_scan_filter(spark, sf_dir):
     path = _scratch(spark, "csv")

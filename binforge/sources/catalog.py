@@ -8,18 +8,18 @@ from pathlib import Path
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from binforge.functions.binning import local
 from binforge.functions.scalar import group_of
 from binforge.operators.ordering import coloured
+from binforge.sources.compaction import compact as compact
 from binforge.sources.config import Sample
+from binforge.sources.csvs import read_csv
+from binforge.sources.store import file_of
 
 log = logging.getLogger(__name__)
 
 MERGED = "merged.parquet"
-#: Input to one file of a compacted folder.
-FILE_BYTES = 256 << 20
 FORMATS = {".parquet": "parquet", ".csv": "csv"}
 
 
@@ -84,39 +84,14 @@ def index(samples: tuple[Sample, ...], root: str | Path = ".", spark: SparkSessi
     return out
 
 
-def _read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All files by their own headers, joined by name; types hold for all files."""
-    options = {"header": True, "mode": "PERMISSIVE"}
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        groups.setdefault(tuple(spark.read.options(**options).csv(p).columns), []).append(p)
-    if len(groups) > 1:
-        groups.pop((), None)
-    found = [spark.read.options(**options, inferSchema=True).csv(own) for own in groups.values()]
-    kinds: dict[str, dict[str, list[int]]] = {}
-    for i, df in enumerate(found):
-        for c, kind in df.dtypes:
-            kinds.setdefault(c, {}).setdefault(kind, []).append(i)
-    for c, own in kinds.items():
-        if len(own) > 1 and not all(isinstance(found[i].schema[c].dataType, NumericType) for x in own.values() for i in x):
-            # A column without values is taken for a string, but holds any type.
-            name = "`" + c.replace("`", "``") + "`"
-            filled = {k: x for k, x in own.items() if k != "string" or any(not found[i].where(F.col(name).isNotNull()).isEmpty() for i in x)}
-            numeric = all(isinstance(found[i].schema[c].dataType, NumericType) for x in filled.values() for i in x)
-            kind = next(iter(filled)) if len(filled) == 1 else "double" if numeric else "string"
-            found = [df.withColumn(c, F.col(name).cast(kind)) if c in df.columns else df for df in found]
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
-
-
-def read(spark: SparkSession, files: list[Path] | list[str], fmt: str) -> DataFrame:
+def read(spark: SparkSession, files: list[Path] | list[str], fmt: str, with_file: bool = False) -> DataFrame:
+    """Rows of all files by name; with ``with_file`` also ``_file``. CSV files that cannot be read are left out with a warning."""
     paths = [str(p) for p in files]
     if fmt == "parquet":
-        return spark.read.parquet(*paths)
+        df = spark.read.parquet(*paths)
+        return df.select("*", file_of()) if with_file else df
     if fmt == "csv":
-        return _read_csv(spark, paths)
+        return read_csv(spark, paths, files=with_file)[0]
     raise ValueError(f"unknown format {fmt!r}")
 
 
@@ -167,14 +142,6 @@ def format_path(path: str | Path, root: str | Path, mode: str = "auto") -> str:
     return str(full.relative_to(root))
 
 
-def compact(spark: SparkSession, folder: str, out: str, files: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Rewrite all Parquet files below a folder with zstd, as one for each ``file_bytes`` of input; fails if there are none."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
-    n = files or -(-(listing(spark, folder, "*.parquet").agg(F.sum("length")).first()[0] or 1) // file_bytes)
-    (df.coalesce(1) if n == 1 else df.repartition(n)).write.mode("errorifexists").option("compression", "zstd").parquet(out)
-    return spark.read.parquet(out)
-
-
 def select_file(spark: SparkSession, path: str | Path, cuts: dict[str, float] | None) -> DataFrame:
     """One Parquet or CSV file after the cuts on the columns it has."""
     from binforge.operators.selection import select

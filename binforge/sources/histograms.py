@@ -19,13 +19,24 @@ def write(histograms: DataFrame, path: str, codec: str = "zstd") -> None:
     histograms.write.mode("overwrite").option("compression", codec).parquet(path)
 
 
+SCHEMA = "plot_type string, variable string, sample string, counts array<double>, sumw2 array<double>, bin_edges array<double>"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All histograms of a file, folder or glob, each sample of a plot once: the last by file name and row."""
+    """All histograms of a file, folder or glob, each sample of a plot once: the last by file name and row. Files that cannot be read are left out (see ``left_out``)."""
     own = F.struct("counts", "sumw2", "bin_edges")
-    rows = spark.read.parquet(path).groupBy("plot_type", "variable", "sample").agg(F.max_by(own, F.struct("_metadata.file_path", "_metadata.row_index")).alias("h"))
+    rows = spark.read.schema(SCHEMA).option("ignoreCorruptFiles", True).parquet(path).groupBy("plot_type", "variable", "sample").agg(F.max_by(own, F.struct("_metadata.file_path", "_metadata.row_index")).alias("h"))
     return rows.select("plot_type", "variable", "sample", "h.*")
 
 
+def left_out(spark: SparkSession, path: str) -> DataFrame:
+    """path of each Parquet file of a store that gives no histogram: broken, or empty."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    given = spark.read.schema(SCHEMA).option("ignoreCorruptFiles", True).parquet(path).select(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"[+]", "%2B")).alias("_path")).distinct()
+    return found.join(given, plain("path") == plain("_path"), "left_anti")
+
+
 def long(histograms: DataFrame) -> DataFrame:
     """plot_type, variable, sample, bin, lo, hi and count; NaN and null count as 0, empty counts as zeros."""
     n = F.size("bin_edges") - 1
