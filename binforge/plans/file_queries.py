@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import replace
+from functools import reduce
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -120,13 +121,17 @@ def engine_asymmetry(spark, sf_dir):
     return engine.asymmetry_histogram().select("bin", F.round("even", 6).alias("even"), "odd")
 
 
-@query("SELECT * FROM (VALUES ('control', 'pt_1,mt_tot'), ('pairs', 'pt_1_vs_pt_2'), ('events', 'kind,mt_tot,process,pt_1,pt_2,region,sample,scale,trigger,w_mc,weight'), ('cut on', 'eta_1,eta_2,iso_1,pt_1,pt_2')) t(what, columns)")
+@query(f"""WITH {v.EVENTS_SQL}, own AS (SELECT *, process = '{BARE}' AS bare FROM ev WHERE {v.CUTS_SQL})
+SELECT unnest(['control', 'control', 'pairs', 'cut on', 'cut on', 'cut on', 'cut on', 'cut on', 'kept', 'kept', 'kept', 'kept']) AS what, unnest(['pt_1', 'mt_tot', 'pt_1_vs_pt_2', 'pt_1', 'pt_2', 'eta_1', 'eta_2', 'iso_1', 'region', 'trigger', 'weight', 'w_mc']) AS "column",
+  unnest([count(pt_1), count(mt_tot), count(*) FILTER (WHERE pt_2 <> 0), 0, 0, 0, 0, 0, count(*), count(*) FILTER (WHERE bare OR trg_singlemuon = 1 OR trg_mt_cross = 1), count(*) FILTER (WHERE bare OR weight IS NOT NULL), count(*)]) AS n FROM own""")
 def needed_columns(spark, sf_dir):
-    """Configured variables that exist in any sample, pairs with both members, and all columns that a plan reads or keeps."""
+    """Configured variables that exist in any sample, pairs with both members, columns cut on, and how many events have a value of each."""
     engine = _engine(spark, sf_dir)
     events = engine.events()
-    rows = [("control", engine.control), ("pairs", [p.name for p in engine.pairs]), ("events", sorted(events.columns)), ("cut on", sorted(selection.columns_used(v.CUTS)))]
-    return local(spark, [(k, ",".join(x)) for k, x in rows], "what string, columns string")
+    counts = {("control", c): F.count(c) for c in engine.control} | {("pairs", p.name): F.count(fill.resolution(p)) for p in engine.pairs}
+    counts |= {("cut on", c): F.lit(0) for c in selection.columns_used(v.CUTS)} | {("kept", "trigger"): F.count_if("trigger"), **{("kept", c): F.count(c) for c in ("region", "weight", "w_mc")}}
+    row = F.array(*[F.struct(F.lit(what).alias("what"), F.lit(c).alias("column"), n.cast("long").alias("n")) for (what, c), n in counts.items()])
+    return events.agg(row.alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 @query("SELECT r_name AS sample, 'parquet' AS format, count(*) AS events FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -141,12 +146,16 @@ def sample_index(spark, sf_dir):
     return out.groupBy("sample", "format").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query(f"""WITH c AS (SELECT unnest(['eta_1', 'eta_2', 'iso_1', 'mt_tot', 'pt_1', 'pt_2']) AS "column", 'double' AS type)
-SELECT 'mc' AS kind, '{BARE}' AS sample, "column", type FROM c UNION ALL SELECT 'data', 'ASIA', "column", type FROM c UNION ALL SELECT 'data', 'ASIA', 'weight', 'double' UNION ALL SELECT 'data', 'ASIA', unnest(['os', 'trg_singlemuon', 'trg_mt_cross']), 'int'""")
+@query(f"""WITH {v.EVENTS_SQL}, n AS (SELECT process, count(*) AS n FROM ev WHERE process IN ('{BARE}', 'ASIA') GROUP BY 1), c AS (SELECT unnest(['eta_1', 'eta_2', 'iso_1', 'mt_tot', 'pt_1', 'pt_2']) AS "column", 'double' AS type),
+d AS (SELECT * FROM c UNION ALL SELECT 'weight', 'double' UNION ALL SELECT unnest(['os', 'trg_singlemuon', 'trg_mt_cross']), 'int')
+SELECT 'mc' AS kind, process AS sample, "column", type, n FROM n, c WHERE process = '{BARE}' UNION ALL SELECT 'data', process, "column", type, n FROM n, d WHERE process = 'ASIA'""")
 def schema_inspect(spark, sf_dir):
-    """Columns and types of the first simulated and the first data sample."""
-    engine = _engine(spark, sf_dir)
-    return catalog.inspect(spark, engine.config.samples, engine.config.root)
+    """Columns and types of the first simulated and the first data sample, and how many values its files have."""
+    c = _engine(spark, sf_dir).config
+    found = catalog.inspect(spark, c.samples, c.root)
+    own = [catalog.read(spark, files, fmt).select(F.lit(s.name).alias("_sample"), F.explode(F.array(*[F.struct(F.lit(x).alias("_column"), F.col(x).isNotNull().alias("there")) for x in catalog.schema_names(spark, files, fmt)])).alias("v")) for s, files, fmt in catalog.index(c.samples, c.root, spark)]
+    counts = reduce(DataFrame.union, own).select("_sample", "v.*").groupBy("_sample", "_column").agg(F.count_if("there").alias("n"))
+    return found.join(counts, (F.col("sample") == F.col("_sample")) & (F.col("column") == F.col("_column"))).select("kind", "sample", "column", "type", "n")
 
 
 @query(f"SELECT CASE WHEN r_name = 'ASIA' THEN 'data' ELSE 'first' END AS process, r_name AS sample, count(*) AS events, CASE WHEN r_name = '{BARE}' THEN 0 ELSE count(*) END AS weighted FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE', 'AFRICA') GROUP BY r_name")
@@ -166,15 +175,26 @@ def select_single_file(spark, sf_dir):
     return found.agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("pt_1"), 2).alias("total"))
 
 
-# ---- configuration, on the driver
+# ---- configuration, on the driver, from dimension tables of a fixed size
+
+
+_RESOLVED = "SELECT p_brand AS brand, min(p_size) AS lo, max(p_size) AS hi, min(p_partkey) % 4 AS kind FROM part GROUP BY p_brand HAVING max(p_size) > min(p_size)"
 
 
-@query("SELECT * FROM (VALUES ('pt_1', 20.0, 120.0, 40), ('free', -50.0, 50.0, 10), ('res_pt_1', -1.0, 1.0, 20), ('res_free', -2.0, 3.0, 10), ('plain', -100.0, 100.0, 20), ('wide', 0.0, 10.0, 3)) t(var, lo, hi, n)")
+@query(f"""WITH b AS ({_RESOLVED})
+SELECT brand AS var, round(CASE kind WHEN 2 THEN -CAST(hi AS DOUBLE) WHEN 3 THEN -100 ELSE lo END, 6) AS lo, round(CASE kind WHEN 3 THEN 100 ELSE CAST(hi AS DOUBLE) END, 6) AS hi, CAST(CASE kind WHEN 0 THEN trunc((hi - lo) / 2.5) WHEN 1 THEN 20 WHEN 2 THEN 10 ELSE 20 END AS INTEGER) AS n FROM b
+UNION ALL SELECT 'res ' || brand, CASE kind WHEN 1 THEN lo WHEN 2 THEN -CAST(hi AS DOUBLE) ELSE -1 END, CASE kind WHEN 1 THEN hi WHEN 2 THEN CAST(hi AS DOUBLE) ELSE 1 END, CASE kind WHEN 1 THEN CAST(trunc((hi - lo) / 0.5) AS INTEGER) WHEN 2 THEN CAST(trunc(2 * hi / 0.5) AS INTEGER) ELSE 20 END FROM b""")
 def binning_resolution(spark, sf_dir):
-    """The binning of a variable: configured, of a resolution, from limits, and by default."""
-    own = {"pt_1": {"x_min": 20, "x_max": 120, "bin_width": 2.5}, "wide": {"x_min": 0, "x_max": 10, "bin_width": 3}, "res_pt_1": {"x_min": -1, "x_max": 1, "bin_width": 0.1}}
-    found = {"pt_1": binning.resolve("pt_1", own), "free": binning.resolve("free", own, xlim=50, bins=10), "res_pt_1": binning.resolve("pt_1", own, resolution=True), "res_free": binning.resolve("free", own, resolution=True, xlim=[-2, 3], bins=10), "plain": binning.resolve("plain", own), "wide": binning.resolve("wide", own)}
-    return local(spark, [(k, b.lo, b.hi, b.n) for k, b in found.items()], "var string, lo double, hi double, n int")
+    """The binning of a variable: configured with a width or without, from limits, and by default; and of its resolution."""
+    found = v.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"), (F.min("p_partkey") % 4).alias("kind")).where("hi > lo").collect()
+    own = {}
+    for r in found:
+        edges = {"x_min": r["lo"], "x_max": r["hi"]}
+        own |= {0: {r["p_brand"]: edges | {"bin_width": 2.5}}, 1: {r["p_brand"]: edges, f"res_{r['p_brand']}": edges | {"bin_width": 0.5}}}.get(r["kind"], {})
+    limits = lambda r: {"xlim": r["hi"]} if r["kind"] == 2 else {}
+    rows = [(r["p_brand"], binning.resolve(r["p_brand"], own, **limits(r), bins=10 if r["kind"] == 2 else 20)) for r in found]
+    rows += [(f"res {r['p_brand']}", binning.resolve(r["p_brand"], own, resolution=True, **limits(r), bin_width=0.5 if r["kind"] == 2 else None)) for r in found]
+    return local(spark, [(k, float(b.lo), float(b.hi), b.n) for k, b in rows], "var string, lo double, hi double, n int")
 
 
 def _folder(spark: SparkSession, name: str) -> Path | None:
@@ -183,40 +203,42 @@ def _folder(spark: SparkSession, name: str) -> Path | None:
     return Path(unquote(at.path)) if at.scheme in ("", "file") else None
 
 
-@query("SELECT * FROM (VALUES ('cuts', 'pt_1_min=25.0'), ('samples', 'A:mc:2.0,B:data:1.0'), ('processes', 'P:A'), ('params', 'A:3.0'), ('lumi', '59.7'), ('control', 'pt_1'), ('pairs', 'phi_gen>phi_reco:angle'), ('qcd', 'False:0.5'), ('csv', 'False'), ('asymmetry', 'aco:8:wt_cp_sm,wt_cp_ps'), ('broken', 'none')) t(what, value)")
+@query("""SELECT n_name AS sample, CASE WHEN n_nationkey % 5 = 0 THEN 'data' ELSE 'mc' END AS kind, CASE WHEN n_nationkey % 3 = 0 THEN 0.5 * n_nationkey ELSE 1.0 END AS scale, r_name AS process, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 0.25 END AS xs,
+  (SELECT 10.0 * count(*) FROM region) AS lumi, (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_nationkey < 3) AS control, 'none' AS broken FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def config_folder(spark, sf_dir):
-    """A configuration written and loaded; files that the folder lacks come from the fallback, broken ones give defaults."""
+    """A configuration made of nations and regions, written and loaded; files that the folder lacks come from the fallback, broken ones give defaults."""
     own, other = _folder(spark, "config"), _folder(spark, "fallback")
     if own is None:
         raise ValueError("configurations are small local files; spark.checkpoint.dir is in another store")
-    config.save_json({"samples": {"A": {"scale": 2}, "B": {"kind": "data"}}}, own / "files.json")
-    config.save_json({"P": {"samples": ["A"]}}, other / "process.json")
-    config.save_json({"phi_reco": {"type": "angle"}}, other / "variables.json")
-    (own / "params.yaml").write_text("lumi: 59.7\nA: {xs: 3.0}\n")
-    (own / "selection.yaml").write_text("pt_1_min: 25\nno_such_cut: 1\n")
-    (own / "plotter.yaml").write_text("add_qcd_from_ss: false\nqcd_ff: 0.5\nplotting:\n  control: [pt_1]\n  resolution:\n  - [phi_gen, phi_reco]\n  - [alone]\nplotter_runtime: {csv_apply_selection: false}\nextra_plots: {asymmetry: {enable: true, column: aco, bins: 8, range: [0, 6], cp_weights: true}}\n")
+    nations = v.table(spark, sf_dir, "nation").join(v.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_name").collect()
+    regions = sorted({r["r_name"] for r in nations})
+    config.save_json({"samples": {r["n_name"]: ({"kind": "data"} if r["n_nationkey"] % 5 == 0 else {}) | ({"scale": 0.5 * r["n_nationkey"]} if r["n_nationkey"] % 3 == 0 else {}) for r in nations}}, own / "files.json")
+    config.save_json({x: {"samples": [r["n_name"] for r in nations if r["r_name"] == x]} for x in regions}, other / "process.json")
+    (own / "params.yaml").write_text(f"lumi: {10.0 * v.table(spark, sf_dir, 'region').count()}\n" + "".join(f"{r['n_name']}: {{xs: {r['n_nationkey'] + 0.25}}}\n" for r in nations if r["n_nationkey"] % 2 == 0))
+    (own / "plotter.yaml").write_text(f"plotting:\n  control: [{', '.join(r['n_name'] for r in nations if r['n_nationkey'] < 3)}]\n")
     (own / "broken.json").write_text("{")
     c = config.load(own, other)
-    rows = {
-        "cuts": ",".join(f"{k}={x}" for k, x in c.selection.items()), "samples": ",".join(f"{s.name}:{s.kind}:{s.scale}" for s in c.samples), "processes": ",".join(f"{p.name}:{','.join(p.samples)}" for p in c.processes),
-        "params": ",".join(f"{k}:{x['xs']}" for k, x in c.params.items()), "lumi": str(c.lumi), "control": ",".join(c.control), "pairs": ",".join(f"{p.truth}>{p.reco}{':angle' * p.angle}" for p in c.pairs),
-        "qcd": f"{c.qcd}:{c.fake_factor}", "csv": str(c.csv_apply_selection), "asymmetry": f"{c.asymmetry.column}:{c.asymmetry.bins}:{','.join(c.asymmetry.weights)}", "broken": str(config.load_json(own / "broken.json", "none")),
-    }
-    return local(spark, list(rows.items()), "what string, value string")
+    process = {s: p.name for p in c.processes for s in p.samples}
+    broken = str(config.load_json(own / "broken.json", "none"))
+    rows = [(s.name, s.kind, float(s.scale), process[s.name], c.params.get(s.name, {}).get("xs"), float(c.lumi), ",".join(sorted(c.control)), broken) for s in c.samples]
+    return local(spark, rows, "sample string, kind string, scale double, process string, xs double, lumi double, control string, broken string")
 
 
-@query("SELECT * FROM (VALUES ('/base/a/x.parquet', 'auto', 'a/x.parquet'), ('/else/x.parquet', 'auto', '/else/x.parquet'), ('/base/a/x.parquet', 'absolute', '/base/a/x.parquet'), ('/base/a/x.parquet', 'relative', 'a/x.parquet')) t(path, mode, shown)")
+@query("""SELECT n_name AS name, CASE n_nationkey % 4 WHEN 0 THEN n_name || '/x.parquet' WHEN 1 THEN '/else/' || n_name || '/x.parquet' WHEN 2 THEN '/base/' || n_name || '/x.parquet' ELSE n_name || '/x.parquet' END AS shown FROM nation""")
 def path_formats(spark, sf_dir):
-    rows = [("/base/a/x.parquet", "auto"), ("/else/x.parquet", "auto"), ("/base/a/x.parquet", "absolute"), ("/base/a/x.parquet", "relative")]
-    return local(spark, [(p, m, catalog.format_path(p, "/base", m)) for p, m in rows], "path string, mode string, shown string")
+    """Paths of nations below a base folder or not, as automatic, absolute or relative ones."""
+    kinds = [("/base", "auto"), ("/else", "auto"), ("/base", "absolute"), ("/base", "relative")]
+    nations = v.table(spark, sf_dir, "nation").collect()
+    return local(spark, [(r["n_name"], catalog.format_path(f"{kinds[r['n_nationkey'] % 4][0]}/{r['n_name']}/x.parquet", "/base", kinds[r["n_nationkey"] % 4][1])) for r in nations], "name string, shown string")
 
 
-@query("SELECT * FROM (VALUES (1, 'Plots-0'), (2, 'Plots-1'), (3, 'Plots-2')) t(i, folder)")
+@query("SELECT r_name AS region, 'Plots-' || (row_number() OVER (ORDER BY r_name) - 1) AS folder FROM region")
 def output_folders(spark, sf_dir):
+    """A new folder for each region."""
     parent = _folder(spark, "plots")
     if parent is None:
         raise ValueError("output folders are numbered on a local disk; spark.checkpoint.dir is in another store")
-    return local(spark, [(i, catalog.next_folder(parent).name) for i in (1, 2, 3)], "i int, folder string")
+    return local(spark, [(r["r_name"], catalog.next_folder(parent).name) for r in v.table(spark, sf_dir, "region").orderBy("r_name").collect()], "region string, folder string")
 
 
 # ---- the rest

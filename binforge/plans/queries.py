@@ -349,10 +349,14 @@ def name_functions(spark, sf_dir):
     return name.select("sample", scalar.file_name_of(F.col("sample")).alias("file"), scalar.after_first(F.col("sample")).alias("suffix"))
 
 
-@query("SELECT * FROM (VALUES ('gen_pt', 'reco_pt'), ('trueMETx', 'METx'), ('gen_eta', 'reco_eta')) t(truth, reco)")
+@query("""WITH c AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'gen_' || p_name WHEN 1 THEN 'true' || p_type WHEN 2 THEN p_name || '_' || p_size ELSE p_brand END AS t FROM part),
+r AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'reco_' || p_name WHEN 1 THEN p_type ELSE p_brand || '_' || p_size END AS r FROM part)
+SELECT DISTINCT t AS truth, r AS reco FROM c JOIN r ON t <> r AND ((contains(t, '_') AND contains(r, '_') AND substr(t, strpos(t, '_') + 1) = substr(r, strpos(r, '_') + 1)) OR (starts_with(t, 'true') AND substr(t, 5) = r))""")
 def pair_matching(spark, sf_dir):
-    names = [spark.createDataFrame([(x,) for x in xs], "name string") for xs in (["trueMETx", "gen_pt", "gen_eta", "plain"], ["METx", "reco_pt", "reco_eta", "other_phi"])]
-    return lookups.pairs(*names)
+    part = v.table(spark, sf_dir, "part")
+    control = part.selectExpr("case p_partkey % 4 when 0 then concat('gen_', p_name) when 1 then concat('true', p_type) when 2 then concat(p_name, '_', p_size) else p_brand end as name").distinct()
+    reco = part.selectExpr("case p_partkey % 3 when 0 then concat('reco_', p_name) when 1 then p_type else concat(p_brand, '_', p_size) end as name").distinct()
+    return lookups.pairs(control, reco)
 
 
 # ---- bins
@@ -377,9 +381,14 @@ def bin_interval_join(spark, sf_dir):
     return binning.range_joined(values, bins).groupBy("var", "bin").agg(F.count(F.lit(1)).alias("count"), F.round(F.min("x"), 6).alias("least"))
 
 
-@query(f"WITH {v.bins_sql(v.BINS)} SELECT var, bin, lo, hi, (lo + hi) / 2 AS centre, hi - lo AS width FROM bins")
+@query("""WITH b AS (SELECT p_brand AS var, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1 HAVING max(p_retailprice) > min(p_retailprice)),
+e AS (SELECT var, CAST(i AS INTEGER) AS bin, lo + i * ((hi - lo) / 10) AS lo, CASE WHEN i = 9 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 10) END AS hi FROM b, range(10) t(i))
+SELECT var, bin, round(lo, 6) AS lo, round(hi, 6) AS hi, round((lo + hi) / 2, 6) AS centre, round(hi - lo, 6) AS width FROM e""")
 def bin_edges_centres(spark, sf_dir):
-    return binning.bins_table(spark, v.BINS).select("var", "bin", "lo", "hi", "centre", "width")
+    """Ten bins over the prices of each brand (brands are a fixed few)."""
+    found = v.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")).where("hi > lo").collect()
+    bins = binning.bins_table(spark, {r["p_brand"]: Binning(r["lo"], r["hi"], 10) for r in found})
+    return bins.select("var", "bin", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "centre", "width")])
 
 
 # ---- vectors
@@ -486,12 +495,15 @@ def union_missing_columns(spark, sf_dir):
     return both.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 2).alias("total"), F.count("name").cast("int").alias("named"))
 
 
-@query("SELECT * FROM (VALUES ('union', 'c_acctbal,c_name,n_name,s_acctbal'), ('common', 'c_acctbal'), ('left', 'c_name')) t(what, columns)")
+@query("""WITH s AS (SELECT p_type, p_brand, bool_or(p_size <= 5) AS a, bool_or(p_size > 45) AS b FROM part WHERE p_size <= 5 OR p_size > 45 GROUP BY ALL),
+k AS (SELECT *, unnest(['union', 'common', 'left']) AS what FROM s)
+SELECT p_type, what, coalesce(string_agg(p_brand, ',' ORDER BY p_brand) FILTER (WHERE what = 'union' OR (what = 'common' AND a AND b) OR (what = 'left' AND a AND NOT b)), '') AS columns FROM k GROUP BY ALL""")
 def column_set_ops(spark, sf_dir):
-    arrays = F.array(F.lit("c_name"), F.lit("c_acctbal")).alias("a"), F.array(F.lit("c_acctbal"), F.lit("s_acctbal"), F.lit("n_name")).alias("b")
-    one = spark.range(1).select(*arrays)
+    """Union, intersection and difference of two sets of names: brands of small and of large parts, by type."""
+    part = v.table(spark, sf_dir, "part").where("p_size <= 5 or p_size > 45")
+    sets = part.groupBy("p_type").agg(F.collect_set(F.when(F.col("p_size") <= 5, F.col("p_brand"))).alias("a"), F.collect_set(F.when(F.col("p_size") > 45, F.col("p_brand"))).alias("b"))
     kinds = F.array(*[F.struct(F.lit(k).alias("what"), F.array_join(F.array_sort(f("a", "b")), ",").alias("columns")) for k, f in (("union", F.array_union), ("common", F.array_intersect), ("left", F.array_except))])
-    return one.select(F.explode(kinds).alias("k")).select("k.*")
+    return sets.select("p_type", F.explode(kinds).alias("k")).select("p_type", "k.*")
 
 
 _FILES_SQL = "f AS (SELECT 's' || (o_custkey % 50) AS sample, CASE o_orderkey % 3 WHEN 0 THEN '/d/' || (o_custkey % 50) || '/merged.parquet' ELSE '/d/' || (o_custkey % 50) || '/job_' || (o_orderkey % 5) || '.parquet' END AS path, o_orderkey AS pos FROM orders WHERE o_orderkey % 3 <> 0 OR o_custkey % 2 = 0)"
@@ -520,9 +532,12 @@ def sample_catalogue(spark, sf_dir):
     return catalog.sample_catalogue(files, "/b", "2022", "mt").select("sample", F.array_join("files", ",").alias("files"))
 
 
-@query("SELECT CASE WHEN regexp_matches(n, '^Muon\\d+$') THEN 'data' WHEN regexp_matches(n, '^DYto') THEN 'DY' WHEN regexp_matches(n, '^(TT|TW|TbarW|TBbar|TbarB)') THEN 'tt' WHEN regexp_matches(n, '^Wto') THEN 'W+jets' ELSE 'others' END AS process, string_agg(n, ',' ORDER BY n) AS samples FROM (SELECT unnest(" + repr(_NAMES) + ") AS n) GROUP BY 1")
+@query(f"""WITH s AS (SELECT list_element({_NAMES!r}, CAST(s_suppkey % 9 + 1 AS INT)) || CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE '-' || s_nationkey END AS n FROM supplier)
+SELECT CASE WHEN regexp_matches(n, '^Muon\\d+$') THEN 'data' WHEN regexp_matches(n, '^DYto') THEN 'DY' WHEN regexp_matches(n, '^(TT|TW|TbarW|TBbar|TbarB)') THEN 'tt' WHEN regexp_matches(n, '^Wto') THEN 'W+jets' ELSE 'others' END AS process, string_agg(n, ',' ORDER BY n) AS samples FROM s GROUP BY 1""")
 def process_map(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in _NAMES], "sample string")
+    sample = F.element_at(F.array(*map(F.lit, _NAMES)), (F.pmod("s_suppkey", F.lit(9)) + 1).cast("int"))
+    end = F.when(F.pmod("s_suppkey", F.lit(2)) == 0, F.col("s_suppkey").cast("string")).otherwise(F.concat(F.lit("-"), F.col("s_nationkey").cast("string")))
+    names = v.table(spark, sf_dir, "supplier").select(F.concat(sample, end).alias("sample"))
     return catalog.process_map(names).select("process", F.array_join("samples", ",").alias("samples"))
 
 
