@@ -8,7 +8,7 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.functions.binning import Binning, local, resolve
+from binforge.functions.binning import Binning, few, local, resolve
 from binforge.functions.scalar import quoted
 from binforge.operators import agreement, fill, lookups, ordering
 from binforge.operators.selection import region, select, trigger
@@ -67,7 +67,7 @@ class HistogramEngine:
         number = {s.name: len(own) for s, own, _ in listed}
         watch = lambda s: partial(progress.watch, sample=s.name, files=number[s.name]) if progress else lambda df: df
         events = reduce(DataFrame.unionByName, [self.normalised(df, s, names, cut, files, watch(s)) for s, df, cut in found])
-        dim = F.broadcast(self.samples().select(F.col("sample").alias("_s"), "process", "kind", "scale", "w_mc"))
+        dim = few(self.samples().select(F.col("sample").alias("_s"), "process", "kind", "scale", "w_mc"))
         return events.join(dim, F.col("sample") == F.col("_s")).drop("_s")
 
     def binnings(self) -> dict[tuple[str, str], Binning]:
@@ -113,7 +113,7 @@ class HistogramEngine:
         """Stack bottoms and tops with colours, labels and draw order."""
         own = self.samples().select("process").distinct().withColumn("position", F.lit(0))  # not from the histogram, which would be filled twice
         order = ordering.ordered(own, [p.name for p in self.config.processes]).drop("position")
-        return ordering.styled(ordering.stacked(hist.join(F.broadcast(order), "process")), self.processes())
+        return ordering.styled(ordering.stacked(hist.join(few(order), "process")), self.processes())
 
     def asymmetry_histogram(self) -> DataFrame:
         """bin, even and odd of the configured asymmetry; a weight that no sample has counts as 1."""

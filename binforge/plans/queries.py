@@ -41,8 +41,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
 # ---- normalised events and histograms
 
 
-def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = v.events(spark, sf_dir)
+def _normalised(spark: SparkSession, sf_dir: str, nations: DataFrame) -> DataFrame:
+    e = v.events(spark, sf_dir, nations)
     return selection.select(e, v.CUTS).withColumn("region", selection.region(e.columns)).withColumn("trigger", selection.trigger(e.columns))
 
 
@@ -53,8 +53,9 @@ _AGREED_BINS = {("mc_data", c): v.BINS[c] for c in AGREED}
 
 
 def _agreement(spark: SparkSession, sf_dir: str, exact_sums: bool = False) -> DataFrame:
-    hist = fill.histogram(fill.fills(_normalised(spark, sf_dir), [], [], AGREED), _AGREED_BINS, exact_sums)
-    kinds = agreement.kinds_of(v.regions(spark, sf_dir))
+    nations = v.regions(spark, sf_dir)
+    hist = fill.histogram(fill.fills(_normalised(spark, sf_dir, nations), [], [], AGREED), _AGREED_BINS, exact_sums)
+    kinds = F.broadcast(agreement.kinds_of(nations))  # five rows
     return agreement.with_kind(fill.densify(hist, _AGREED_BINS), kinds)
 
 

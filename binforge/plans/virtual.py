@@ -38,11 +38,11 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a line item. The nations are a fixed 25 rows and broadcast; the three large tables are joined by key."""
+def events(spark: SparkSession, sf_dir: str, nations: DataFrame | None = None) -> DataFrame:
+    """One row a line item. The nations (``regions`` unless given) are a fixed 25 rows and broadcast; the three large tables are joined by key."""
     line, order, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     joined = line.join(order, line["l_orderkey"] == order["o_orderkey"]).join(customer, order["o_custkey"] == customer["c_custkey"])
-    joined = joined.join(F.broadcast(regions(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = joined.join(F.broadcast(regions(spark, sf_dir) if nations is None else nations), F.col("c_nationkey") == F.col("n_nationkey"))
     flag = F.col("l_returnflag")
     return joined.select(
         "l_orderkey", "l_linenumber", "sample", "process", "kind", "scale", "w_mc",
