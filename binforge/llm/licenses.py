@@ -12,6 +12,7 @@ scanned each by its own text; repeated rows get equal results. Other columns are
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +47,41 @@ SENTENCES = {
     "ccbysa4-notice": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc0-notice": ["cc0 1 0 universal", "this work is dedicated to the public domain"],
     "rights": ["all rights reserved"],
+    "isc-title": ["isc license", "the isc license", "isc license isc"],
+    "isc-grant": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "0bsd-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "unlicense-free": ["this is free and unencumbered software released into the public domain"],
+    "unlicense-grant": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "boost-title": ["boost software license version 1 0 august 17th 2003"],
+    "boost-notice": ["distributed under the boost software license version 1 0"],
+    "boost-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "zlib-as-is": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "gpl-title": ["gnu general public license"],
+    "lgpl-title": ["gnu lesser general public license"],
+    "agpl-title": ["gnu affero general public license"],
+    "gpl2-date": ["version 2 june 1991"],
+    "gpl3-date": ["version 3 29 june 2007"],
+    "lgpl21-date": ["version 2 1 february 1999"],
+    "agpl3-date": ["version 3 19 november 2007"],
+    "library-free": ["this library is free software"],
+    "gpl-grant21": ["either version 2 1 of the license or at your option any later version"],
+    "gpl2-terms": ["you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation", "you can redistribute it and or modify it under the terms of the gnu general public license version 2 only as published by the free software foundation"],
+    "agpl-terms": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "agpl-terms3": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "epl2-notice": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"],
+    "mit-short": ["licensed under mit", "licensed under the mit license see license file in the project root for full license information"],
+    "ccby4-file": ["licensed under cc by 4 0 see file", "licensed under cc by 4 0 see license file"],
+    "spdx": ["spdx license identifier"],
 }
 
+#: Identifiers that may follow "SPDX-License-Identifier:", each a sentence of its own there.
+SPDX = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
+SENTENCES |= {f"id-{x}": [" ".join(re.findall("[a-z0-9]+", x.lower()))] for x in SPDX}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -57,6 +91,19 @@ class Rule:
 
 #: In order: long sequences before the single notices that they may hold.
 RULES = [
+    *(Rule(x, ("spdx", f"id-{x}")) for x in SPDX),
+    Rule("AGPL-3.0-or-later", ("gpl-free", "agpl-terms", "gpl-grant3")),
+    Rule("AGPL-3.0-or-later", ("gpl-free", "agpl-terms3")),
+    Rule("LGPL-2.1-or-later", ("library-free", "lgpl-terms", "gpl-grant21")),
+    Rule("GPL-2.0-only", ("gpl-free", "gpl2-terms")),
+    Rule("AGPL-3.0-only", ("agpl-title", "agpl3-date")),
+    Rule("LGPL-3.0-only", ("lgpl-title", "gpl3-date")),
+    Rule("LGPL-2.1-only", ("lgpl-title", "lgpl21-date")),
+    Rule("GPL-3.0-only", ("gpl-title", "gpl3-date")),
+    Rule("GPL-2.0-only", ("gpl-title", "gpl2-date")),
+    Rule("BSL-1.0", ("boost-title", "boost-grant")),
+    Rule("Zlib", ("zlib-as-is", "zlib-grant")),
+    Rule("Unlicense", ("unlicense-free", "unlicense-grant")),
     Rule("Apache-2.0", ("apache2-notice", "apache2-compliance", "apache2-as-is")),
     Rule("MIT", ("mit-grant", "mit-condition")),
     Rule("LGPL-3.0-or-later", ("gpl-free", "lgpl-terms", "gpl-grant3")),
@@ -76,6 +123,15 @@ RULES = [
     Rule("MIT", ("mit-notice",)),
     Rule("MIT", ("mit-title",)),
     Rule("CC0-1.0", ("cc0-notice",)),
+    Rule("ISC", ("isc-grant",)),
+    Rule("ISC", ("isc-title",)),
+    Rule("0BSD", ("0bsd-grant",)),
+    Rule("BSL-1.0", ("boost-notice",)),
+    Rule("BSL-1.0", ("boost-title",)),
+    Rule("Unlicense", ("unlicense-free",)),
+    Rule("EPL-2.0", ("epl2-notice",)),
+    Rule("MIT", ("mit-short",)),
+    Rule("CC-BY-4.0", ("ccby4-file",)),
     Rule("all-rights-reserved", ("rights",)),
 ]
 
