@@ -95,12 +95,17 @@ def _dealt(keys: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(count + 1))
 
 
+def census_groups(bytes_: int, least: int) -> int:
+    """Groups that n-grams are counted in: six bytes a word or more, of whose n-grams a half is counted."""
+    return max(least, -(-bytes_ // (12 * GROUP)), 1)
+
+
 def _census(rows: DataFrame, width: int) -> tuple[np.ndarray, float, int]:
     """Upper halves of the most frequent n-grams, mean length of a light list, and number of n-grams.
 
     Counts n-grams in the lower half of the hash range, which is where prefixes lie, by the upper half of their bits.
     """
-    count = max(parts(rows.sparkSession), 1)
+    count = census_groups(rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0, parts(rows.sparkSession))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
