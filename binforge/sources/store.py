@@ -16,7 +16,7 @@ import hashlib
 from collections.abc import Callable
 from urllib.parse import unquote, urlparse
 
-from pyspark.errors import AnalysisException
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +45,16 @@ class HistogramStore:
     def __init__(self, spark: SparkSession, path: str, setup: str = ""):
         self.spark, self.path, self.setup = spark, path.rstrip("/"), hashlib.sha256(setup.encode()).hexdigest()[:16]
 
+    def _at(self, what: str) -> tuple[JavaObject, JavaObject]:
+        """A folder of the store, and the file system that it is in."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _read(self, what: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        at, system = self._at(what)
+        if not system.exists(at):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
 
     def _listed(self) -> DataFrame:
         """Every file with the part that counts for it: that of the highest generation."""
@@ -111,11 +114,9 @@ class HistogramStore:
     def vacuum(self) -> list[str]:
         """Delete the parts that don't count; their names."""
         live = {r["part"] for r in self._listed().select("part").distinct().collect()}
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         gone = []
         for what in ("files", "parts"):  # a part without its files is not read
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
-            system = at.getFileSystem(conf)
+            at, system = self._at(what)
             for found in system.listStatus(at) if system.exists(at) else ():
                 name = found.getPath().getName()
                 if name.startswith("part=") and name[5:] not in live:
