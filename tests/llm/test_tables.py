@@ -249,7 +249,7 @@ def test_query(spark, name):
 @needs_data
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_runs_whole_table(spark, name):
-    table = {"op7_warc": "pages", "op8_chat_formatting": None, "op9_embedding_near_dedup": "embeddings", "op2_packing": None}.get(name, "documents")
+    table = {"op7_warc": "pages", "op8_chat_formatting": None, "op9_embedding_near_dedup": "embeddings", "op2_packing": None, "op11_hard_negatives": None, "op12_exact_top_k": None, "op13_ranked_lexical_search": None}.get(name, "documents")
     n = registry.QUERIES[name](spark, SF).count()
     if table:
         assert n == spark.read.parquet(f"{SF}/{table}.parquet").count()
