@@ -2,7 +2,8 @@
 
 A shard is a row that holds an index of some thousand rows, a block one that holds some hundred queries. Shards are dealt
 to groups, and each block visits all groups; within one the best results go along from shard to shard, so only the best
-of each group leave it.
+of each group leave it. A task holds the shards of its group, and blocks stream past them one by one: no row of a shard is
+joined to a row of a block, which would copy the shard for each.
 """
 
 from __future__ import annotations
@@ -15,10 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binforge.llm.common import parts
-
 #: Shards that one group should hold.
-TOGETHER = 8
+TOGETHER = 4
 NONE = np.iinfo(np.int64).min
 
 
@@ -79,39 +78,53 @@ def held(batches: Iterator[pa.RecordBatch], columns: list[str], scale: int, most
     yield from flushed()
 
 
-def paired(blocks: DataFrame, shards: DataFrame, most_blocks: int, most_shards: int) -> DataFrame:
-    """Each row of ``blocks`` with each of ``shards`` (both stored tables), all shards of a group after each other."""
-    groups = max(1, -(-most_shards // TOGETHER))
-    salts = max(1, min(most_blocks, -(-4 * parts(blocks.sparkSession) // groups)))
-    left = blocks.withColumn("_salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = shards.withColumn("_to", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    both = left.join(right, (F.col("_group") == F.col("_to")) & (F.col("_salt") == F.col("_with")))
-    return both.drop("_salt", "_to", "_with", "_group")
+def _numbered(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The key of each row, and a number below ``most`` that deals the rows evenly."""
+    return rows.select(F.col(key).alias("_key"), F.pmod(F.row_number().over(Window.orderBy(key)), F.lit(most)).cast("int").alias("_own"))
+
+
+def gathered(blocks: DataFrame, shards: DataFrame, most_blocks: int, most_shards: int) -> DataFrame:
+    """Partitions of the shards of one group and, after them, blocks that are to visit these; all blocks visit all groups.
+
+    Both are stored tables without a column in common. Shards are large rows, so one is sent once where there are as many
+    groups as tasks are needed; with fewer, blocks are dealt to some copies of each group.
+    """
+    tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-most_shards // TOGETHER), min(most_shards, -(-tasks // max(1, most_blocks))))
+    copies = max(1, min(most_blocks, -(-tasks // groups)))
+    to = lambda c, most: F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias(c)
+    of_block = _numbered(blocks, "block", copies).select("*", to("_group", groups)).select("_key", (F.col("_group") * copies + F.col("_own")).alias("_task"))
+    of_shard = _numbered(shards, "shard", groups).select("*", to("_copy", copies)).select("_key", (F.col("_own") * copies + F.col("_copy")).alias("_task"))
+    left = blocks.join(F.broadcast(of_block), F.col("block") == F.col("_key")).drop("_key")
+    right = shards.join(F.broadcast(of_shard), F.col("shard") == F.col("_key")).drop("_key")
+    both = left.unionByName(right, allowMissingColumns=True).repartitionById(groups * copies, "_task")
+    return both.drop("_task").sortWithinPartitions(F.asc_nulls_first("block"), "shard")
 
 
-def met(batches: Iterator[pa.RecordBatch], begin: Callable[[dict], object], visit: Callable[[object, dict], None], end: Callable[[object], Iterator[pa.RecordBatch]], keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
-    """Runs ``visit`` for each pair; what ``begin`` made for a block lasts while its pairs follow each other.
+def met(batches: Iterator[pa.RecordBatch], begin: Callable[[dict], object], visit: Callable[[object, object], None], end: Callable[[object], Iterator[pa.RecordBatch]], keep: tuple[str, ...] = (), opened: Callable[[dict], object] = lambda row: row) -> Iterator[pa.RecordBatch]:
+    """Has what ``begin`` makes of a block ``visit`` what ``opened`` makes of each shard of the group, which came before it.
 
     Binary columns come as buffers, those of ``keep`` (lists) as Arrow arrays, all others as Python values.
     """
 
     def value(column: pa.Array, name: str, i: int) -> object:
+        if not column[i].is_valid:
+            return None
         if pa.types.is_binary(column.type):
             return column[i].as_buffer()
         return column[i].values if name in keep else column[i].as_py()
 
-    now, state = None, None
+    shards = []
     for batch in batches:
         for i in range(batch.num_rows):
-            block = batch.column("block")[i].as_py()
             row = {c: value(batch.column(c), c, i) for c in batch.schema.names}
-            if block != now:
-                if state is not None:
-                    yield from end(state)
-                now, state = block, begin(row)
-            visit(state, row)
-    if state is not None:
-        yield from end(state)
+            if row["block"] is None:
+                shards.append(opened(row))
+                continue
+            state = begin(row)
+            for shard in shards:
+                visit(state, shard)
+            yield from end(state)
 
 
 class Best:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.blocks import met, paired, ranked
+from binforge.llm.blocks import gathered, met, ranked
 from binforge.llm.common import bounded_batches, pieces_of, stage
 
 K = 10
@@ -228,8 +228,8 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = K, shard: int = SHARD,
         item, item_id, doc, score = zip(*rows) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(item_id, pa.int64()), pa.array([None if d == LAST else d for d in doc], pa.int64()), pa.array(score, pa.int64())], names=["item", "item_id", "doc_id", "score"])
 
-    pairs = paired(blocks, shards.drop("df", "documents", "total"), numbers, count)
-    found = pairs.mapInArrow(lambda b: met(b, begin, visit, end, keep=("terms",)), "item long, item_id long, doc_id long, score long")
+    groups = gathered(blocks, shards.drop("df", "documents", "total"), numbers, count)
+    found = groups.mapInArrow(lambda b: met(b, begin, visit, end, keep=("terms",)), "item long, item_id long, doc_id long, score long")
     return ranked(found, ["item"], "score", "doc_id", k).select("item_id", "rank", "doc_id", "score")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.blocks import NONE, Best, comparable, held, met, narrow, paired, products, ranked
+from binforge.llm.blocks import NONE, Best, comparable, gathered, held, met, narrow, products, ranked
 from binforge.llm.common import bounded_batches, stage
 
 SCALE = 256
@@ -194,8 +194,8 @@ def _searched(blocks: DataFrame, shards: DataFrame, counts: tuple[int, int], sam
         q, score, found = wanted.best.rows()
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), number)), pa.array(wanted.at[q].astype(np.int32)), pa.array(place[q].astype(np.int32)), pa.array(wanted.ids[wanted.at[q]]), pa.array(found), pa.array(score)], names=["block", "at", "place", "anchor_id", "vec_id", "score"])
 
-    pairs = paired(blocks, shards, *counts)
-    return pairs.mapInArrow(lambda b: met(b, begin, lambda state, row: state[2].visit(row), end), "block long, at int, place int, anchor_id long, vec_id long, score long")
+    groups = gathered(blocks, shards, *counts)
+    return groups.mapInArrow(lambda b: met(b, begin, lambda state, row: state[2].visit(row), end), "block long, at int, place int, anchor_id long, vec_id long, score long")
 
 
 def mine(vectors: DataFrame, is_anchor: Column, *, positives: int = POSITIVES, negatives: int = NEGATIVES, scale: int = SCALE, shard: int = SHARD, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.blocks import Best, NONE, comparable, held, met, narrow, paired, products, ranked
+from binforge.llm.blocks import Best, NONE, comparable, gathered, held, met, narrow, products, ranked
 from binforge.llm.common import bounded_batches, stage
 
 SCALE = 64
@@ -142,11 +142,11 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = SCA
         ids = np.frombuffer(row["ids"], np.int64)
         return row["block"], ids, np.frombuffer(row["x"], np.int64).reshape(len(ids), row["size"]), Best(len(ids), k)
 
-    def visit(state: tuple, row: dict) -> None:
+    def visit(state: tuple, own: Shard) -> None:
         _, ids, x, best = state
-        if row["width"] != x.shape[1]:
+        if own.size != x.shape[1]:
             return
-        own, found = Shard(row), []
+        found = []
         for i, q in enumerate(x):
             rows, score, _ = own.possible(q, k, int(best.least()[i]), np.flatnonzero(own.ids == ids[i]))
             fine = score >= best.least()[i]
@@ -158,8 +158,8 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = SCA
         q, score, found = best.rows()
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), number)), pa.array(q.astype(np.int32)), pa.array(ids[q]), pa.array(found), pa.array(score)], names=["block", "at", "query_id", "vec_id", "score"])
 
-    pairs = paired(queries, shards, queries.count(), shards.count())
-    found = pairs.mapInArrow(lambda b: met(b, begin, visit, end), "block long, at int, query_id long, vec_id long, score long")
+    groups = gathered(queries, shards, queries.count(), shards.count())
+    found = groups.mapInArrow(lambda b: met(b, begin, visit, end, opened=Shard), "block long, at int, query_id long, vec_id long, score long")
     return ranked(found, ["block", "at"], "score", "vec_id", k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -8,10 +8,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from binforge.llm import lexical, negatives, topk
+from binforge.llm import blocks, lexical, negatives, topk
 from tests.llm.util import counted, frame
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -186,3 +187,21 @@ def test_numbers_come_back():
     x = np.array([0, 1, 127, 128, 300, 16_383, 16_384, 2**28, 2**34, 5], np.int64)
     data, begin = lexical.packed(x)
     assert (lexical.unpacked(data) == x).all() and (lexical.unpacked(data[begin[4] :]) == x[4:]).all() and len(lexical.packed(x[:0])[0]) == 0
+
+
+def test_a_shard_is_not_sent_for_each_block(spark):
+    """All blocks meet all shards once, and rows that go to Python are few: not one with a shard's bytes for each pair."""
+    shards = spark.range(30, numPartitions=5).selectExpr("id * 7 as shard", "cast(repeat('s', 50) as binary) as bytes")
+    asked = spark.range(400, numPartitions=3).selectExpr("id * 5 as block", "cast('q' as binary) as x")
+    rows = blocks.gathered(asked, shards, 400, 30)
+    sent = rows.groupBy(F.col("block").isNull().alias("of_shard")).count().collect()
+    assert {r["of_shard"]: r["count"] for r in sent}[True] <= 30 * 2 and {r["of_shard"]: r["count"] for r in sent}[False] <= 400 * 8
+
+    def run(batches):
+        def end(state):
+            yield pa.RecordBatch.from_pydict({"block": [state[0]] * len(state[1]), "shard": state[1]}, pa.schema([("block", pa.int64()), ("shard", pa.int64())]))
+
+        return blocks.met(batches, lambda row: (row["block"], []), lambda state, row: state[1].append(row["shard"]), end)
+
+    found = rows.mapInArrow(run, "block long, shard long").collect()
+    assert Counter(map(tuple, found)) == Counter((5 * b, 7 * s) for b in range(400) for s in range(30))
