@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,17 +36,30 @@ def with_weight(samples: DataFrame, params: DataFrame, lumi: float) -> DataFrame
     return rows.withColumn("w_mc", F.when(F.col("kind") == "data", 1.0).otherwise(weight)).drop("_key", "_k", "xs", "eff", "filter_efficiency")
 
 
-#: Patterns up to which they are written into the expression itself, and bytes up to which they are told to all tasks.
+#: Patterns up to which they are written into the expression itself, bytes up to which they are told to all tasks, and
+#: patterns up to which their keys and ranks alone are.
 LITERAL_PATTERNS = 64
 TOLD_BYTES = 64 << 20
-#: Characters of the piece of a pattern that names are joined on where there are too many to tell.
-PIECE = 4
+TOLD_KEYS = 6_000_000
+#: Bytes of a pattern's key, and characters of the piece that names are joined on where there are too many keys to tell.
+KEY = 16
+PIECE = 8
+
+
+def _listed(processes: DataFrame) -> DataFrame:
+    return processes.select("process", "color", "draw_idx", F.posexplode("samples").alias("_i", "pattern")).where(F.col("pattern").isNotNull())
 
 
 def _patterns(processes: DataFrame) -> DataFrame:
     """pattern, rank (from 0, by draw_idx and place in the list), process and color; each pattern once, at its first rank."""
-    rows = processes.select("process", "color", "draw_idx", F.posexplode("samples").alias("_i", "pattern")).where(F.col("pattern").isNotNull())
-    return rows.groupBy("pattern").agg(F.min_by(F.struct("process", "color"), F.struct("draw_idx", "_i")).alias("f"), F.min(F.struct("draw_idx", "_i")).alias("rank")).select("pattern", "rank", "f.process", "f.color")
+    first = _listed(processes).groupBy("pattern").agg(F.min(F.struct("draw_idx", "_i", "process", "color")).alias("f"))
+    return first.select("pattern", F.struct("f.draw_idx", "f._i").alias("rank"), "f.process", "f.color")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _matcher(patterns: list[tuple[str, str | None, str | None]]):
@@ -75,7 +89,7 @@ def _matcher(patterns: list[tuple[str, str | None, str | None]]):
 _MATCHERS: dict[str, object] = {}
 
 
-def by_substring(names: DataFrame, processes: DataFrame, name: str = "name", literal: int = LITERAL_PATTERNS, told: int = TOLD_BYTES) -> DataFrame:
+def by_substring(names: DataFrame, processes: DataFrame, name: str = "name", literal: int = LITERAL_PATTERNS, told: int = TOLD_BYTES, keys: int = TOLD_KEYS) -> DataFrame:
     """``names`` with process and color of the first listed sample that the name contains, else unknown and white.
 
     First is by draw_idx and then by place in ``samples``. Rows stay as they are, repeated ones too; a null name contains
@@ -83,17 +97,23 @@ def by_substring(names: DataFrame, processes: DataFrame, name: str = "name", lit
 
     * a few stand in the expression;
     * more, up to ``told`` bytes, are an automaton in each Python worker that reads a name once whatever their number;
+    * beyond that, up to ``keys`` patterns, tasks are told each pattern's key and place in the order: itself, or the rarest
+      of its pieces of ``KEY`` bytes if it is longer. A name looks its own pieces up, ``contains`` decides about longer
+      patterns, and what a name has found is joined by its place; names are sent once, without their text;
     * beyond that both sides are joined by key: a pattern by the rarest of its pieces of ``PIECE`` characters, a name by all
-      of its, and ``contains`` decides.
+      of its of the lengths that occur, and ``contains`` decides.
     """
     spark = names.sparkSession
     patterns = _patterns(processes)
-    count, size = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("pattern") + F.coalesce(F.octet_length("process"), F.lit(0)) + 80), F.lit(0))).first()
+    bytes_of = F.coalesce(F.sum(F.octet_length("pattern") + F.coalesce(F.octet_length("process"), F.lit(0)) + 80), F.lit(0))
+    if _listed(processes).agg(bytes_of).first()[0] > told:
+        patterns = _stored(patterns.orderBy("rank").withColumn("at", F.monotonically_increasing_id()), "patterns")  # ascends with the rank
+        count, size = patterns.agg(F.count(F.lit(1)), bytes_of).first()
+        if size > told:
+            return _by_key(names, patterns, name) if count <= keys else _by_piece(names, patterns, name)
     unknown = F.struct(F.lit(UNKNOWN).alias("process"), F.lit("white").alias("color"))
-    if size > told:
-        return _by_piece(names, patterns, name)
     rows = [(r["pattern"], r["process"], r["color"]) for r in patterns.orderBy("rank").collect()]
-    if count <= literal:
+    if len(rows) <= literal:
         style = lambda p, c: F.struct(F.lit(p).cast("string").alias("process"), F.lit(c).cast("string").alias("color"))
         found = unknown
         for pattern, process, color in reversed(rows):
@@ -112,6 +132,124 @@ def by_substring(names: DataFrame, processes: DataFrame, name: str = "name", lit
     return out.select(*names.columns, F.coalesce("_f.process", F.lit(UNKNOWN)).alias("process"), F.coalesce("_f.color", F.lit("white")).alias("color"))
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Pieces:
+    """All pieces of the texts that lie after each other in ``data``, by where they begin."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = np.concatenate((data, np.zeros(2 * KEY, np.uint8)))
+        self.eight = np.ndarray(len(data) + KEY, "<u8", self.data, strides=(1,)).copy()
+
+    def slots(self, size: int, bits: int) -> np.ndarray:
+        """A number of ``bits`` for the piece of ``size`` bytes at each place."""
+        n = len(self.data) - 2 * KEY
+        if size <= 8:
+            code = self.eight[:n] & np.uint64((1 << 8 * size) - 1)
+        else:
+            code = self.eight[:n] * _SPREAD ^ self.eight[size - 8 : n + size - 8]
+        code = (code ^ (code >> np.uint64(32))) * _SPREAD
+        return (code ^ np.uint64(size) * (_SPREAD << np.uint64(1))) >> np.uint64(64 - bits)
+
+    def exact(self, size: int, at: np.ndarray) -> np.ndarray:
+        """The pieces at some places, as what can be compared and sorted."""
+        if size <= 8:
+            return self.eight[at] & np.uint64((1 << 8 * size) - 1)
+        return np.ascontiguousarray(self.data[at[:, None] + np.arange(size)]).view(f"S{size}").ravel()
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts after each other, and where each begins, and the end."""
+    texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_binary())
+    begin = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    return data[begin[0] : begin[-1]], begin - begin[0]
+
+
+def _told(keyed: pa.Table) -> list[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """Size, whether they are whole patterns, sorted keys and their places in the order, for keys of each size."""
+    data, begin = _bytes(keyed["key"])
+    place, whole, size = keyed["at"].to_numpy(), keyed["whole"].to_numpy(), np.diff(begin)
+    out, pieces = [], _Pieces(data)
+    for z, w in sorted({(int(z), bool(w)) for z, w in np.unique(np.stack((size, whole)), axis=1).T}):
+        own = np.flatnonzero((size == z) & (whole == w))
+        keys = pieces.exact(z, begin[own]) if z else np.zeros(len(own), np.uint64)
+        order = np.lexsort((place[own], keys))
+        out.append((z, w, keys[order], place[own][order]))
+    return out
+
+
+def _finder(told: list[tuple[int, bool, np.ndarray, np.ndarray]]):
+    """A function from names to the first place of a key that is a pattern (sure), and those before it of keys of longer patterns (maybe)."""
+    last, count = np.iinfo(np.int64).max, sum(len(k) for _, _, k, _ in told)
+    bits = min(25, max(10, (16 * count).bit_length()))
+    known = np.zeros(1 << bits, bool)
+    for z, _, keys, _ in told:
+        if z:
+            flat = keys.view(np.uint8) if z <= 8 else keys.astype(f"S{z}").view(np.uint8)
+            known[_Pieces(flat).slots(z, bits)[:: 8 if z <= 8 else z]] = True
+    empty = min((int(p[0]) for z, _, _, p in told if z == 0), default=last)
+
+    def find(names: pa.Array) -> pa.Array:
+        data, begin = _bytes(names)
+        of = np.repeat(np.arange(len(names)), np.diff(begin))
+        left, pieces = begin[1:][of] - np.arange(len(data)), _Pieces(data)
+        sure, more = np.full(len(names), empty), []
+        for z, whole, keys, place in told:
+            if not z:
+                continue
+            at = np.flatnonzero(known[pieces.slots(z, bits)] & (left >= z))
+            own = pieces.exact(z, at)
+            first, end = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+            if whole:
+                fine = np.flatnonzero(end > first)
+                np.minimum.at(sure, of[at[fine]], place[first[fine]])
+            else:
+                n = end - first
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                more.append(np.stack((np.repeat(of[at], n), place[np.repeat(first, n) + step])))
+        pairs = np.unique(np.concatenate(more, axis=1), axis=1) if more else np.zeros((2, 0), np.int64)
+        pairs = pairs[:, pairs[1] < sure[pairs[0]]]
+        ends = np.searchsorted(pairs[0], np.arange(len(names) + 1)).astype(np.int32)
+        none = names.is_null().to_numpy(zero_copy_only=False) | (sure == last)
+        return pa.StructArray.from_arrays([pa.array(sure, mask=none), pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs[1]))], ["sure", "maybe"])
+
+    return find
+
+
+def _by_key(names: DataFrame, patterns: DataFrame, name: str) -> DataFrame:
+    spark = names.sparkSession
+    text = F.col("pattern").cast("binary")
+    keyed = patterns.select("at", text.alias("key"), F.lit(True).alias("whole")).where(F.length("key") <= KEY)
+    long = patterns.select("at", text.alias("_text")).where(F.length("_text") > KEY)
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_text") - KEY + 1), lambda i: F.substring("_text", i, F.lit(KEY))))
+    pieces = long.select("at", F.explode(own).alias("key"))
+    often = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = pieces.join(often, "key").groupBy("at").agg(F.min(F.struct("_n", "key")).alias("_k")).select("at", "_k.key", F.lit(False).alias("whole"))
+    told = _told(keyed.union(rarest).toArrow())
+    one, known = spark.sparkContext.broadcast(told), uuid.uuid4().hex
+
+    def find(x: pa.Array) -> pa.Array:
+        if known not in _MATCHERS:
+            _MATCHERS.clear()
+            _MATCHERS[known] = _finder(one.value)
+        return _MATCHERS[known](x)
+
+    find = F.arrow_udf(find, "struct<sure: bigint, maybe: array<bigint>>")
+    rows = names.withColumn("_p", find(F.col(name))).withColumn("_at", F.col("_p.sure"))
+    if not all(whole for _, whole, _, _ in told):
+        asked = names.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).withColumn("_to", F.explode(find(F.col("_name"))["maybe"]))
+        found = asked.join(patterns.select("at", "pattern"), F.col("_to") == F.col("at")).where(F.contains("_name", "pattern"))
+        found = _stored(found.groupBy("_name").agg(F.min("_to").alias("_other")), "found")
+        rows = rows.join(found, F.col(name) == F.col("_name"), "left").withColumn("_at", F.least("_at", "_other"))
+    # Names without a pattern get places of their own, so that they don't meet in one task.
+    rows = rows.select(*names.columns, F.coalesce("_at", -1 - F.pmod(F.xxhash64(F.lit(1), *[F.col(name)]), F.lit(1 << 40))).alias("_at"))
+    style = patterns.select(F.col("at").alias("_place"), F.col("process").alias("_process"), F.col("color").alias("_color"))
+    out = rows.join(style, F.col("_at") == F.col("_place"), "left")
+    return out.select(*names.columns, F.coalesce("_process", F.lit(UNKNOWN)).alias("process"), F.coalesce("_color", F.lit("white")).alias("color"))
+
+
 def _pieces(text: Column, size: Column) -> Column:
     """All pieces of ``size`` characters of a text that has so many, each once."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.substring(text, i, size)))
@@ -123,9 +261,10 @@ def _by_piece(names: DataFrame, patterns: DataFrame, name: str) -> DataFrame:
     often = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
     rarest = pieces.join(often, "piece").groupBy("pattern").agg(F.min_by("piece", F.struct("_n", "piece")).alias("piece"))
     keyed = patterns.join(rarest, "pattern").select("piece", "pattern", "rank", "process", "color")
-    # A name meets the pieces of all lengths up to PIECE; equal names are looked up once.
+    # A name meets pieces of its own of the lengths that occur; equal names are looked up once.
     distinct = names.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
-    lengths = F.filter(F.array(*[F.lit(i) for i in range(1, PIECE + 1)]), lambda i: i <= F.char_length("_name"))
+    sizes = [r["_size"] for r in keyed.select(F.char_length("piece").alias("_size")).distinct().collect()]  # PIECE at most
+    lengths = F.filter(F.array(*[F.lit(i) for i in sizes]).cast("array<int>"), lambda i: i <= F.char_length("_name"))
     own = distinct.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda i: _pieces(F.col("_name"), i))))))
     first = F.min_by(F.struct("process", "color"), "rank")
     found = own.join(keyed, "piece").where(F.contains("_name", "pattern")).groupBy("_name").agg(first.alias("_f"), F.min("rank").alias("_rank"))

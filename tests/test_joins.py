@@ -91,3 +91,27 @@ def test_few_bins_are_compared(spark):
     compared = binning.range_candidates(values, spark.createDataFrame(bins + equal, BINS)).groupBy("var").count().collect()
     assert {r["var"]: r["count"] / 2000 for r in compared}["y"] <= 2 and {r["var"]: r["count"] / 2000 for r in compared}["x"] <= 3
     assert "NestedLoop" not in plan_of(binning.range_joined(values, spark.createDataFrame(bins, BINS)))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+@pytest.mark.parametrize("how", [{"told": 0}, {"told": 0, "keys": 0}], ids=["keys", "pieces"])
+def test_long_and_short_patterns(spark, how, empty):
+    """Patterns of 1 to 40 characters, longer than a key or not, that share pieces, with NUL and four-byte characters."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab\0😀") for _ in range(n))
+    whole = [word(60) for _ in range(30)]
+    cut = lambda t, n: t[(i := rng.randrange(len(t) - n)) : i + n]
+    listed = [cut(rng.choice(whole), rng.choice((5, 7, 8, 9, 12, 15, 16, 17, 20, 40))) for _ in range(150)] + ["a" * 16 + "b" * i for i in range(5)] + ([""] if empty else [])
+    processes = [(f"p{i}", [t], f"c{i % 7}", 1000 - i if t else 900) for i, t in enumerate(listed)]
+    names = [(t,) for t in whole] + [(word(rng.randrange(30)),) for _ in range(200)] + [("a" * 16 + "bb",), (None,), ("",), (whole[0],)]
+    df = spark.createDataFrame(names, "name string").repartition(3)
+    got = lookups.by_substring(df, spark.createDataFrame(processes, PROCESSES), **how).collect()
+    assert Counter(map(tuple, got)) == Counter((n, *first_match(n, processes)) for n, in names)
+
+
+def test_names_are_sent_once_where_patterns_are_joined(spark):
+    """Pieces of names stay in their tasks: no row is exploded for them, and names are sent to the patterns once at most."""
+    listed = spark.range(50_000).selectExpr("concat('p', id % 9) as process", "array(cast(id * 10 + 7 as string)) as samples", "cast(null as string) as color", "cast(id as int) as draw_idx")
+    names = spark.range(2000).selectExpr("concat(id * 7919, '_', id) as name")
+    plan = plan_of(lookups.by_substring(names, listed, told=0).groupBy("process").count())
+    assert "Generate" not in plan and plan.count("Range (") == 1
