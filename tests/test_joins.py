@@ -115,3 +115,16 @@ def test_names_are_sent_once_where_patterns_are_joined(spark):
     names = spark.range(2000).selectExpr("concat(id * 7919, '_', id) as name")
     plan = plan_of(lookups.by_substring(names, listed, told=0).groupBy("process").count())
     assert "Generate" not in plan and plan.count("Range (") == 1
+
+
+def test_more_patterns_than_are_told_take_no_exchange_of_pieces(spark, monkeypatch):
+    """What decides between ways is the size of the patterns once each, not of the rows that list them."""
+    seen = []
+    original = lookups._by_key
+    monkeypatch.setattr(lookups, "_by_key", lambda *a: seen.append(original(*a)) or seen[-1])
+    listed = spark.range(6000).selectExpr("concat('p', id % 3) as process", "array(concat('<', id % 100, '>')) as samples", "'c' as color", "cast(id as int) as draw_idx")
+    names = spark.range(500).selectExpr("concat('a<', id, '>') as name")
+    few_ = lookups.by_substring(names, listed, literal=0, told=20_000).collect()
+    assert not seen
+    many = lookups.by_substring(names, listed, literal=0, told=5000)
+    assert len(seen) == 1 and "Generate" not in plan_of(many) and Counter(map(tuple, many.collect())) == Counter(map(tuple, few_))
