@@ -474,8 +474,9 @@ def head_events(spark, sf_dir):
 def head_of_files(spark, sf_dir):
     path = _scratch(spark, "files")
     line = v.table(spark, sf_dir, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber")
-    line.repartition("l_linestatus").write.partitionBy("l_linestatus").parquet(path)
-    return catalog.head_of_files(spark.read.parquet(path), ["l_orderkey", "l_linenumber"], 2).select("l_linestatus", "l_orderkey", "l_linenumber")
+    line.write.partitionBy("l_linestatus").parquet(path)  # several files a folder, so no task has a whole one
+    first = catalog.head_of_files(spark.read.parquet(path), ["l_orderkey", "l_linenumber"], 2).select("l_linestatus", "l_orderkey", "l_linenumber")
+    return ordering.head_of_each(first, "l_linestatus", ["l_orderkey", "l_linenumber"], 2)
 
 
 @query("WITH r AS (SELECT l_returnflag AS sample, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) SELECT sample, l_orderkey, l_linenumber FROM r WHERE k <= 4")

@@ -172,9 +172,20 @@ def inspect(spark: SparkSession, samples: tuple[Sample, ...], root: str | Path =
 
 
 def head_of_files(df: DataFrame, order: list[str], n: int = 1) -> DataFrame:
-    """The first n rows of each file that ``df``, read from files, comes from."""
+    """The first n rows of each file that ``df``, read from files, comes from.
+
+    Of any n groups of a file's rows, the largest of their least values is one that the n-th of all rows can't be above.
+    So rows above it are left out before what is left is sorted; no task sorts what it reads.
+    """
+    file = F.col("_metadata.file_path")
+    groups = df.select(file.alias("_of"), F.shiftright(F.monotonically_increasing_id(), 10).alias("_group"), F.col(order[0]).alias("_x")).where(F.col("_x").isNotNull())
+    least = groups.groupBy("_of", "_group").agg(F.min("_x").alias("_least"))
+    least = least.withColumn("_n", F.row_number().over(Window.partitionBy("_of").orderBy("_least"))).where(F.col("_n") <= n)
+    bound = least.groupBy("_of").agg(F.max("_least").alias("_most"), F.max("_n").alias("_n")).where(F.col("_n") == n).drop("_n")
+    rows = df.withColumn("_file", file).join(F.broadcast(bound), F.col("_file") == F.col("_of"), "left")
+    rows = rows.where(F.col("_most").isNull() | F.col(order[0]).isNull() | (F.col(order[0]) <= F.col("_most"))).drop("_of", "_most")
     rank = F.row_number().over(Window.partitionBy("_file").orderBy(*order))
-    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_n", rank).where(F.col("_n") <= n).drop("_file", "_n")
+    return rows.withColumn("_n", rank).where(F.col("_n") <= n).drop("_file", "_n")
 
 
 def next_folder(parent: str | Path, prefix: str = "Plots-") -> Path:

@@ -141,3 +141,22 @@ def test_csv_jobs_do_not_grow_with_files(spark, tmp_path):
     assert jobs(paths) == jobs(paths[:3])
     assert csvs.read_csv(spark, paths)[0].count() == 30
     assert csvs.names_of('a,,"b ""c""",a\r') == ["a", "_c1", 'b "c"', "a3"]
+
+
+def test_heads_of_files_sort_few_rows(spark, tmp_path):
+    """Ties, nulls and NaN first or last as Spark orders them; rows above the bound don't reach the sort."""
+    rows = spark.range(30_000).select(F.expr("case when id = 29000 then null when id % 5000 = 7 then double('nan') else cast((id * 7919) % 30011 as double) end").alias("x"), "id", (F.col("id") % 3).alias("k"))
+    rows.repartition(1).write.partitionBy("k").parquet(str(tmp_path / "in"))
+    rows.where("id < 2").select("x", "id", F.lit(9).alias("k")).coalesce(1).write.mode("append").partitionBy("k").parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    got = catalog.head_of_files(df, ["x", "id"], 3)
+    found = sorted((r["k"], r["id"]) for r in got.collect())
+    order = lambda r: (r[0] is not None, (r[0] != r[0], 0 if r[0] != r[0] else r[0]) if r[0] is not None else 0, r[1])
+    own = [tuple(r) for r in rows.collect()]
+    assert found == sorted((k, r[1]) for k in range(3) for r in sorted((r for r in own if r[2] == k), key=order)[:3]) + [(9, 0), (9, 1)]
+    bounded = plan(got)
+    assert bounded.index("Sort [") < bounded.index("BroadcastHashJoin")  # the join with the bound is below the sort
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
