@@ -160,3 +160,35 @@ def test_heads_of_files_sort_few_rows(spark, tmp_path):
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compaction_sorts_small_files_only(spark, tmp_path, monkeypatch):
+    """Files above the bound of a run are read as they are, in the order of their names and never sorted, small ones in runs."""
+    sizes = [40_000, 10, 20, 30_000, 5, 50_000, 7, 8]
+    start = 0
+    for i, n in enumerate(sizes):
+        spark.range(start, start + n, 1, 1).withColumn("x", F.rand(i)).coalesce(1).write.parquet(str(tmp_path / f"in/d{i}"))
+        start += n
+    monkeypatch.setattr(compaction, "RUN_BYTES", 20_000)
+    seen = []
+    original = compaction.reduce
+    monkeypatch.setattr(compaction, "reduce", lambda f, x: seen.append(original(f, list(x))) or seen[-1])
+    size = sum(p.stat().st_size for p in (tmp_path / "in").rglob("*.parquet"))
+    for how, n in (({"files": 2}, 2), ({"file_bytes": size}, 1), ({"files": 1}, 1)):
+        out = tmp_path / f"out{len(seen)}"
+        catalog.compact(spark, str(tmp_path / "in"), str(out), **how)
+        text = plan(seen[-1])
+        assert "Exchange" not in text and text.count("Sort [") == 2 and len(written(out)) == n
+        ids = [r[0] for f in written(out) for r in spark.read.parquet(str(f)).select("id", F.col("_metadata.row_index").alias("i")).orderBy("i").collect()]
+        assert ids == list(range(start))
+
+
+def test_compaction_reads_a_large_file_in_pieces(spark, tmp_path):
+    """A file of many row groups that is larger than a pack is written by several tasks, in order."""
+    spark.range(0, 200_000, 1, 1).withColumn("x", F.rand(1)).write.option("parquet.block.size", 100_000).parquet(str(tmp_path / "in/a"))
+    spark.range(200_000, 200_100, 1, 1).withColumn("x", F.rand(2)).write.parquet(str(tmp_path / "in/b"))
+    size = sum(p.stat().st_size for p in (tmp_path / "in").rglob("*.parquet"))
+    catalog.compact(spark, str(tmp_path / "in"), str(tmp_path / "out"), file_bytes=size // 8)
+    files = written(tmp_path / "out")
+    assert len({f.name[:10] for f in files}) >= 4  # tasks, not only files of one task
+    assert [r[0] for f in files for r in spark.read.parquet(str(f)).select("id", F.col("_metadata.row_index").alias("i")).orderBy("i").collect()] == list(range(200_100))
