@@ -470,6 +470,15 @@ def head_events(spark, sf_dir):
     return ordering.head(v.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber"), "l_returnflag", ["l_orderkey", "l_linenumber"], 5)
 
 
+#: Rows that a task sorts, about.
+SORTED_ROWS = 1_000_000
+
+
+def _ranges(table: DataFrame) -> int:
+    """Partitions for a sort: so many that each is of a bounded size, whatever the table's."""
+    return -(-table.count() // SORTED_ROWS) or 1
+
+
 @query("SELECT l_linestatus, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 2")
 def head_of_files(spark, sf_dir):
     path = _scratch(spark, "files")
@@ -484,7 +493,8 @@ def head_in_file_order(spark, sf_dir):
     """The first rows of each sample in the order of its files, read without the others."""
     path = _scratch(spark, "sorted")
     line = v.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
-    line.repartition("l_returnflag").sortWithinPartitions("l_returnflag", "l_orderkey", "l_linenumber").write.partitionBy("l_returnflag").parquet(path)
+    order = ["l_returnflag", "l_orderkey", "l_linenumber"]
+    line.repartitionByRange(_ranges(line), *order).sortWithinPartitions(*order).write.partitionBy("l_returnflag").parquet(path)  # files of ascending keys
     folders = sorted({r["path"].split("/")[-2] for r in catalog.listing(spark, path).select("path").collect()})
     samples = tuple(Sample(f.rpartition("=")[2], dirs=(f"{path}/{f}",)) for f in folders)
     return heads.head_of_samples(spark, samples, 4).select("sample", "l_orderkey", "l_linenumber")
