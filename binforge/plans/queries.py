@@ -593,7 +593,8 @@ def compact_parquet(spark, sf_dir):
 def compact_in_order(spark, sf_dir):
     """Files of ascending keys, compacted: the place of each row in the new files."""
     parts, out = _scratch(spark, "parts"), _scratch(spark, "compacted")
-    v.table(spark, sf_dir, "orders").repartitionByRange(9, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(parts)
+    orders = v.table(spark, sf_dir, "orders")
+    orders.repartitionByRange(max(9, _ranges(orders)), "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(parts)
     rows = catalog.compact(spark, parts, out, files=3).select("o_orderkey", "o_orderpriority", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i"))
     sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(F.col("file").alias("_file"), (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
