@@ -37,10 +37,11 @@ def with_weight(samples: DataFrame, params: DataFrame, lumi: float) -> DataFrame
 
 
 #: Patterns up to which they are written into the expression itself, bytes up to which they are told to all tasks, and
-#: patterns up to which their keys and ranks alone are.
+#: patterns up to which their keys and ranks alone are, with the different pairs of process and color up to so many bytes.
 LITERAL_PATTERNS = 64
 TOLD_BYTES = 64 << 20
 TOLD_KEYS = 6_000_000
+TOLD_STYLES = 16 << 20
 #: Bytes of a pattern's key, and characters of the piece that names are joined on where there are too many keys to tell.
 KEY = 16
 PIECE = 8
@@ -98,8 +99,9 @@ def by_substring(names: DataFrame, processes: DataFrame, name: str = "name", lit
     * a few stand in the expression;
     * more, up to ``told`` bytes, are an automaton in each Python worker that reads a name once whatever their number;
     * beyond that, up to ``keys`` patterns, tasks are told each pattern's key and place in the order: itself, or the rarest
-      of its pieces of ``KEY`` bytes if it is longer. A name looks its own pieces up, ``contains`` decides about longer
-      patterns, and what a name has found is joined by its place; names are sent once, without their text;
+      of its pieces of ``KEY`` bytes if it is longer. A name looks its own pieces up, and ``contains`` decides about longer
+      patterns, for names that may have one. Tasks are told the process and color of each place, too, so names are not sent;
+      only with more different ones than ``TOLD_STYLES`` bytes are they joined by place, and names sent without their text;
     * beyond that both sides are joined by key: a pattern by the rarest of its pieces of ``PIECE`` characters, a name by all
       of its of the lengths that occur, and ``contains`` decides.
     """
@@ -218,6 +220,33 @@ def _finder(told: list[tuple[int, bool, np.ndarray, np.ndarray]]):
     return find
 
 
+def _styles(patterns: DataFrame) -> tuple[np.ndarray, np.ndarray, list[tuple[str | None, str | None]]] | None:
+    """Places in ascending order, the number of the style of each, and the styles; nothing if the styles are too large."""
+    styles = patterns.select("process", "color").distinct()
+    size = F.sum(F.coalesce(F.octet_length("process"), F.lit(0)) + F.coalesce(F.octet_length("color"), F.lit(0)) + 40)
+    if (styles.agg(size).first()[0] or 0) > TOLD_STYLES:
+        return None
+    rows = [tuple(r) for r in styles.collect()]
+    numbers = patterns.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], "_process string, _color string, _number int")
+    same = F.col("process").eqNullSafe(F.col("_process")) & F.col("color").eqNullSafe(F.col("_color"))
+    found = patterns.join(F.broadcast(numbers), same).select("at", "_number").toArrow()
+    at, number = found["at"].to_numpy(), found["_number"].to_numpy()
+    order = np.argsort(at)
+    return at[order], number[order], rows
+
+
+def _styler(at: np.ndarray, number: np.ndarray, rows: list[tuple[str | None, str | None]]):
+    """A function from places, or nulls, to process and color."""
+    none = np.iinfo(np.int64).max
+    at, number = np.append(at, none), np.append(number, len(rows))
+    styles = pa.array([*rows, (UNKNOWN, "white")], pa.struct([("process", pa.string()), ("color", pa.string())]))
+
+    def style(places: pa.Array) -> pa.Array:
+        return styles.take(pa.array(number[np.searchsorted(at, places.fill_null(none).to_numpy(zero_copy_only=False))]))
+
+    return style
+
+
 def _by_key(names: DataFrame, patterns: DataFrame, name: str) -> DataFrame:
     spark = names.sparkSession
     text = F.col("pattern").cast("binary")
@@ -228,26 +257,33 @@ def _by_key(names: DataFrame, patterns: DataFrame, name: str) -> DataFrame:
     often = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
     rarest = pieces.join(often, "key").groupBy("at").agg(F.min(F.struct("_n", "key")).alias("_k")).select("at", "_k.key", F.lit(False).alias("whole"))
     told = _told(keyed.union(rarest).toArrow())
-    one, known = spark.sparkContext.broadcast(told), uuid.uuid4().hex
+    one, known, styled = spark.sparkContext.broadcast((told, _styles(patterns))), uuid.uuid4().hex, "struct<process: string, color: string>"
 
-    def find(x: pa.Array) -> pa.Array:
+    def made(which: int):
         if known not in _MATCHERS:
             _MATCHERS.clear()
-            _MATCHERS[known] = _finder(one.value)
-        return _MATCHERS[known](x)
-
-    find = F.arrow_udf(find, "struct<sure: bigint, maybe: array<bigint>>")
+            keys, styles = one.value
+            _MATCHERS[known] = _finder(keys), _styler(*styles) if styles else None
+        return _MATCHERS[known][which]
+
+    find = F.arrow_udf(lambda x: made(0)(x), "struct<sure: bigint, maybe: array<bigint>>")
+    style, whole = F.col("_f"), all(whole for _, whole, _, _ in told)
+    if whole and one.value[1]:
+        rows = names.withColumn("_f", F.arrow_udf(lambda x: made(1)(made(0)(x).field("sure")), styled)(F.col(name)))
+        return rows.select(*names.columns, F.coalesce(style["process"], F.lit(UNKNOWN)).alias("process"), F.coalesce(style["color"], F.lit("white")).alias("color"))
     rows = names.withColumn("_p", find(F.col(name))).withColumn("_at", F.col("_p.sure"))
-    if not all(whole for _, whole, _, _ in told):
+    if not whole:
         asked = names.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).withColumn("_to", F.explode(find(F.col("_name"))["maybe"]))
         found = asked.join(patterns.select("at", "pattern"), F.col("_to") == F.col("at")).where(F.contains("_name", "pattern"))
         found = _stored(found.groupBy("_name").agg(F.min("_to").alias("_other")), "found")
         rows = rows.join(found, F.col(name) == F.col("_name"), "left").withColumn("_at", F.least("_at", "_other"))
-    # Names without a pattern get places of their own, so that they don't meet in one task.
-    rows = rows.select(*names.columns, F.coalesce("_at", -1 - F.pmod(F.xxhash64(F.lit(1), *[F.col(name)]), F.lit(1 << 40))).alias("_at"))
-    style = patterns.select(F.col("at").alias("_place"), F.col("process").alias("_process"), F.col("color").alias("_color"))
-    out = rows.join(style, F.col("_at") == F.col("_place"), "left")
-    return out.select(*names.columns, F.coalesce("_process", F.lit(UNKNOWN)).alias("process"), F.coalesce("_color", F.lit("white")).alias("color"))
+    if one.value[1]:
+        rows = rows.withColumn("_f", F.arrow_udf(lambda x: made(1)(x), styled)("_at"))
+    else:
+        # Names without a pattern get places of their own, so that they don't meet in one task.
+        rows = rows.select(*names.columns, F.coalesce("_at", -1 - F.pmod(F.xxhash64(F.lit(1), *[F.col(name)]), F.lit(1 << 40))).alias("_at"))
+        rows = rows.join(patterns.select(F.col("at").alias("_place"), F.struct("process", "color").alias("_f")), F.col("_at") == F.col("_place"), "left")
+    return rows.select(*names.columns, F.coalesce(style["process"], F.lit(UNKNOWN)).alias("process"), F.coalesce(style["color"], F.lit("white")).alias("color"))
 
 
 def _pieces(text: Column, size: Column) -> Column:

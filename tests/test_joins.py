@@ -128,3 +128,22 @@ def test_more_patterns_than_are_told_take_no_exchange_of_pieces(spark, monkeypat
     assert not seen
     many = lookups.by_substring(names, listed, literal=0, told=5000)
     assert len(seen) == 1 and "Generate" not in plan_of(many) and Counter(map(tuple, many.collect())) == Counter(map(tuple, few_))
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_names_stay_where_they_are(spark, long, monkeypatch):
+    """With no broadcast by Spark, no name is sent to the patterns; with too many styles to tell the result is the same."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    listed = spark.range(5000).selectExpr("if(id % 5 = 0, null, concat('p', id % 9)) as process", f"array(concat('<', id, '>'{", if(id % 2 = 0, ' a longer one than a key', '')" if long else ""})) as samples", "if(id % 7 = 0, null, 'c') as color", "cast(9000 - id as int) as draw_idx")
+    names = spark.range(0, 12000, 1, 4).selectExpr("if(id = 7, null, concat('a<', id % 6000, '> a longer one than a key<', id, '>')) as name", "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lookups.by_substring(names, listed, told=0)
+        assert long or "Exchange" not in plan_of(got) and "Join" not in plan_of(got)
+        rows = Counter(map(tuple, got.collect()))
+        monkeypatch.setattr(lookups, "TOLD_STYLES", 0)
+        joined = lookups.by_substring(names, listed, told=0)
+        assert "Join" in plan_of(joined) and Counter(map(tuple, joined.collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert rows == Counter(map(tuple, lookups.by_substring(names, listed).collect()))
