@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,10 +77,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker that waits or goes on would hold the most that it ever took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with at most about ``most`` bytes of text (one row at least), in order.
 
-    ``text`` is a column, or row.text for a field of a struct.
+    ``text`` is a column, or row.text for a field of a struct. What was freed goes back to the system after each batch.
     """
     column, _, inner = text.partition(".")
     for batch in batches:
@@ -92,6 +103,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_00
             size += n or 0
         if at < batch.num_rows:
             yield batch.slice(at)
+        give_back()
 
 
 _BLOCK = 1 << 16  # bytes hashed at once, so that the arrays stay in the cache

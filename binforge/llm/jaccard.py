@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import BROADCAST_ROWS, components, folded, hash_texts, parts, pieces_of, stage, text_key
+from binforge.llm.common import BROADCAST_ROWS, components, folded, give_back, hash_texts, parts, pieces_of, stage, text_key
 
 WIDTH = 5
 PERCENT = 75
@@ -125,6 +125,7 @@ def _census(rows: DataFrame, width: int) -> tuple[np.ndarray, float, int]:
                 )
 
     def tally(table: pa.Table) -> pa.Table:
+        give_back()  # of the group before
         once, more, counts = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("once", np.uint32), ("more", np.uint32), ("counts", np.int32)))
         codes = np.concatenate((once, more))
         order = np.argsort(codes, kind="stable")
@@ -210,6 +211,7 @@ def _lists(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
 
     def meet(table: pa.Table) -> pa.Table:
         """Rows a, b, k: pairs of light lists with k shared keys, ties of heavy lists as k = 0, and a's number of heavy keys as -k."""
+        give_back()  # of the list group before
         blob = [table.column(c).to_pylist() for c in ("keys", "nodes", "sizes", "counts")]
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in blob[0]])
         counts = np.concatenate([np.frombuffer(x, np.int32) for x in blob[3]])
@@ -277,6 +279,7 @@ def _verify(rows: DataFrame, nodes: DataFrame, edges: DataFrame, width: int, per
                 yield _pairs(links)
                 links = []
         yield _pairs(links)
+        give_back()
 
     sent = chosen.mapInArrow(send, "task long, across boolean, node long, block int, codes binary")
     return stage(sent.repartition("task").sortWithinPartitions("task").mapInArrow(check, "a long, b long"), "links")

@@ -16,7 +16,7 @@ near the first in the order of language names decides.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binforge.llm.common import pieces_of, stage
+from binforge.llm.common import give_back, pieces_of, stage
 
 FEATURES = 1 << 14
 PER_LANG = 600
@@ -63,6 +63,22 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
 
 
+def vectors(texts: Iterable[str], idf: np.ndarray, n: int | None = None) -> np.ndarray:
+    """The unit vectors of ``n`` texts, in one array that is filled row by row."""
+    out = np.zeros((len(texts) if n is None else n, FEATURES), np.float32)
+    for v, text in zip(out, texts):
+        at, w, _ = counts(text)
+        v[at] = w * idf[at]
+        v[:] = _unit(v[None])[0]
+    return out
+
+
+def mean_of(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The mean of some rows, a sixteenth of the columns at once, so that the rows aren't copied whole."""
+    step = -(-rows.shape[1] // 16)
+    return np.concatenate([rows[own, at : at + step].mean(axis=0) for at in range(0, rows.shape[1], step)])
+
+
 def _sample(docs: DataFrame, per_lang: int) -> DataFrame:
     """At most per_lang rows of each language, those with the smallest hash of their id.
 
@@ -98,15 +114,9 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, k: int = CENTROIDS) -> dic
     for f, c in df.items():
         idf[f] = np.log((1 + n) / (1 + c)) + 1
 
-    def vector(text: str) -> np.ndarray:
-        at, w, _ = counts(text)
-        v = np.zeros(FEATURES, np.float32)
-        v[at] = w * idf[at]
-        return v
-
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_h")  # at most per_lang rows
-        rows = _unit(np.stack([vector(t) for t in pdf["text"]]))
+        rows = vectors(pdf["text"], idf)
         middle = _unit(rows.mean(axis=0))
         chosen = [int(np.argmax(rows @ middle))]
         while len(chosen) < min(k, len(rows)):  # farthest first, among the half nearest to the middle
@@ -115,11 +125,12 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, k: int = CENTROIDS) -> dic
         centres = rows[chosen]
         for _ in range(ROUNDS):
             own = np.argmax(rows @ centres.T, axis=1)
-            centres = _unit(np.stack([rows[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))]))
+            centres = _unit(np.stack([mean_of(rows, own == c) if (own == c).any() else centres[c] for c in range(len(centres))]))
+        del rows
         floors = []
         for size in LENGTHS:
-            cut = _unit(np.stack([vector(t[:size]) for t in pdf["text"]]))
-            floors.append(float(np.quantile((cut @ centres.T).max(axis=1), QUANTILE)))
+            floors.append(float(np.quantile((vectors((t[:size] for t in pdf["text"]), idf, len(pdf)) @ centres.T).max(axis=1), QUANTILE)))
+        give_back()
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(centres), "centre": [c.astype(np.float32).tobytes() for c in centres], "floors": [floors] * len(centres)})
 
     found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, floors array<double>").orderBy("lang").collect()

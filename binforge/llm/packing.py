@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binforge.llm.common import parts, pieces_of, stage
+from binforge.llm.common import give_back, parts, pieces_of, stage
 
 SEQUENCE = 2048
 END_ID = 1
@@ -67,6 +67,7 @@ class _Ids(dict):
         """A worker outlives its task; what the next stage runs in it needs the memory."""
         self.clear()
         self.before, self.size = {}, 0
+        give_back()
 
     def word(self, word: str) -> bytes:
         found = self.get(word)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.llm.common import folded, hash_text, hash_texts, parts, pieces_of, stage, text_key
+from binforge.llm.common import folded, give_back, hash_text, hash_texts, parts, pieces_of, stage, text_key
 
 WIDTH = 13
 LEVELS = 4
@@ -144,6 +144,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
 
     def subtree(table: pa.Table) -> pa.Table:
         """Of each batch, the rows with repeats in this group: rows (places in the batch), counts and bits."""
+        give_back()  # of the group before
         columns = [table.column(c).to_pylist() for c in ("batch", "ids", "rows", "counts", "known", "codes")]
         group = table.column("group")[0].as_py()
         if group < 0:
@@ -174,6 +175,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, dict]:
 
     def gather(table: pa.Table) -> pa.Table:
         """What all groups found for the rows of one batch: for each row, group after group, its repeated suffixes as bits."""
+        give_back()
         found: dict[int, list[bytes]] = {}
         ids = keys = np.zeros(0, np.int64)
         for group, own, counts, bits in zip(*(table.column(c).to_pylist() for c in ("group", "rows", "counts", "bits"))):
